@@ -41,11 +41,13 @@ BOUNDS = np.array(_class_bounds(1 << 40), np.int64)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Segment signatures of a sorted distinct token set.
+def signatures(tokens: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(which, spare, signatures) of a sorted distinct token set, for the size
+    class of the smaller set of a pair: 0 its own class, 1 the one below.
 
-    Two different sets with ``100 * |A & B| >= percent * |A | B|`` have one in
-    common.  Sets that can only be similar to an equal set give none.
+    Two different sets with ``100 * |A & B| >= percent * |A | B|`` have more than
+    ``spare`` signatures in common, for the larger ``spare`` of the two.  Sets
+    that can only be similar to an equal set give none.
     """
     n = len(tokens)
     own = int(np.searchsorted(BOUNDS, n, "right")) - 1
@@ -58,7 +60,7 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         if rest * smaller // percent == 0:
             continue
         differ = rest * (int(BOUNDS[scheme + 1]) - 1) // percent
-        slack = 3 + differ // 8
+        slack = 4 + differ // 6
         k = differ + 1 + slack
         seg = (tokens % np.uint64(k)).astype(np.int64)
         count = np.bincount(seg, minlength=k)
@@ -69,8 +71,9 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         # An empty segment agrees with any other empty one.  Of the segments on
         # which two similar sets agree at most `slack` may be empty in a set
         # that skips its empty ones, and more than `slack` agree.
-        out.append(sig if k - np.count_nonzero(count) > slack else sig[count > 0])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        empty = k - int(np.count_nonzero(count))
+        out.append((own - scheme, 0, sig) if empty > slack else (own - scheme, slack - empty, sig[count > 0]))
+    return out
 
 
 def _texts(batch: pa.RecordBatch):
@@ -114,14 +117,13 @@ def _signature_rows(width, percent):
                         pa.array(np.repeat(np.array(at, np.int64), reps)),
                         pa.array(np.repeat(np.array(size, np.int64), reps)),
                     ],
-                    ["sig", "id", "n"],
+                    ["sig", "id", "packed"],
                 )
 
             for i, text in _texts(batch):
                 s = shingle_set(text, width)
-                sig = signatures(s, percent) if len(s) else s
-                if len(sig):
-                    part.append(sig), at.append(ids[i]), size.append(len(s))
+                for which, spare, sig in signatures(s, percent) if len(s) else ():
+                    part.append(sig), at.append(ids[i]), size.append((len(s) << 24 | spare) * 2 + which)
                     total += len(sig)
                 if total > 200_000:
                     yield flush()
@@ -134,7 +136,14 @@ def _signature_rows(width, percent):
     return make
 
 
-def _sets(width, extra):
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """The matrix columns of a token set as 64-bit words, lowest bit first."""
+    flag = np.zeros(COLUMNS, np.uint8)
+    flag[tokens & (COLUMNS - 1)] = 1
+    return np.packbits(flag, bitorder="little").view(np.int64)
+
+
+def _sets(width, extra, bits=False):
     def make():
         def step(batch):
             rows, keep = [], []
@@ -145,9 +154,12 @@ def _sets(width, extra):
             if keep:
                 idx = pa.array(keep, pa.int64())
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+                sets = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))]
+                if bits:
+                    words = np.concatenate([_bits(r) for r in rows])
+                    sets.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, COLUMNS // 64, dtype=np.int32)), pa.array(words)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(idx) for c in ("id", *extra)] + [sets], ["id", *extra, "tokens"]
+                    [batch.column(c).take(idx) for c in ("id", *extra)] + sets, ["id", *extra, "tokens", *["bits"] * bits]
                 )
 
         return step
@@ -161,17 +173,15 @@ def _similar(a: str, b: str, percent: int):
     return (100 * both) >= percent * (F.size(a) + F.size(b) - both)
 
 
-def _union_words(sets: DataFrame) -> DataFrame:
-    """Token-group matrix: for each group the hashed columns any member sets, as
-    (group, word index, 64 bits); OR-ed map-side before the shuffle."""
-    col = F.expr(f"pmod(token, {COLUMNS})")
+def _token_group_matrix(sets: DataFrame) -> DataFrame:
+    """``group, row``: for each group the hashed columns any member sets, as
+    ``COLUMNS / 64`` words in order; OR-ed map-side before the shuffle."""
     return (
-        sets.select("group", F.explode("tokens").alias("token"))
-        .select("group", F.expr(f"cast(pmod(token, {COLUMNS}) div 64 as int)").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(token, {COLUMNS}) % 64 as int))").alias("bit"))
+        sets.select("group", F.posexplode("bits").alias("word", "w"))
         .groupBy("group", "word")
-        .agg(F.bit_or("bit").alias("bits"))
+        .agg(F.bit_or("w").alias("w"))
         .groupBy("group")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("row"))
+        .agg(F.expr("transform(array_sort(collect_list(struct(word, w))), x -> x.w)").alias("row"))
     )
 
 
@@ -198,11 +208,11 @@ def jaccard_components(
 
     Plan.  One pass makes a size and a 128-bit digest per set; equal sets
     collapse to their smallest id.  A second pass explodes signatures of the
-    remaining sets and the only large shuffle deals them by signature.  Each
-    document is compared with the one leader it shares most signatures with,
-    which joins large families of copies into groups without listing their
-    pairs; then documents that still share a signature with another group go
-    through the matrix bound and, where it qualifies, exact comparison.
+    remaining sets and the only large shuffle deals them by signature.
+    Documents that share most signatures form groups.  Within a group they are
+    compared by their differences from the group's pivot, which lists few of the
+    pairs of a large family of copies; pairs that both link to the pivot are not
+    listed at all.  Between groups the matrix bound decides what is opened.
     """
     work = Workspace(spark, "ngram")
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -216,98 +226,157 @@ def jaccard_components(
     skip = work.table(copied.select("id").distinct().join(rep_ids, "id", "left_anti"))
     alive = keep_ids(docs.where("id is not null"), skip, "id", "left_anti")
 
-    rows = map_rows(alive, _signature_rows(width, percent), "sig bigint, id bigint, n bigint")
+    rows = map_rows(alive, _signature_rows(width, percent), "sig bigint, id bigint, packed bigint")
     by_sig = Window.partitionBy("sig")
-    shared = work.table(
-        rows.select("*", F.min("id").over(by_sig).alias("lead"), F.max("id").over(by_sig).alias("last"))
+    hot_first = Window.partitionBy("id", "which").orderBy(F.desc("k"), "sig")
+    common = (
+        rows.select("*", F.min("id").over(by_sig).alias("lead"), F.max("id").over(by_sig).alias("last"), F.count("*").over(by_sig).alias("k"))
         .where("lead <> last")
-        .select("sig", "id", "n", "lead")
+        .select("sig", "id", "k", F.expr("packed >> 25").alias("n"), F.expr("(packed >> 1) & 16777215").alias("spare"), F.expr("packed & 1").alias("which"))
+    )
+    kept = common.select("*", F.row_number().over(hot_first).alias("r")).where("r > spare")
+    shared = work.table(
+        kept.select("sig", "id", "n", F.min("id").over(by_sig).alias("lead"), F.max("id").over(by_sig).alias("last")).where("lead <> last").drop("last")
     )
 
-    # Groups: each document against the leader it shares most signatures with.
-    pairs = work.table(
+    # Groups: trees of "shares most signatures with"; a leader has the smaller id.
+    lead = work.table(
         shared.where("id <> lead")
         .groupBy("id", "lead")
         .agg(F.count("*").alias("k"))
         .groupBy("id")
-        .agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("lead"))
-    )
-    n_pairs = pairs.count()
-    leads = pairs.select(F.col("lead").alias("id")).distinct()
-    member = map_rows(
-        keep_ids(docs, pairs, "id", "inner", n_pairs).select("id", "text", "lead"),
-        _sets(width, ["lead"]),
-        "id bigint, lead bigint, tokens array<bigint>",
-    )
-    leader = map_rows(keep_ids(docs, leads, "id"), _sets(width, []), "id bigint, tokens array<bigint>").select(
-        F.col("id").alias("lead"), F.col("tokens").alias("lead_tokens")
+        .agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("v"))
+        .select(F.col("id").alias("u"), "v")
     )
-    near = member.hint("merge").join(leader, "lead").where(_similar("tokens", "lead_tokens", percent))
-    links = work.table(near.select(F.col("id").alias("u"), F.col("lead").alias("v")).unionByName(both.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
-    groups = work.table(components(links, work).select(F.col("node").alias("id"), F.col("component").alias("group")))
-
-    # Cells of the matrix still to look at: a signature shared by two groups.
-    placed = shared.select("sig", "id", "n").join(groups, "id", "left").select("sig", "id", "n", F.coalesce("group", "id").alias("group"))
-    open_sigs = work.table(
-        placed.select("*", F.min("group").over(by_sig).alias("g0"), F.max("group").over(by_sig).alias("g1"))
-        .where("g0 <> g1")
-        .select("sig", "id", "n", "group")
-        .distinct()
+    tree = work.table(components(lead, work).select(F.col("node").alias("id"), F.col("component").alias("root")))
+    sets = work.table(
+        map_rows(keep_ids(docs, tree, "id", "inner").select("id", "root", "text"), _sets(width, ["root"], bits=True), _SET_COLUMNS)
     )
-    more = _open_groups(work, docs, open_sigs, width, percent)
-    if not more.isEmpty():
-        links = work.table(
-            groups.select(F.col("id").alias("u"), F.col("group").alias("v")).where("u <> v").unionByName(more)
-        )
-        groups = work.table(components(links, work).select(F.col("node").alias("id"), F.col("component").alias("group")))
+    apart = work.table(_from_pivot(sets, percent))
+    inside = _within_groups(work, apart, percent)
+    across = _across_groups(work, shared, sets, apart, percent)
+    to_pivot = apart.where("linked and id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
+    links = to_pivot.unionByName(inside).unionByName(across).unionByName(both.select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    found = components(links, work).select(F.col("node").alias("rep"), "component")
 
     return (
         sized.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-        .join(groups.select(F.col("id").alias("rep"), "group"), "rep", "left")
+        .join(found, "rep", "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             F.when(F.col("id").isNull(), None)
             .when(F.col("n") == 0, F.col("id"))
-            .otherwise(F.coalesce("group", "rep", "id"))
+            .otherwise(F.coalesce("component", "rep", "id"))
             .alias("component_id"),
         )
     )
 
 
-def _open_groups(work: Workspace, docs: DataFrame, open_sigs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between documents of different groups (columns ``u, v``).
+_SET_COLUMNS = "id bigint, root bigint, tokens array<bigint>, bits array<bigint>"
+
 
-    For two groups that share a signature the members of the smaller group are
-    the queries (ties: the smaller group id); the group is opened only where
-    the query's overlap with the group's token union can reach the threshold.
+def _from_pivot(sets: DataFrame, percent: int) -> DataFrame:
+    """Each document's difference ``d`` from its group's pivot (the root).
+
+    ``group`` is the root, or the document itself where it shares less than 40 %
+    with the root; ``linked`` tells whether it links to the root.  For any pivot
+    the difference of two documents is the difference of their ``d``.
     """
-    ids = work.table(open_sigs.select("id", "group").distinct())
-    sets = work.table(
-        map_rows(keep_ids(docs, ids, "id", "inner").select("id", "group", "text"), _sets(width, ["group"]), "id bigint, group bigint, tokens array<bigint>")
+    pivot = sets.where("id = root").select("root", F.col("tokens").alias("p"))
+    d = F.concat(F.array_except("tokens", "p"), F.array_except("p", "tokens"))
+    return (
+        sets.join(pivot, "root")
+        .select("id", "root", F.size("tokens").alias("n"), F.size("p").alias("pn"), d.alias("d"))
+        .select(
+            "id", "root", "n",
+            F.expr(f"{100 + percent} * size(d) <= {100 - percent} * (n + pn)").alias("linked"),
+            F.when(F.expr("10 * (n + pn - size(d)) >= 4 * (n + pn + size(d))"), F.struct(F.col("root").alias("group"), "d"))
+            .otherwise(F.struct(F.col("id").alias("group"), F.expr("array()").cast("array<bigint>").alias("d"))).alias("g"),
+        )
+        .select("id", "root", "n", F.expr("linked and g.group = root").alias("linked"), "g.group", "g.d")
+    )
+
+
+def _within_groups(work: Workspace, apart: DataFrame, percent: int) -> DataFrame:
+    """Links (``u, v``) between documents of one group that do not both link to
+    its pivot.
+
+    Similar documents differ in at most ``h`` tokens, so they have a token of
+    ``d`` in common among the ``h + 1`` rarest of the one with the larger ``d``
+    and the ``h / 2 + 1`` rarest of the other, rare within the group; unless
+    their ``d`` add up to no more than ``h``, which is looked up apart.
+    """
+    rest = 100 - percent
+    g = apart.where("size(d) > 0").select("id", "group", "linked", F.size("d").alias("dn"), F.expr(f"{rest} * n div {percent}").alias("h"), "n", "d")
+    of_doc = Window.partitionBy("id", "group").orderBy("df", "token")
+    rows = work.table(
+        g.select("id", "group", "linked", "dn", "h", "n", F.explode("d").alias("token"))
+        .withColumn("df", F.count("*").over(Window.partitionBy("group", "token")))
+        .withColumn("r", F.row_number().over(of_doc))
+        .where("r <= h + 1 and df > 1")
+    )
+    side = lambda df, x, *on: df.select(*on, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "linked", "dn", "n")])
+    fits = (
+        "not (q_linked and m_linked) and struct(q_dn, q_id) < struct(m_dn, m_id)"
+        f" and 100 * least(q_n, m_n) >= {percent} * greatest(q_n, m_n)"
+        f" and {100 + percent} * (m_dn - q_dn) <= {rest} * (q_n + m_n)"
+    )
+    pairs = side(rows.where("r <= h div 2 + 1"), "q", "group", "token").join(side(rows, "m", "group", "token"), ["group", "token"]).where(fits)
+    odd = work.table(g.where("not linked and dn <= h").select("id", "group", "linked", "dn", "n"))
+    near = pairs.select("q_id", "m_id")
+    if not odd.isEmpty():
+        other = side(g.where("dn <= h"), "m", "group").join(side(odd, "q", "group"), "group")
+        near = near.unionByName(
+            other.where("q_id <> m_id").where(fits.split(" and struct")[0] + f" and {100 + percent} * (q_dn + m_dn) <= {rest} * (q_n + m_n)").select("q_id", "m_id")
+        )
+    near = work.table(near.distinct())
+    d = apart.select("id", "n", "d")
+    return work.table(
+        near.join(d.select(F.col("id").alias("q_id"), F.col("n").alias("q_n"), F.col("d").alias("q_d")), "q_id")
+        .join(d.select(F.col("id").alias("m_id"), F.col("n").alias("m_n"), F.col("d").alias("m_d")), "m_id")
+        .where(f"{100 + percent} * (size(q_d) + size(m_d) - 2 * size(array_intersect(q_d, m_d))) <= {rest} * (q_n + m_n)")
+        .select(F.col("q_id").alias("u"), F.col("m_id").alias("v"))
+    )
+
+
+def _across_groups(work: Workspace, shared: DataFrame, sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Links (``u, v``) between documents of different groups.
+
+    A cell of the matrix is looked at where a document shares a signature with a
+    member of another group.  For two such groups the members of the smaller one
+    are the queries (ties: the smaller group id); a group is opened only where
+    the query's overlap with its token union can reach the threshold.
+    """
+    by_sig = Window.partitionBy("sig")
+    place = apart.select("id", "group")
+    size = place.groupBy("group").agg(F.count("*").alias("members"))
+    s = work.table(
+        shared.select("sig", "id", "n").join(place.join(size, "group"), "id")
+        .select("*", F.min("group").over(by_sig).alias("g0"), F.max("group").over(by_sig).alias("g1"))
+        .where("g0 <> g1").drop("g0", "g1")
     )
-    size = ids.groupBy("group").agg(F.count("*").alias("members"))
-    s = open_sigs.join(size, "group")
-    q = s.select("sig", F.col("id").alias("q"), F.col("group").alias("q_group"), F.col("n").alias("q_n"), F.struct("members", "group").alias("q_rank"))
-    m = s.select("sig", F.col("id").alias("m"), F.col("group").alias("m_group"), F.col("n").alias("m_n"), F.struct("members", "group").alias("m_rank"))
+    q = s.select("sig", F.col("id").alias("q"), F.col("n").alias("q_n"), F.struct("members", "group").alias("q_rank"))
+    m = s.select("sig", F.col("id").alias("m"), F.col("n").alias("m_n"), F.struct("members", "group").alias("m_rank"))
     cells = work.table(
         q.join(m, "sig")
         .where(f"q_rank < m_rank and 100 * least(q_n, m_n) >= {percent} * greatest(q_n, m_n)")
-        .select("q", "m_group", "m")
+        .select("q", F.col("m_rank.group").alias("m_group"), "m")
         .distinct()
     )
-    token_sets = sets.select(F.col("id").alias("q"), "tokens")
-    matrix = _union_words(sets).select(F.col("group").alias("m_group"), "row")
-    column = f"pmod(t, {COLUMNS})"
+    placed = sets.join(place, "id")
+    matrix = _token_group_matrix(placed).select(F.col("group").alias("m_group"), "row")
     hit = F.expr(
-        f"size(filter(tokens, t -> shiftright(coalesce(row[cast({column} div 64 as int)], 0L), cast({column} % 64 as int)) & 1L = 1L))"
+        f"size(filter(tokens, t -> shiftright(row[cast(pmod(t, {COLUMNS}) div 64 as int)], cast(pmod(t, 64) as int)) & 1L = 1L))"
     )
     qualifying = (
-        cells.select("q", "m_group").distinct().join(token_sets, "q").join(matrix, "m_group")
+        cells.select("q", "m_group").distinct()
+        .join(sets.select(F.col("id").alias("q"), "tokens"), "q")
+        .join(matrix, "m_group")
         .where(100 * hit >= percent * F.size("tokens"))
         .select("q", "m_group", "tokens")
     )
     opened = cells.join(qualifying, ["q", "m_group"]).join(
         sets.select(F.col("id").alias("m"), F.col("tokens").alias("m_tokens")), "m"
     )
-    return work.table(opened.where(_similar("tokens", "m_tokens", percent)).select(F.col("q").alias("u"), F.col("m").alias("v")).distinct())
+    return work.table(opened.where(_similar("tokens", "m_tokens", percent)).select(F.col("q").alias("u"), F.col("m").alias("v")))
