@@ -1,21 +1,196 @@
-"""Registered queries of the training-data operators, and their SQL."""
+"""Registered queries of the training-data operators, and their SQL.
+
+The queries are thin: each applies its operator to the whole table it is meant
+for and derives the contract's digest columns from the operator's output.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat_format, decontamination, fingerprint, language_id, mixing, quality, secret_scan, token_counts, url_filter
 from .ngram_join import jaccard_components
+from .runtime import Workspace, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    """Column: the row belongs to the fifth that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
+
+
+def language_model(spark: SparkSession, documents: DataFrame) -> language_id.LanguageModel:
+    training = documents.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
+    return language_id.fit(spark, training)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.identify(spark, docs.select("doc_id", "text"), language_model(spark, docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.scan(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), decontamination.contaminated(20).alias("contaminated"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("positive", F.lit(True))
+    training = docs.where(~held_out()).join(good, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), "text", F.coalesce("positive", F.lit(False)).alias("positive")
+    )
+    model = quality.fit(spark, training)
+    out = quality.score(spark, docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(spark, _table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.read_back(chat_format.format_turns(turns.unionByName(probe)))
+
+
+def mixing_input(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", "source", "lang", mixing.topic_of("text").alias("topic"), mixing.word_count("text").alias("n_tokens"))
+
+
+def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, mixing_input(_table(spark, sf_dir, "documents")), power=0.5, rate=0.5)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after four batches, one of which is sent twice: all documents
+    under each tokenizer version, then the removal of exact copies (all but the
+    smallest id) and new counts for texts without their license lines."""
+    docs = _table(spark, sf_dir, "documents")
+    work = Workspace(spark, "tokens")
+    bare = F.regexp_replace("text", r"(?m)^[^\n]*Licensed under[^\n]*$", "")
+    counted = work.table(
+        docs.select("doc_id", "source", "lang", "text")
+        .select(
+            "doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
+            *[token_counts.pattern_tokens("text", v).alias(v) for v in token_counts.PATTERNS],
+            *[F.coalesce(F.regexp_count(bare, F.lit(p)), F.lit(0)).cast("bigint").alias(f"bare_{v}") for v, p in token_counts.PATTERNS.items()],
+        )
+    )
+
+    def changes(df, op, version, n, old=None):
+        return df.select(
+            F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"),
+            F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("bigint")).alias("old_tokens"),
+        )
+
+    def both(make):
+        a, b = [make(v) for v in token_counts.PATTERNS]
+        return a.unionByName(b)
+
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    keyed = counted.join(first, "digest")
+    rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/{work.root.rsplit('/', 1)[1]}-rollup")
+    for version in token_counts.PATTERNS:
+        rollup.commit(f"load {version}", changes(counted, "insert", version, version))
+    copies = both(lambda v: changes(keyed.where("doc_id <> first_id"), "delete", v, v))
+    rollup.commit("remove copies", copies)
+    rollup.commit("remove copies", copies)
+    kept = keyed.where("doc_id = first_id")
+    rollup.commit("no license lines", both(lambda v: changes(kept.where(f"`{v}` <> `bare_{v}`"), "revise", v, f"bare_{v}", v)))
+    rollup.compact()
+    return rollup.totals()
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return out.select("doc_id", *[count(k) for k in secret_scan.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_url_filters": op6_url_filters,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_mixing_weights": op8_mixing_weights,
+    "op9_token_counts": op9_token_counts,
+    "op10_secret_scans": op10_secret_scans,
+    "pipeline": pipeline,
+}
+
+_N = r"coalesce(len(regexp_extract_all({0}, '{1}')), 0)"
+_WORDS, _ALNUM = r"[^\x20\x09-\x0D]+", "[0-9A-Za-z]+"
+_BARE = r"regexp_replace(text, '(?m)^[^\n]*Licensed under[^\n]*$', '', 'g')"
+
+ORACLE_SQL = {
+    "op4_benchmark_decontamination": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item, least(len(w), 13) as k, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') as s
+        from (select item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct k from win),
+pos as (select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') as s
+        from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)),
+hits as (select doc_id, item, p.k, i from pos p join win using (s, k)),
+hw as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from hits) group by 1),
+it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hw using (doc_id) left join it using (doc_id)
+""",
+    "op6_url_filters": r"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+             coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path from u),
+r(verdict, rh, rp) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+m as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(verdict, length(rh || rp)) as verdict
+      from h join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h left join m using (page_id)
+""",
+    "op9_token_counts": f"""
+with d as (select *, row_number() over (partition by coalesce(text, '') order by doc_id) as r, {_BARE} as bare from documents),
+c as (select source, lang, 'words-1' as tokenizer_version, {_N.format('bare', _WORDS)} as n from d where r = 1
+      union all select source, lang, 'alnum-1', {_N.format('bare', _ALNUM)} from d where r = 1)
+select source, lang, tokenizer_version, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_tokens from c group by 1, 2, 3
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
