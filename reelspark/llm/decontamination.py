@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import map_rows
+from .runtime import Shared, map_rows
 
 #: words after A-Z are lower-cased: letters and digits of ASCII, and every code
 #: point above it
@@ -23,7 +23,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 #: Most benchmark words in one broadcast automaton (about 60 MB); a larger
-#: benchmark is dealt to several automata, each applied in a pass of its own.
+#: benchmark is dealt to several.
 AUTOMATON_WORDS = 200_000
 
 
@@ -191,10 +191,11 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window
     """
     src = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     built = automata(benchmark, window=window)
-    shared = [spark.sparkContext.broadcast(a) for a in built]
+    shared = [Shared(spark, a) for a in built]
 
     def make():
-        # Several automata are held one at a time per text batch.
+        built = [a.value for a in shared]
+
         def step(batch):
             text = batch.column("text")
             cols: list[list] = [[], [], [], [], []]
@@ -202,8 +203,8 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window
                 s = text[i].as_py()
                 ws = words(s)
                 hit, items, longest = np.zeros(len(ws), bool), set(), 0
-                for a in shared:
-                    h, it, lo = a.value.scan(ws)
+                for a in built:
+                    h, it, lo = a.scan(ws)
                     hit |= h
                     items |= it
                     longest = max(longest, lo)
@@ -246,14 +247,16 @@ def contaminated(limit: int = 20):
 def uncontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = 20, text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` within the coverage limit, with all their
     columns; one pass, no shuffle."""
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window=window)]
+    shared = [Shared(spark, a) for a in automata(benchmark, window=window)]
 
     def make():
+        built = [a.value for a in shared]
+
         def clean(text):
             ws = words(text)
             hit = np.zeros(len(ws), bool)
-            for a in shared:
-                hit |= a.value.scan(ws)[0]
+            for a in built:
+                hit |= a.scan(ws)[0]
             n = int(hit.sum())
             return n == 0 or limit * n < len(ws)
 

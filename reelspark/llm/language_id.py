@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, mix
+from .runtime import Shared, map_rows, mix
 
 DIM = 1 << 13
 UNKNOWN = "und"
@@ -189,7 +189,7 @@ def identify(spark: SparkSession, documents: DataFrame, model: LanguageModel, id
     go to the alphabetically first language.  Repeated rows repeat; a null id
     stays null; other columns are ignored; an empty table gives an empty result.
     """
-    shared = spark.sparkContext.broadcast(model)  # DIM x centroids floats, whatever the input's size
+    shared = Shared(spark, model)  # DIM x centroids floats, whatever the input's size
 
     def make():
         m = shared.value
@@ -216,7 +216,7 @@ def identify(spark: SparkSession, documents: DataFrame, model: LanguageModel, id
 def accepted(spark: SparkSession, documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` whose whole text is not rejected, with all their
     columns; one pass, no shuffle."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
 
     def make():
         m = shared.value

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, mix
+from .runtime import Shared, map_rows, mix
 
 SHAPES = 1 << 10
 #: dimensions of a feature vector: hashed shape trigrams and eight ratios
@@ -168,7 +168,7 @@ def score(spark: SparkSession, documents: DataFrame, model: QualityModel, id_col
     null id stays null; other columns are ignored; an empty table gives an empty
     result.
     """
-    shared = spark.sparkContext.broadcast(model)  # DIM numbers, whatever the input's size
+    shared = Shared(spark, model)  # DIM numbers, whatever the input's size
 
     def make():
         m = shared.value

@@ -176,3 +176,19 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     for i in range(k):
         h = mix(h * _BASE + w[i : n - k + 1 + i])
     return np.unique(h)
+
+
+class Shared:
+    """A broadcast object, pickled by value so that its class travels along."""
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        """The object, read anew at each call: once in each task."""
+        from pyspark import cloudpickle
+
+        return cloudpickle.loads(self._bytes.value)
