@@ -19,6 +19,8 @@ from .runtime import Shared, map_rows, mix
 
 DIM = 1 << 13
 UNKNOWN = "und"
+#: distinct trigrams from which on the full rejection floor holds
+FULL = 200
 _LETTER: np.ndarray | None = None
 
 
@@ -58,7 +60,7 @@ def _vector(col, count, idf):
 @dataclass(frozen=True)
 class LanguageModel:
     """``centroids`` (n x DIM, unit rows) of ``languages[i]``; ``floor[i]`` is the
-    cosine under which centroid ``i`` rejects."""
+    cosine under which centroid ``i`` rejects a text of many trigrams."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -74,7 +76,10 @@ class LanguageModel:
         cos = self.centroids[:, col] @ _vector(col, count, self.idf)
         best = int(np.argmax(cos))
         score = float(min(max(cos[best], 0.0), 1.0))
-        return self.languages[best], score, bool(score < self.floor[best])
+        # A text of few trigrams cannot come near a centroid of many: its cosine
+        # grows with the square root of their number.
+        reach = min(1.0, len(col) / FULL) ** 0.5
+        return self.languages[best], score, bool(score < self.floor[best] * reach)
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -98,7 +103,7 @@ def fit(
     training: DataFrame,
     per_language: int = 400,
     clusters: int = 4,
-    radius: float = 0.25,
+    radius: float = 0.2,
 ) -> LanguageModel:
     """Learn from ``training(id, text, lang)``.
 
