@@ -30,7 +30,7 @@ ov as (select clip, max(a) as lo, min(b) as hi from (select clip, arm, min(psnr)
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def stage_facts(spark, sf_dir):
