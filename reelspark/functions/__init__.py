@@ -1 +1 @@
-
+"""Column functions: text, time, addresses, integers, checksums."""

@@ -1 +1 @@
-
+"""Job specifications, command-line grammar and the plan builder."""
