@@ -1 +1 @@
-
+"""Readers and writers of media containers."""
