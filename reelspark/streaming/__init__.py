@@ -1 +1 @@
-
+"""Structured Streaming versions of the stateful operators."""
