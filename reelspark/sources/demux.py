@@ -8,9 +8,12 @@ a malformed file raises :class:`FormatError`, never anything else that matters.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable
 
+from ..functions.binary import MP3_KBPS_V1, MP3_KBPS_V2, MP3_RATES
+
 
 class FormatError(ValueError):
     """The bytes are not a readable file of this format."""
@@ -149,8 +152,6 @@ def flac(b: bytes):
 
 
 def _mp3_frame(b: bytes, at: int):
-    from ..functions.binary import MP3_KBPS_V1, MP3_KBPS_V2, MP3_RATES
-
     if at + 4 > len(b) or b[at] != 255 or b[at + 1] < 224:
         return None
     version, layer, br, sr = b[at + 1] >> 3 & 3, b[at + 1] >> 1 & 3, b[at + 2] >> 4, b[at + 2] >> 2 & 3
@@ -602,8 +603,6 @@ def _cues(codec):
 
 def text_cues(text: str):
     """(start_ms, end_ms, text) of SubRip or WebVTT text."""
-    import re
-
     stamp = re.compile(r"\s*(?:(?:.*:)?\s*(\d+)\s*:)?\s*(\d+)\s*:\s*(\d+)\s*[,.]\s*(\d+)\s*$")
 
     def ms(s):

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .demux import FormatError
+from .demux import Y4M_FORMATS, FormatError
 
 
 def wav(streams, packets):
@@ -29,8 +30,6 @@ def wav(streams, packets):
 
 
 def y4m(streams, packets):
-    from .demux import Y4M_FORMATS
-
     s = streams[0]
     tag = next(k for k, v in Y4M_FORMATS.items() if v == (s.get("pixfmt") or "yuv420p"))
     head = f"YUV4MPEG2 W{s['width']} H{s['height']} F{s['tb_den']}:{s['tb_num']} Ip A1:1 C{tag}"
@@ -298,8 +297,6 @@ def write_files(packets: DataFrame, streams: DataFrame, format_name: str) -> Dat
         raise FormatError(f"no writer for {format_name}")
     write = WRITERS[format_name]
     names = ["idx", "media_type", "codec", "tb_num", "tb_den", "width", "height", "pixfmt", "color_range", "sample_rate", "channels", "sample_fmt", "extradata"]
-    from pyspark.sql import functions as F
-
     s = streams.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("streams"))
     t = F.coalesce(F.coalesce("dts", "pts") * F.col("tb_num") / F.greatest(F.col("tb_den"), F.lit(1)), F.lit(0.0))
     p = packets.select("file", "idx", "ordinal", "pts", "dts", "duration", "keyframe", "data", t.alias("start")).join(s, "file")
