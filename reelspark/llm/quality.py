@@ -131,23 +131,27 @@ def _vectors(df: DataFrame, extra: list[str], schema: str) -> DataFrame:
     return map_rows(df.select(*extra, "text"), make, schema)
 
 
-def fit(spark: SparkSession, training: DataFrame, positives: int = 2000, unlabelled: int = 4000, l2: float = 1e-3) -> QualityModel:
-    """Learn from ``training(id, text, positive)``.
-
-    ``positive`` marks the trusted positives; every row serves as unlabelled
-    text, as the unlabelled sample must have the mixture the model will see.
-    At most ``positives`` and ``unlabelled`` rows, chosen by hash of the id, are
-    fitted on.  Without any positive the model scores 0.5 everywhere.
+def fit(spark: SparkSession, training: DataFrame, trusted: DataFrame, positives: int = 2000, unlabelled: int = 4000, l2: float = 1e-3) -> QualityModel:
+    """Learn from ``training(id, text)`` and the ids of its ``trusted(id)``
+    positives.
+
+    Every row serves as unlabelled text, as the unlabelled sample must have the
+    mixture the model will see.  At most ``positives`` and ``unlabelled`` ids,
+    chosen by hash, are fitted on; only ids are joined and sorted, and texts are
+    read for the chosen ones alone.  Without any positive the model scores 0.5
+    everywhere.
     """
-    def sample(df, n, salt):
-        ids = df.select("id").orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n).distinct()
-        rows = _vectors(df.join(F.broadcast(ids), "id"), ["id"], "id bigint, x binary")
-        got = sorted((r.id, bytes(r.x)) for r in rows.collect())  # at most the documented bound of rows
+    known = training.where("id is not null")
+
+    def sample(ids, n, salt):
+        # at most the documented bound of ids, so they can be broadcast
+        ids = ids.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n).distinct()
+        rows = _vectors(known.join(F.broadcast(ids), "id"), ["id"], "id bigint, x binary")
+        got = sorted((r.id, bytes(r.x)) for r in rows.collect())
         return np.array([np.frombuffer(x, np.float32) for _, x in got], np.float64).reshape(-1, DIM)
 
-    known = training.where("id is not null")
-    pos = sample(known.where("positive"), positives, 1)
-    unl = sample(known, unlabelled, 2)
+    pos = sample(known.select("id").join(trusted.select("id").distinct(), "id", "left_semi"), positives, 1)
+    unl = sample(known.select("id"), unlabelled, 2)
     if not len(pos) or not len(unl):
         return QualityModel(np.zeros(DIM), np.ones(DIM), np.zeros(DIM), 0.0, 0.5)
     mean, scale = unl.mean(0), unl.std(0) + 0.02

@@ -52,11 +52,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("positive", F.lit(True))
-    training = docs.where(~held_out()).join(good, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), "text", F.coalesce("positive", F.lit(False)).alias("positive")
-    )
-    model = quality.fit(spark, training)
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    model = quality.fit(spark, docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text"), good)
     out = quality.score(spark, docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
