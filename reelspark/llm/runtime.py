@@ -71,12 +71,23 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", si
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge"), key, how)
 
 
+#: Rows that Spark hands to Python at once.  Texts can be long, and Spark's own
+#: default of 10,000 makes batches of tens of megabytes on both sides.
+ARROW_ROWS = 128
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
     schema: str,
 ) -> DataFrame:
-    """``mapInArrow`` with a per-task factory: ``make()`` runs once in each task."""
+    """``mapInArrow`` with a per-task factory: ``make()`` runs once in each task.
+
+    Lowers the session's Arrow batch size to ``ARROW_ROWS`` where it still has
+    Spark's default; a value the user has set is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -86,15 +97,6 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
-def small_batches(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` of about ``limit`` bytes, so that very long texts do
-    not pile up in one NumPy working set."""
-    n = batch.num_rows
-    step = max(1, int(n * limit / max(batch.nbytes, 1)))
-    for at in range(0, n, step):
-        yield batch.slice(at, min(step, n - at))
-
-
 M1 = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
