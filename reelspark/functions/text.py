@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def format_timestamp(ms: Column, sep: str = ",") -> Column:
-    """``HH:MM:SS{sep}mmm``; negative counts as 0."""
-    t = F.greatest(ms.cast("bigint"), F.lit(0).cast("bigint"))
+    """``HH:MM:SS{sep}mmm``; negative counts as 0, null stays null."""
+    t = F.when(ms < 0, F.lit(0)).otherwise(ms).cast("bigint")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     h, m, s = F.floor(t / 3_600_000), F.floor(t / 60_000) % 60, F.floor(t / 1000) % 60
     hours = F.when(h < 100, two(h)).otherwise(h.cast("string"))
