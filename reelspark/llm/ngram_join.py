@@ -252,7 +252,7 @@ def jaccard_components(
     sets = work.table(
         map_rows(keep_ids(docs, tree, "id", "inner").select("id", "root", "text"), _sets(width, ["root"], bits=True), _SET_COLUMNS)
     )
-    apart = work.table(_from_pivot(sets, percent))
+    apart = work.table(_from_pivot(_merge_groups(work, shared, sets), percent))
     inside = _within_groups(work, apart, percent)
     across = _across_groups(work, shared, sets, apart, percent)
     to_pivot = apart.where("linked and id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
@@ -276,10 +276,31 @@ def jaccard_components(
 _SET_COLUMNS = "id bigint, root bigint, tokens array<bigint>, bits array<bigint>"
 
 
+def _merge_groups(work: Workspace, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` with trees joined that belong to one family.
+
+    A tree whose root shares at least 10 % with the root of the tree it has most
+    signatures in common with becomes part of it.  Any grouping gives the same
+    links; one group for one family keeps comparisons inside it."""
+    by_sig = Window.partitionBy("sig")
+    trees = shared.join(sets.select("id", "root"), "id").select("sig", "root").distinct()
+    other = (
+        trees.select("root", F.min("root").over(by_sig).alias("to")).where("root <> to")
+        .groupBy("root", "to").agg(F.count("*").alias("k"))
+        .groupBy("root").agg(F.max_by("to", F.struct("k", -F.col("to"))).alias("to"))
+    )
+    roots = sets.where("id = root")
+    a, b = roots.select("root", F.col("tokens").alias("a")), roots.select(F.col("root").alias("to"), F.col("tokens").alias("b"))
+    alike = other.join(a, "root").join(b, "to").withColumn("both", F.size(F.array_intersect("a", "b"))).where("10 * both >= (size(a) + size(b) - both)")
+    moved = work.table(components(alike.select(F.col("root").alias("u"), F.col("to").alias("v")), work).select(F.col("node").alias("root"), "component"))
+    moved_here = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
+    return sets.join(moved_here, "root", "left").select("id", F.coalesce("component", "root").alias("root"), "tokens")
+
+
 def _from_pivot(sets: DataFrame, percent: int) -> DataFrame:
     """Each document's difference ``d`` from its group's pivot (the root).
 
-    ``group`` is the root, or the document itself where it shares less than 40 %
+    ``group`` is the root, or the document itself where it shares less than 10 %
     with the root; ``linked`` tells whether it links to the root.  For any pivot
     the difference of two documents is the difference of their ``d``.
     """
@@ -291,7 +312,7 @@ def _from_pivot(sets: DataFrame, percent: int) -> DataFrame:
         .select(
             "id", "root", "n",
             F.expr(f"{100 + percent} * size(d) <= {100 - percent} * (n + pn)").alias("linked"),
-            F.when(F.expr("10 * (n + pn - size(d)) >= 4 * (n + pn + size(d))"), F.struct(F.col("root").alias("group"), "d"))
+            F.when(F.expr("10 * (n + pn - size(d)) >= (n + pn + size(d))"), F.struct(F.col("root").alias("group"), "d"))
             .otherwise(F.struct(F.col("id").alias("group"), F.expr("array()").cast("array<bigint>").alias("d"))).alias("g"),
         )
         .select("id", "root", "n", F.expr("linked and g.group = root").alias("linked"), "g.group", "g.d")
@@ -316,13 +337,16 @@ def _within_groups(work: Workspace, apart: DataFrame, percent: int) -> DataFrame
         .withColumn("r", F.row_number().over(of_doc))
         .where("r <= h + 1 and df > 1")
     )
-    side = lambda df, x, *on: df.select(*on, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "linked", "dn", "n")])
+    side = lambda df, x, *on: df.select(*on, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "linked", "dn", "n", *(["r"] if "r" in df.columns else []))])
     fits = (
         "not (q_linked and m_linked) and struct(q_dn, q_id) < struct(m_dn, m_id)"
         f" and 100 * least(q_n, m_n) >= {percent} * greatest(q_n, m_n)"
         f" and {100 + percent} * (m_dn - q_dn) <= {rest} * (q_n + m_n)"
     )
-    pairs = side(rows.where("r <= h div 2 + 1"), "q", "group", "token").join(side(rows, "m", "group", "token"), ["group", "token"]).where(fits)
+    # From the first common token on, what is left of both must hold the overlap
+    # that the pair needs: half of what their d exceed the allowed difference by.
+    reach = f" and 2 * (1 + least(q_dn - q_r, m_dn - m_r)) >= q_dn + m_dn - {rest} * (q_n + m_n) div {100 + percent}"
+    pairs = side(rows.where("r <= h div 2 + 1"), "q", "group", "token").join(side(rows, "m", "group", "token"), ["group", "token"]).where(fits + reach)
     odd = work.table(g.where("not linked and dn <= h").select("id", "group", "linked", "dn", "n"))
     near = pairs.select("q_id", "m_id")
     if not odd.isEmpty():
