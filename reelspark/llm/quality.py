@@ -85,13 +85,18 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, l2: float, rounds: int = 250, rate: float = 0.05):
-    """Full-batch Adam on the non-negative PU risk with the logistic loss."""
+def _fit_linear(pos: np.ndarray, unl: np.ndarray, prior: float | None, l2: float, rounds: int = 250, rate: float = 0.01):
+    """Full-batch Adam with the logistic loss: on the non-negative PU risk, or
+    without a ``prior`` on plain separation of positives from unlabelled text."""
     w, b = np.zeros(pos.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
         zp, zu = pos @ w + b, unl @ w + b
+        if prior is None:
+            g = np.append(pos.T @ ((sig(zp) - 1) / len(pos)) + unl.T @ (sig(zu) / len(unl)) + l2 * w, (sig(zp) - 1).mean() + sig(zu).mean())
+            m, v, w, b = _adam(t, g, m, v, w, b, rate)
+            continue
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_plus = (sig(zp) - 1) * (prior / len(pos))
         gu, gp_minus = sig(zu) / len(unl), sig(zp) * (prior / len(pos))
@@ -100,12 +105,16 @@ def _nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, l2: float, rounds: int
         else:  # step back from over-fitting the negative part
             cp, cu = gp_minus, -gu
         g = np.append(pos.T @ cp + unl.T @ cu + l2 * w, cp.sum() + cu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        m, v, w, b = _adam(t, g, m, v, w, b, rate)
     return w, float(b)
 
 
+def _adam(t, g, m, v, w, b, rate):
+    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+    step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return m, v, w - step[:-1], b - step[-1]
+
+
 def estimate_prior(pos_scores: np.ndarray, unl_scores: np.ndarray, least: float = 0.1) -> float:
     """Share of positives among the unlabelled: the smallest ratio of the two
     groups' shares above a threshold, over thresholds that keep at least
@@ -148,7 +157,7 @@ def fit(spark: SparkSession, training: DataFrame, trusted: DataFrame, positives:
         ids = ids.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n).distinct()
         rows = _vectors(known.join(F.broadcast(ids), "id"), ["id"], "id bigint, x binary")
         got = sorted((r.id, bytes(r.x)) for r in rows.collect())
-        return np.array([np.frombuffer(x, np.float32) for _, x in got], np.float64).reshape(-1, DIM)
+        return np.array([np.frombuffer(x, np.float32) for _, x in got], np.float32).reshape(-1, DIM)
 
     pos = sample(known.select("id").join(trusted.select("id").distinct(), "id", "left_semi"), positives, 1)
     unl = sample(known.select("id"), unlabelled, 2)
@@ -156,12 +165,17 @@ def fit(spark: SparkSession, training: DataFrame, trusted: DataFrame, positives:
         return QualityModel(np.zeros(DIM), np.ones(DIM), np.zeros(DIM), 0.0, 0.5)
     mean, scale = unl.mean(0), unl.std(0) + 0.02
     pos, unl = (pos - mean) / scale, (unl - mean) / scale
-    # Prior: a first model separates positives from unlabelled text; the ratio
-    # is read from rows it was not fitted on.
-    a, c = np.arange(len(pos)) % 2 == 0, np.arange(len(unl)) % 2 == 0
-    w, b = _nnpu(pos[a], unl[c], 0.5, l2)
-    prior = estimate_prior(pos[~a] @ w, unl[~c] @ w) if (~a).any() and (~c).any() else 0.5
-    w, b = _nnpu(pos, unl, prior, l2)
+    # Prior: a first model separates positives from unlabelled text, for which no
+    # prior is needed; the ratio is read from rows it was not fitted on.
+    found = []
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        a, c = (rng.permutation(len(x)) % 2 == 0 for x in (pos, unl))
+        if (~a).any() and (~c).any():
+            w, _ = _fit_linear(pos[a], unl[c], None, l2, rounds=120)
+            found.append(estimate_prior(pos[~a] @ w, unl[~c] @ w))
+    prior = float(np.median(found)) if found else 0.5
+    w, b = _fit_linear(pos, unl, prior, l2, rounds=500)
     return QualityModel(mean, scale, w, b, prior)
 
 

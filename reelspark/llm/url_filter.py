@@ -81,7 +81,7 @@ _REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``src, dst``: canonical links and refresh redirects of ``pages(url, html)``."""
     tag = pages.where("html is not null and url is not null").select(
-        "url", F.explode(F.expr(f"regexp_extract_all(html, r'''{_TAG}''', 0)")).alias("tag")
+        "url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag")
     )
     href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
     goes = F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]*)""", 1)
