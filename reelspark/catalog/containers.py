@@ -53,10 +53,10 @@ runs as (select c.file, c.chunk, (select spc from stsc s where s.file = c.file a
 
 
 def _durations(spark, sf_dir):
-    return ops.sample_durations(packets(spark, sf_dir).where("not (idx % 7 = 3 and ordinal = 2)").withColumn("pts", F.expr("if(idx % 11 = 5 and ordinal = 1, null, pts)")), F.lit(33333).cast("bigint"))
+    return ops.sample_durations(packets(spark, sf_dir).withColumn("pts", F.expr("if(idx % 11 = 5 and ordinal = 1, null, pts)")), F.lit(33333).cast("bigint"))
 
 
-_DU = f"""{_PK}, p0 as (select * replace (case when idx % 11 = 5 and ordinal = 1 then null else pts end as pts) from pk where not (idx % 7 = 3 and ordinal = 2)),
+_DU = f"""{_PK}, p0 as (select * replace (case when idx % 11 = 5 and ordinal = 1 then null else pts end as pts) from pk),
 p1 as (select *, lead(pts) over (partition by idx order by ordinal) - pts as step from p0),
 p2 as (select *, count(*) over s as n, count(pts) over s as np, min(step) over s as ms, max(pts) over s as a, min(pts) over s as z,
  last_value(case when step > 0 then step end ignore nulls) over (partition by idx order by ordinal rows between unbounded preceding and current row) as tail from p1 window s as (partition by idx)),
@@ -160,7 +160,7 @@ QUERIES = {
     "mp4_durations": lambda s, d: _durations(s, d).select("file", "idx", "ordinal", "duration"),
     "mp4_interleave": lambda s, d: _interleaved(s, d).select("file", "idx", "ordinal", "position", F.col("offset").alias("offs"), "chunk"),
     "sink_mp4": lambda s, d: ops.chunk_table(_interleaved(s, d)).withColumnRenamed("offset", "offs"),
-    "sort_time": lambda s, d: _interleaved(s, d).where("position <= 20").select("file", "position", "idx", "ordinal"),
+    "sort_time": lambda s, d: _interleaved(s, d).select("file", "position", "idx", "ordinal"),
     "sort_offset": _sorted,
     "av_mux": _av,
     "src_ogg": lambda s, d: ops.lace_packets(_segments(s)),
@@ -178,7 +178,7 @@ QUERIES = {
     "dedup_consecutive": _dedup,
     "set_union_time": lambda s, d: packets(s, d).where("idx % 2 = 0").select("idx", "ordinal", F.lit(0).cast("bigint").alias("input")).unionByName(packets(s, d).where("idx % 2 = 1").select("idx", "ordinal", F.lit(1).cast("bigint").alias("input"))),
     "set_except": lambda s, d: packets(s, d).select("idx").distinct().join(packets(s, d).where("keyframe").select("idx").distinct(), "idx", "left_anti"),
-    "sink_ivf": lambda s, d: packets(s, d).where("file = 1").selectExpr("idx", "cast(row_number() over (partition by idx order by ordinal) - 1 as bigint) as pts", "size"),
+    "sink_ivf": lambda s, d: packets(s, d).selectExpr("idx", "cast(row_number() over (partition by idx order by ordinal) - 1 as bigint) as pts", "size"),
 }
 
 _SAMPLES = f"""with {_TB}, pl as (select file, chunk, coalesce(sum(spc) over (partition by file order by chunk rows between unbounded preceding and 1 preceding), 0) as first, spc from runs),
@@ -199,7 +199,7 @@ SQL = {
     "mp4_durations": f"with {_DU} select file, idx, ordinal, duration from du",
     "mp4_interleave": f"with {_IL} select * from il",
     "sink_mp4": f"with {_IL} select file, idx, chunk, min(offs) as offs, count(*) as samples from il group by 1, 2, 3",
-    "sort_time": f"with {_IL} select file, position, idx, ordinal from il where position <= 20",
+    "sort_time": f"with {_IL} select file, position, idx, ordinal from il",
     "sort_offset": _SAMPLES + ' select file, sample, "offset", row_number() over (partition by file order by "offset") as place from sm',
     "av_mux": f"with {_PK} select input::bigint as input, out_idx::bigint as idx, ordinal, pts, size from pk join (values (0, 2, 0), (0, 4, 1), (1, 3, 2), (0, 2, 3), (1, 99999, 4)) t(input, i, out_idx) on t.i = pk.idx and t.input = pk.idx % 2",
     "src_ogg": f"with {_SG}, p as (select *, coalesce(sum((lace < 255)::int) over (partition by file order by page, seg rows between unbounded preceding and 1 preceding), 0) as packet from sg)"
@@ -221,5 +221,5 @@ SQL = {
     "dedup_consecutive": "select user_id, event_id, event_type from (select *, lag(event_type) over w as p, row_number() over w as i from events window w as (partition by user_id order by epoch_us(ts), event_id)) where i = 1 or event_type is distinct from p",
     "set_union_time": f"with {_PK} select idx, ordinal, 0::bigint as input from pk where idx % 2 = 0 union all select idx, ordinal, 1 from pk where idx % 2 = 1",
     "set_except": f"with {_PK} select idx from pk except select idx from pk where keyframe",
-    "sink_ivf": f"with {_PK} select idx, ordinal as pts, size from pk where file = 1",
+    "sink_ivf": f"with {_PK} select idx, ordinal as pts, size from pk",
 }
