@@ -81,15 +81,16 @@ class QualityModel:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of quality for rows of features."""
-        z = ((x - self.mean) / self.scale) @ self.weight + self.bias
+        z = (((x - self.mean) / self.scale) @ self.weight + self.bias).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _fit_linear(pos: np.ndarray, unl: np.ndarray, prior: float | None, l2: float, rounds: int = 250, rate: float = 0.01):
     """Full-batch Adam with the logistic loss: on the non-negative PU risk, or
     without a ``prior`` on plain separation of positives from unlabelled text."""
-    w, b = np.zeros(pos.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    kind = pos.dtype  # one type throughout: a mixed product would copy the samples each round
+    w, b = np.zeros(pos.shape[1], kind), kind.type(0)
+    m, v = np.zeros(len(w) + 1, kind), np.zeros(len(w) + 1, kind)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
         zp, zu = pos @ w + b, unl @ w + b
@@ -112,7 +113,7 @@ def _fit_linear(pos: np.ndarray, unl: np.ndarray, prior: float | None, l2: float
 def _adam(t, g, m, v, w, b, rate):
     m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
     step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return m, v, w - step[:-1], b - step[-1]
+    return m, v, w - step[:-1].astype(w.dtype), w.dtype.type(b - step[-1])
 
 
 def estimate_prior(pos_scores: np.ndarray, unl_scores: np.ndarray, least: float = 0.1) -> float:
