@@ -100,7 +100,25 @@ def _opus(spark, sf_dir):
     return s16(spark).groupBy("clip", F.expr("n div 960").alias("frame")).agg(F.count("*").alias("samples"), F.min("n").alias("pts")).where("samples = 1920")
 
 
+def _spectrum(spark):
+    f = s16(spark, 320).where("ch = 0").groupBy("clip", F.expr("n div 32").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("v").cast("double").alias("v")))).alias("s"))
+    return ops.power_spectrum(f.select("clip", "block", F.transform("s", lambda e: e["v"]).alias("xs")))
+
+
+def _nmr(spark):
+    b = _bands(spark).groupBy("clip", "band").agg(F.sum(F.col("x") * F.col("x")).alias("mask"), (F.sum(F.abs("x")) * 1e4).alias("noise"))
+    return ops.nmr_summary(b, ["clip"])
+
+
+def _lab(spark):
+    t = ops.tone(spark, "a", 8000, 440.0, 1000.0, 500).unionByName(ops.tone(spark, "b", 8000, 100.0, 300.0, 500)).withColumn("v", F.round("v", 6))
+    return ops.quantiser_lab(t, [1.0, 4.0, 32.0])
+
+
 QUERIES = {
+    "power_spectrum": lambda s, d: _round(_spectrum(s).select("block", "bin", (F.col("p") / 1e6).alias("p")), 4),
+    "agg_nmr_mp3": lambda s, d: _round(_nmr(s)),
+    "lab_run": lambda s, d: _round(_lab(s), 5),
     "codec_pcm": lambda s, d: s16(s).groupBy("clip", "ch").agg(F.count("*").alias("samples"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high")),
     "codec_opus": _opus,
     "smp_s16_f32": lambda s, d: s16(s, 3000).select("ch", "n", ops.s16_to_f32(F.col("v")).alias("v")),
@@ -147,6 +165,9 @@ pv as (select block, max(bits) filter (ch = 0) as l, max(bits) filter (ch = 1) a
 select 'A' as clip, block, case least(l + r, l + sd, sd + r, m + sd) when l + r then 1 when l + sd then 8 when sd + r then 9 else 10 end::bigint as code, cast(least(l + r, l + sd, sd + r, m + sd) as bigint) as bits from pv"""
 
 SQL = {
+    "power_spectrum": f"with {_S}, x as (select n // 32 as block, n % 32 as i, v * (0.5 - 0.5 * cos(2 * pi() * (n % 32) / 32)) as v from s where ch = 0 and n < 320), c as (select block, k, sum(v * cos(2 * pi() * k * i / 32)) as re, sum(v * sin(2 * pi() * k * i / 32)) as im from x, range(17) t(k) group by 1, 2) select block, k as bin, round((re * re + im * im) / 1e6, 4) + 0 as p from c",
+    "agg_nmr_mp3": f"with {_S}, {_BD}, b as (select clip, band, sum(x * x) as mask, sum(abs(x)) * 1e4 as noise from bd group by 1, 2), d as (select clip, 10 * log10(greatest(noise, 1e-20) / greatest(mask, max(mask) over (partition by clip) * 1e-5, 1e-20)) as db from b) select clip, round(avg(db), 6) as mean_db, round(max(db), 6) as max_db, round(count(*) filter (db > 0) * 100 / count(*), 6) as audible_pct from d group by 1",
+    "lab_run": "with t as (select 'a' as clip, round(1000 * sin(2 * pi() * 440 / 8000 * n), 6) as v from range(500) r(n) union all select 'b', round(300 * sin(2 * pi() * 100 / 8000 * n), 6) from range(500) r(n)), e as (select clip, step, abs(v - floor(v / step + 0.5) * step) as e from t, (values (1::double), (4::double), (32::double)) s(step)) select clip, step, count(*) as n, round(max(e), 5) as max_abs_err, round(sqrt(avg(e * e)), 5) as rmse from e group by 1, 2",
     "codec_pcm": f"with {_S} select clip, ch, count(*) as samples, cast(sum(v) as bigint) as total, min(v) as low, max(v) as high from s group by 1, 2",
     "codec_opus": f"with {_S} select clip, n // 960 as frame, count(*) as samples, min(n) as pts from s group by 1, 2 having count(*) = 1920",
     "smp_s16_f32": f"with {_S} select ch, n, v / 32768::double as v from s where n < 3000",

@@ -97,7 +97,10 @@ def _corpus(spark, sf_dir):
     return m.where("p_size < 10").join(there, "k", "left_semi").select("k", "name")
 
 
+TAGS = [("mp4", "avc1", "h264"), ("mp4", "Opus", "opus"), ("mp4", "xxxx", None), ("matroska", "V_VP9", "vp9"), ("matroska", "A_FLAC", "flac"), ("avi", "MJPG", "mjpeg"), ("avi", "V_VP9", None)]
+
 QUERIES = {
+    "fn_codec_map": lambda s, d: s.createDataFrame([t[:2] for t in TAGS], "container string, tag string").select("container", "tag", ops.codec_of_tag(F.col("container"), F.col("tag")).alias("codec")),
     "probe_fmt": _probe,
     "probe_ext": lambda s, d: s.createDataFrame([(e,) for e in ("MP4", "webm", "jpg", "TS", "txt", "opus", "Y4M", "vtt")], "ext string").select("ext", ops.format_by_extension(F.col("ext")).alias("format")),
     "probe_url_ext": lambda s, d: _read(s, d, "pages").select("page_id", tx.url_extension(F.col("url")).alias("ext")),
@@ -123,6 +126,7 @@ QUERIES = {
 }
 
 SQL = {
+    "fn_codec_map": f"select * from (values {_vals(TAGS)}) t(container, tag, codec)",
     "probe_fmt": f"select name, format, score::bigint as score from (values {_vals([(k, *v) for k, v in _WANT.items()])}) t(name, format, score) union all"
     " select 'doc' || doc_id, case when left(text, 6) = 'WEBVTT' then 'webvtt' when contains(left(text, 510), '-->') then 'srt' when left(text, 3) = 'FLV' then 'flv' when left(text, 3) = 'ID3' then 'mp3' end, case when left(text, 6) = 'WEBVTT' then 95 end from documents where left(text, 1) <> 'G'"
     " union all select 'doc' || doc_id, case when octet_length(encode(text)) < 377 or octet_length(encode(text)) >= 377 and (substr(hex(encode(text)), 377, 2) = '47' and substr(hex(encode(text)), 753, 2) = '47') then 'mpegts' when substr(hex(encode(text)), 377, 2) = '47' or substr(hex(encode(text)), 753, 2) = '47' then 'mpegts' end,"

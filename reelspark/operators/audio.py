@@ -360,3 +360,21 @@ def power_spectrum(frames: DataFrame) -> DataFrame:
 
 def tone(spark: SparkSession, clip: str, rate: int, hz: float, amplitude: float, n: int) -> DataFrame:
     return spark.range(n).select(F.lit(clip).alias("clip"), F.lit(0).cast("bigint").alias("ch"), F.col("id").alias("n"), (F.lit(amplitude) * F.sin(F.lit(TWO_PI * hz / rate) * F.col("id"))).alias("v"))
+
+
+def nmr_summary(bands: DataFrame, key: list[str]) -> DataFrame:
+    """Noise-to-mask summary of ``(key, noise, mask)`` energies in frames and
+    bands: mean and largest dB and the share of audible bands; the mask is at
+    least 1e-5 of the largest in the group."""
+    floor = F.max("mask").over(Window.partitionBy(*key)) * 1e-5
+    b = bands.withColumn("db", 10 * F.log10(F.greatest(F.col("noise"), F.lit(1e-20)) / F.greatest(F.col("mask"), floor, F.lit(1e-20))))
+    return b.groupBy(*key).agg(F.avg("db").alias("mean_db"), F.max("db").alias("max_db"), (F.count_if(F.col("db") > 0) * 100.0 / F.count("*")).alias("audible_pct"))
+
+
+def quantiser_lab(samples: DataFrame, steps: list[float]) -> DataFrame:
+    """Every uniform quantiser step against every signal: ``clip, step, n,
+    max_abs_err, rmse``.  Variants are an array exploded on each row, so there is
+    no join."""
+    v = samples.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
+    e = F.abs(F.col("v") - F.floor(F.col("v") / F.col("step") + 0.5) * F.col("step"))
+    return v.withColumn("e", e).groupBy("clip", "step").agg(F.count("*").alias("n"), F.max("e").alias("max_abs_err"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))

@@ -193,3 +193,11 @@ def split_planes(data: Column, sizes: list[int]) -> Column:
         out.append(F.substring(data, at, s))
         at += s
     return F.when(F.octet_length(data) >= at - 1, F.array(*out))
+
+
+def codec_of_tag(container: Column, tag: Column) -> Column:
+    """Codec of a container's own identifier (sample entry, codec id, fourcc)."""
+    from ..sources.demux import AVI_CODECS, MKV_CODECS, MP4_CODECS
+
+    pairs = [("mp4:" + k.decode(), v) for k, v in MP4_CODECS.items()] + [("matroska:" + k, v) for k, v in MKV_CODECS.items()] + [("avi:" + k.decode(), v) for k, v in AVI_CODECS.items()]
+    return F.element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), F.concat(container, F.lit(":"), tag))
