@@ -248,7 +248,10 @@ def jaccard_components(
         .agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("v"))
         .select(F.col("id").alias("u"), "v")
     )
-    tree = work.table(components(lead, work).select(F.col("node").alias("id"), F.col("component").alias("root")))
+    # A document that leads all its signatures and is nobody's best leader has no
+    # edge; it is a tree of its own.
+    led = components(lead, work).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    tree = work.table(shared.select("id").distinct().join(led, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sets = work.table(
         map_rows(keep_ids(docs, tree, "id", "inner").select("id", "root", "text"), _sets(width, ["root"], bits=True), _SET_COLUMNS)
     )

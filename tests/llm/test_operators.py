@@ -173,6 +173,15 @@ def test_ngram_join_odd_rows(spark, odd, empty):
     assert {(x.doc_id, x.component_id) for x in two} == {(1, 1), (2, 1), (3, 1), (9, 9)}
 
 
+def test_ngram_join_across_size_classes(spark):
+    """Document 2 shares signatures only with 3, whose best leader is 1."""
+    for seed in "abcd":
+        w = [f"{seed}{i}" for i in range(168)]
+        rows = [(1, " ".join(w[:142])), (2, " ".join(w)), (3, " ".join(w[:144]))]
+        got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 139, 1), (2, 165, 1), (3, 141, 1)]
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(5)
     for n in (6, 7, 13, 40, 170, 900):
