@@ -2,7 +2,10 @@
 
 Every layer of a text is scanned.  A layer yields further layers: the text with
 its percent and Unicode escapes decoded, and each base64 stretch decoded and, if
-it is compressed, inflated.  Layers are unwrapped until nothing new appears;
+it is compressed, inflated.  A stretch may be wrapped over lines and may start
+anywhere among other characters of the alphabet, so it is decoded at all four
+alignments, and compressed data is looked for at each of its characters; bytes
+that are not UTF-8 are scanned one by one.  Layers are unwrapped until nothing new appears;
 a layer seen before is not entered again.  Each layer carries for each of its
 code points the span of the original text it came from.
 """
@@ -33,6 +36,13 @@ _B64 = np.zeros(256, bool)
 _B64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)")
 _SHORTEST_B64 = 16
+_LINE_END = re.compile(rb"[\r\n][ \t\r\n]*")
+#: How gzip, zlib, bzip2 and xz data begin in base64.
+_PACKED = re.compile(rb"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo[MNO]|[/_]Td6W")
+#: Bytes without any of these hold no secret and no further layer.
+_PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[ux]|[\r\n]")
+#: The shortest secret: a five-letter name, a sign and a value of eight.
+_SHORTEST_SECRET = 14
 #: A compressed layer is inflated up to this many bytes; longer ones are cut
 #: there (protection against archives that inflate without end).
 INFLATE_BYTES = 64 << 20
@@ -74,14 +84,13 @@ def base_spans(data: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
-def _decode_base64(part: bytes) -> bytes | None:
+def _decode_base64(part: bytes) -> bytes:
+    """The bytes of whole and begun groups of four; a lone last character holds
+    no byte."""
     part = part.replace(b"-", b"+").replace(b"_", b"/")
     if len(part) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(part + b"=" * (-len(part) % 4))
-    except ValueError:
-        return None
+        part = part[:-1]
+    return base64.b64decode(part + b"=" * (-len(part) % 4))
 
 
 def _inflate(raw: bytes) -> bytes | None:
@@ -98,13 +107,17 @@ def _inflate(raw: bytes) -> bytes | None:
     return None
 
 
-def _plain(raw: bytes) -> str | None:
-    """``raw`` as text if it is UTF-8 without control characters."""
+def _characters(raw: bytes) -> tuple[str, np.ndarray]:
+    """``raw`` as text and the bytes of each character: UTF-8, or a character a
+    byte where it is not UTF-8."""
     try:
         s = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return s if s and all(c >= " " and c != "\x7f" or c in "\t\r\n" for c in s) else None
+        s = raw.decode("latin-1")
+        return s, np.ones(len(s), np.int64)
+    if len(s) == len(raw):
+        return s, np.ones(len(s), np.int64)
+    return s, np.array([len(c.encode("utf-8")) for c in s])
 
 
 def _unescape(text: str):
@@ -147,6 +160,29 @@ def _code_points(data: bytes, spans):
     return [(int(before[a]), int(before[b]), *rest) for a, b, *rest in spans]
 
 
+def _stretches(data: bytes):
+    """(characters, code point of each) of every base64 stretch of ``data``, each
+    line of its own first and then those that go on over line ends."""
+    raw = np.frombuffer(data, np.uint8)
+    point = None if data.isascii() else np.cumsum((raw & 0xC0) != 0x80) - 1
+    where = lambda i: i if point is None else point[i]
+    for a, b in _runs(_B64[raw], _SHORTEST_B64):
+        yield data[a:b], where(np.arange(a, b))
+    gaps = [m.span() for m in _LINE_END.finditer(data)]
+    if not gaps:
+        return
+    keep = np.ones(len(raw), bool)
+    for a, b in gaps:
+        while a and data[a - 1] in b" \t":
+            a -= 1
+        keep[a:b] = False
+    index = np.flatnonzero(keep)
+    joined = raw[index]
+    for a, b in _runs(_B64[joined], _SHORTEST_B64):
+        if index[b - 1] - index[a] >= b - a:
+            yield joined[a:b].tobytes(), where(index[a:b])
+
+
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each (start, end, kind) in code points of
     ``text``, end exclusive, sorted by start and kind."""
@@ -176,22 +212,20 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
             if un := _unescape(layer):
                 enter(*un)
         if len(data) >= _SHORTEST_B64:
-            runs = _runs(_B64[np.frombuffer(data, np.uint8)], _SHORTEST_B64)
-            for (a, b), (ca, cb) in zip(runs, _code_points(data, runs)):
-                raw = _decode_base64(data[a:b])
-                if not raw:
-                    continue
-                inner = _inflate(raw)
-                s = _plain(raw) if inner is None else inner.decode("utf-8", "replace")
-                if not s:
-                    continue
-                n = len(s)
-                if inner is None:
-                    width = np.array([len(c.encode("utf-8")) for c in s]) if not s.isascii() else np.ones(n, np.int64)
+            for part, at in _stretches(data):
+                for m in _PACKED.finditer(part):
+                    inner = _inflate(_decode_base64(part[m.start() :]))
+                    if inner:
+                        t = inner.decode("utf-8", "replace")
+                        enter(t, np.full(len(t), at[m.start()]), np.full(len(t), at[-1] + 1))
+                for shift in range(4):
+                    raw = _decode_base64(part[shift:])
+                    if len(raw) < _SHORTEST_SECRET or not _PROMISING.search(raw):
+                        continue
+                    s, width = _characters(raw)
                     stop = np.cumsum(width)
-                    enter(s, ca + (stop - width) // 3 * 4, np.minimum(ca + -(-stop // 3) * 4, cb))
-                else:
-                    enter(s, np.full(n, ca), np.full(n, cb))
+                    last = np.minimum(shift + -(-stop // 3) * 4, len(part)) - 1
+                    enter(s, at[shift + (stop - width) // 3 * 4], at[last] + 1)
     return base, sorted(found, key=key)
 
 

@@ -3,8 +3,10 @@ inputs (nulls, empty and very long texts, ties, repeated rows, empty tables,
 extra columns)."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import zlib
 from collections import defaultdict
@@ -428,6 +430,35 @@ def test_nested_layers_map_back():
         assert KEY not in secret_scan.redact(text, spans) and secret_scan.redact(text, spans).endswith("yy")
 
 
+def _hidden():
+    enc = lambda b: base64.b64encode(b).decode()
+    fold = lambda s, n, end: end.join(s[i : i + n] for i in range(0, len(s), n))
+    noise = random.Random(3)
+    long = "".join(noise.choice("ghijk lmnop\n") for _ in range(700)) + " " + KEY + " and more text after it"
+    for n, end in ((64, "\n"), (76, "\r\n"), (76, "\n    ")):
+        for lead in range(50, 62):
+            yield fold(enc(b"." * lead + KEY.encode() + b" " * 40), n, end)
+        for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+            yield fold(enc(pack(long.encode())), n, end)
+    for lead in ("https://h.com/cb/", "https://h.com/c/", "a_", "ab-", "word/", "x", "xyz"):
+        yield lead + enc(b"  " + KEY.encode() + b"  ")
+        yield lead + enc(gzip.compress(KEY.encode()))
+        yield lead + enc(enc(b"  " + KEY.encode()).encode())
+    for lead, end in ((b"\0", b""), (b"\xff\xfe", b"\x01"), (b"", b"\x80"), (b"\x1b[0m", b"\x7f\0")):
+        yield enc(lead + KEY.encode() + end)
+    yield base64.urlsafe_b64encode(lzma.compress(KEY.encode())).decode()
+
+
+@pytest.mark.parametrize("wrap", list(_hidden()))
+def test_hidden_layers(wrap):
+    text = f"ü xx {wrap} yy"
+    base, spans = secret_scan.scan_text(text)
+    assert base == [] and spans and {k for *_, k in spans} == {"assign"}
+    assert all(5 <= a < b <= len(text) - 3 for a, b, _ in spans)
+    left = secret_scan.redact(text, spans)
+    assert left.startswith("ü xx ") and left.endswith(" yy") and secret_scan.scan_text(left)[1] == []
+
+
 def test_cycles_end():
     loop = "%2525252525" * 50 + base64.b64encode(b"QUJDREVGR0hJSktMTU5P" * 3).decode()
     assert secret_scan.scan_text(loop)[1] == []
