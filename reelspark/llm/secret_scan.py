@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -43,9 +44,11 @@ _PACKED = re.compile(rb"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo[MNO]|[/_]Td6W"
 _PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[ux]|[\r\n]")
 #: The shortest secret: a five-letter name, a sign and a value of eight.
 _SHORTEST_SECRET = 14
-#: A compressed layer is inflated up to this many bytes; longer ones are cut
-#: there (protection against archives that inflate without end).
+#: A compressed layer is inflated and scanned in pieces of this many bytes, each
+#: with the last ones of the piece before it, so that memory stays bounded.
 INFLATE_BYTES = 64 << 20
+INFLATE_OVERLAP = 8 << 20
+_DECODE_CHARS = 1 << 16
 
 
 def _runs(mask: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -93,20 +96,60 @@ def _decode_base64(part: bytes) -> bytes:
     return base64.b64decode(part + b"=" * (-len(part) % 4))
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The content of gzip, zlib, bzip2 or xz data, else None."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(raw, INFLATE_BYTES) or None
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, INFLATE_BYTES) or None
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, INFLATE_BYTES) or None
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
-        pass
+def _engine(raw: bytes):
+    """A decompressor for data that begins like ``raw``, else None."""
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _inflated(part: bytes):
+    """The content of the gzip, zlib, bzip2 or xz data whose base64 begins
+    ``part``, all members of it, as blocks of at most ``INFLATE_BYTES``; it ends
+    where the data ends or is broken."""
+    engine, raw = None, b""
+    for at in range(0, len(part), _DECODE_CHARS):
+        raw += _decode_base64(part[at : at + _DECODE_CHARS])
+        if engine is None and len(raw) < 6 and at + _DECODE_CHARS < len(part):
+            continue
+        while raw or engine is not None:
+            engine = engine or _engine(raw)
+            if engine is None:
+                return
+            try:
+                block = engine.decompress(raw, INFLATE_BYTES)
+            except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+                return
+            raw = getattr(engine, "unconsumed_tail", b"")
+            if block:
+                yield block
+            if engine.eof:
+                engine, raw = None, engine.unused_data.lstrip(b"\0")
+                if len(raw) < 6:
+                    break
+            elif not raw and getattr(engine, "needs_input", not block):
+                break
+
+
+def _pieces(part: bytes):
+    """The blocks of :func:`_inflated` gathered into pieces that overlap."""
+    held, size, fresh = [], 0, False
+    for block in _inflated(part):
+        held.append(block)
+        size, fresh = size + len(block), True
+        if size >= INFLATE_BYTES:
+            piece = b"".join(held)
+            yield piece
+            held, fresh = [piece[-INFLATE_OVERLAP:]], False
+            size = len(held[0])
+    if fresh:
+        yield b"".join(held)
+
+
 def _characters(raw: bytes) -> tuple[str, np.ndarray]:
     """``raw`` as text and the bytes of each character: UTF-8, or a character a
     byte where it is not UTF-8."""
@@ -183,6 +226,48 @@ def _stretches(data: bytes):
             yield joined[a:b].tobytes(), where(index[a:b])
 
 
+def _mark(s: str):
+    return s if len(s) < 64 else hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _layers(layer: str, data: bytes, first, end, seen: set):
+    """The layers that ``layer`` (``data`` in UTF-8) yields and that were not seen
+    before, made one at a time: text, first and end code point of the original
+    of each code point."""
+
+    def new(s, f, e):
+        mark = _mark(s)
+        if mark in seen:
+            return
+        seen.add(mark)
+        yield s, f if first is None else first[f], e if end is None else end[e - 1]
+
+    if "%" in layer or "\\" in layer:
+        if un := _unescape(layer):
+            yield from new(*un)
+    if len(data) < _SHORTEST_B64:
+        return
+    for part, at in _stretches(data):
+        for m in _PACKED.finditer(part):
+            whole = at[m.start()], at[-1] + 1
+            if first is not None:
+                whole = first[whole[0]], end[whole[1] - 1]
+            for piece in _pieces(part[m.start() :]):
+                t = piece.decode("utf-8", "replace")
+                mark = _mark(t)
+                if mark not in seen:
+                    seen.add(mark)
+                    yield t, np.broadcast_to(whole[0], len(t)), np.broadcast_to(whole[1], len(t))
+        for shift in range(4):
+            raw = _decode_base64(part[shift:])
+            if len(raw) < _SHORTEST_SECRET or not _PROMISING.search(raw):
+                continue
+            s, width = _characters(raw)
+            stop = np.cumsum(width)
+            last = np.minimum(shift + -(-stop // 3) * 4, len(part)) - 1
+            yield from new(s, at[shift + (stop - width) // 3 * 4], at[last] + 1)
+
+
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each (start, end, kind) in code points of
     ``text``, end exclusive, sorted by start and kind."""
@@ -191,10 +276,13 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
     key = lambda s: (s[0], order[s[2]], s[1])
     base: list = []
     found: set = set()
-    seen = {text}
-    work: list = [(text, None, None)]
+    seen = {_mark(text)}
+    work = [iter([(text, None, None)])]
     while work:
-        layer, first, end = work.pop()
+        if (top := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, first, end = top
         data = layer.encode("utf-8", "surrogatepass")
         spans = _code_points(data, base_spans(data))
         if first is None:
@@ -202,30 +290,7 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
             found |= set(base)
         else:
             found |= {(int(first[a]), int(end[b - 1]), k) for a, b, k in spans}
-
-        def enter(s, f, e):
-            if s not in seen:
-                seen.add(s)
-                work.append((s, f if first is None else first[f], e if end is None else end[e - 1]))
-
-        if "%" in layer or "\\" in layer:
-            if un := _unescape(layer):
-                enter(*un)
-        if len(data) >= _SHORTEST_B64:
-            for part, at in _stretches(data):
-                for m in _PACKED.finditer(part):
-                    inner = _inflate(_decode_base64(part[m.start() :]))
-                    if inner:
-                        t = inner.decode("utf-8", "replace")
-                        enter(t, np.full(len(t), at[m.start()]), np.full(len(t), at[-1] + 1))
-                for shift in range(4):
-                    raw = _decode_base64(part[shift:])
-                    if len(raw) < _SHORTEST_SECRET or not _PROMISING.search(raw):
-                        continue
-                    s, width = _characters(raw)
-                    stop = np.cumsum(width)
-                    last = np.minimum(shift + -(-stop // 3) * 4, len(part)) - 1
-                    enter(s, at[shift + (stop - width) // 3 * 4], at[last] + 1)
+        work.append(_layers(layer, data, first, end, seen))
     return base, sorted(found, key=key)
 
 

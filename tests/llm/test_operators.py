@@ -459,6 +459,18 @@ def test_hidden_layers(wrap):
     assert left.startswith("ü xx ") and left.endswith(" yy") and secret_scan.scan_text(left)[1] == []
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_long_and_many_member_layers(pack, monkeypatch):
+    monkeypatch.setattr(secret_scan, "INFLATE_BYTES", 1000)
+    monkeypatch.setattr(secret_scan, "INFLATE_OVERLAP", 100)
+    hidden = base64.b64encode(KEY.encode())
+    for n in (5, 970, 980, 990, 1000, 1500, 200_000):
+        for last in (KEY.encode(), hidden, pack(b" " * n + KEY.encode())):
+            packed = pack(b". " * (n // 2) + b"\n" + last) if last[:1] in b"pc" else pack(b"x" * n) + last
+            text = "xx " + base64.b64encode(packed).decode() + " yy"
+            assert {k for *_, k in secret_scan.scan_text(text)[1]} == {"assign"}, n
+
+
 def test_cycles_end():
     loop = "%2525252525" * 50 + base64.b64encode(b"QUJDREVGR0hJSktMTU5P" * 3).decode()
     assert secret_scan.scan_text(loop)[1] == []
