@@ -220,10 +220,13 @@ def jaccard_components(
     real = sized.where("n > 0 and id is not null")
     reps = work.table(real.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("k")))
     copied = real.join(reps.where("k > 1").select("d1", "d2", "rep"), ["d1", "d2"]).where("id <> rep")
-    # An id that repeats with several texts may stand for one set and copy another.
+    # An id that repeats with several texts may stand for one set and copy another,
+    # or copy several.
     rep_ids = reps.select(F.col("rep").alias("id"))
-    both = work.table(copied.join(rep_ids, "id", "left_semi").select("id", "rep"))
-    skip = work.table(copied.select("id").distinct().join(rep_ids, "id", "left_anti"))
+    ends = work.table(copied.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")))
+    several = copied.join(ends.where("low <> high"), "id").where("rep <> low").select(F.col("low").alias("id"), "rep")
+    both = work.table(copied.join(rep_ids, "id", "left_semi").select("id", "rep").unionByName(several))
+    skip = work.table(ends.select("id").join(rep_ids, "id", "left_anti"))
     alive = keep_ids(docs.where("id is not null"), skip, "id", "left_anti")
 
     rows = map_rows(alive, _signature_rows(width, percent), "sig bigint, id bigint, packed bigint")

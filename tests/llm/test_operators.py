@@ -175,6 +175,12 @@ def test_ngram_join_odd_rows(spark, odd, empty):
     assert {(x.doc_id, x.component_id) for x in two} == {(1, 1), (2, 1), (3, 1), (9, 9)}
 
 
+def test_ngram_join_id_that_copies_several(spark):
+    rows = [(1, "a b c d"), (2, "e f g h"), (3, "a b c d"), (3, "e f g h"), (9, "q r s t")]
+    got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 1), (3, 1), (3, 1), (9, 9)]
+
+
 def test_ngram_join_across_size_classes(spark):
     """Document 2 shares signatures only with 3, whose best leader is 1."""
     for seed in "abcd":
