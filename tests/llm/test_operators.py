@@ -322,36 +322,7 @@ def test_chat_digests(spark):
     assert cf.read_back(cf.format_turns(df.limit(0))).count() == 0
 
 
-# --- 8 mixing ----------------------------------------------------------------
-
-
-def _rake(cells, targets, rounds=200):
-    w = {k: float(v) for k, v in cells.items()}
-    for _ in range(rounds):
-        for d in range(3):
-            total = defaultdict(float)
-            for k, v in w.items():
-                total[k[d]] += v
-            for k in w:
-                w[k] *= targets[d][k[d]] / total[k[d]] if total[k[d]] else 0
-    return w
-
-
-def test_raking_equals_brute_force(spark):
-    rng = random.Random(8)
-    cells = {(s, la, t): rng.randrange(1, 1000) for s in ("a", "b", None) for la in ("x", "y") for t in ("p", "q") if rng.random() < 0.9}
-    df = spark.createDataFrame([(*k, v, 1) for k, v in cells.items()], "source string, lang string, topic string, tokens bigint, docs bigint")
-    targets = mixing.tempered_targets(df, 0.5)
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, targets, Workspace(spark, "t"), tolerance=1e-9, rounds=60).collect()}
-    want_t = []
-    for d in range(3):
-        t = defaultdict(float)
-        for k, v in cells.items():
-            t[k[d]] += v
-        s = sum(v**0.5 for v in t.values())
-        want_t.append({k: v**0.5 / s for k, v in t.items()})
-    want = _rake(cells, want_t)
-    assert all(abs(got[k] - want[k]) < 1e-6 for k in cells)
+# --- 8 mixing (see also test_mixing.py) ---------------------------------------
 
 
 def test_mix_decisions(spark, odd, empty):
