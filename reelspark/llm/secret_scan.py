@@ -5,9 +5,11 @@ its percent and Unicode escapes decoded, and each base64 stretch decoded and, if
 it is compressed, inflated.  A stretch may be wrapped over lines and may start
 anywhere among other characters of the alphabet, so it is decoded at all four
 alignments, and compressed data is looked for at each of its characters; bytes
-that are not UTF-8 are scanned one by one.  Layers are unwrapped until nothing new appears;
-a layer seen before is not entered again.  Each layer carries for each of its
-code points the span of the original text it came from.
+that are not UTF-8 are scanned one by one.  Layers are unwrapped until nothing
+new appears; a layer that was seen before at the same place of the original text
+is a cycle and is not entered again, while equal layers at other places are.
+Each layer carries for each of its code points the span of the original text it
+came from.
 """
 
 from __future__ import annotations
@@ -232,15 +234,16 @@ def _mark(s: str):
 
 def _layers(layer: str, data: bytes, first, end, seen: set):
     """The layers that ``layer`` (``data`` in UTF-8) yields and that were not seen
-    before, made one at a time: text, first and end code point of the original
-    of each code point."""
+    before at their place, made one at a time: text, first and end code point of
+    the original of each code point."""
 
     def new(s, f, e):
-        mark = _mark(s)
-        if mark in seen:
-            return
-        seen.add(mark)
-        yield s, f if first is None else first[f], e if end is None else end[e - 1]
+        if first is not None:
+            f, e = first[f], end[e - 1]
+        mark = _mark(s), int(f[0]), int(e[-1])
+        if mark not in seen:
+            seen.add(mark)
+            yield s, f, e
 
     if "%" in layer or "\\" in layer:
         if un := _unescape(layer):
@@ -249,15 +252,9 @@ def _layers(layer: str, data: bytes, first, end, seen: set):
         return
     for part, at in _stretches(data):
         for m in _PACKED.finditer(part):
-            whole = at[m.start()], at[-1] + 1
-            if first is not None:
-                whole = first[whole[0]], end[whole[1] - 1]
             for piece in _pieces(part[m.start() :]):
                 t = piece.decode("utf-8", "replace")
-                mark = _mark(t)
-                if mark not in seen:
-                    seen.add(mark)
-                    yield t, np.broadcast_to(whole[0], len(t)), np.broadcast_to(whole[1], len(t))
+                yield from new(t, np.broadcast_to(at[m.start()], len(t)), np.broadcast_to(at[-1] + 1, len(t)))
         for shift in range(4):
             raw = _decode_base64(part[shift:])
             if len(raw) < _SHORTEST_SECRET or not _PROMISING.search(raw):
@@ -276,7 +273,7 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
     key = lambda s: (s[0], order[s[2]], s[1])
     base: list = []
     found: set = set()
-    seen = {_mark(text)}
+    seen = {(_mark(text), 0, len(text))}
     work = [iter([(text, None, None)])]
     while work:
         if (top := next(work[-1], None)) is None:
@@ -345,20 +342,27 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 def redact_documents(documents: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``documents`` with every secret in ``text_col`` replaced by a mark and
-    ``length_col`` counted anew where a text changed; all rows and columns stay,
-    one pass, no shuffle."""
+    ``length_col``, where there is such a column, counted anew where a text
+    changed; all rows and columns stay, one pass, no shuffle.
+
+    Null and empty texts stay; repeated rows repeat and are redacted alike; a null
+    id does not matter; an empty table gives an empty result.
+    """
     names = documents.columns
 
     def make():
         def step(batch):
-            text, size = batch.column(text_col), batch.column(length_col).to_pylist()
+            text = batch.column(text_col)
+            size = batch.column(length_col).to_pylist() if length_col in names else [None] * len(text)
             out = []
             for i in range(batch.num_rows):
                 t = text[i].as_py()
                 out.append(redact(t, scan_text(t)[1]))
                 if out[-1] != t:
                     size[i] = len(out[-1])
-            new = {text_col: pa.array(out, text.type), length_col: pa.array(size, batch.column(length_col).type)}
+            new = {text_col: pa.array(out, text.type)}
+            if length_col in names:
+                new[length_col] = pa.array(size, batch.column(length_col).type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
         return step

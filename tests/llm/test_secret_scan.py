@@ -1,0 +1,70 @@
+"""Secret scans: the registered query against plain regular expressions, and
+equal encoded secrets at several places."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+
+import pytest
+
+from reelspark.llm import secret_scan
+from reelspark.llm.queries import op10_secret_scans
+
+KEY = "password=hunter2hunter2"
+PLAIN = {
+    "assign": (r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8),
+    "access": (r"AKIA[A-Z0-9]+", 0, 16),
+    "hex": (r"[0-9a-f]+", 0, 32),
+}
+
+
+def _plain(text):
+    out = [(m.start(), i, m.end(), k) for i, (k, (p, g, n)) in enumerate(PLAIN.items()) for m in re.finditer(p, text) if len(m[g]) >= n]
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(5)
+    bits = ["password", "PassWD", "secret", "token", "tokentoken", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefgh", "A-b_9", "AKIA", "AKIAAKIA", "0123456789ABCDEF", "deadbeef" * 4, "f", "é", "ß", "K", "\n", "ſecret"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        assert secret_scan.scan_text(text)[0] == _plain(text), text
+
+
+def test_query_equals_plain_patterns(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op10_secret_scans(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        base = _plain(docs[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == want for *_, k in base) for want in PLAIN)
+        said = [f"{k}:{a}:{b}" for a, b, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r.spans.split(",")) if said else True
+
+
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+def test_equal_encoded_secrets_are_found_at_each_place(pack):
+    enc = base64.b64encode(pack(b"  " + KEY.encode())).decode()
+    twice = base64.b64encode(f"{enc} and {enc} again".encode()).decode()
+    for text, n in ((f"a {enc} b {enc}", 2), (f"a {enc} b {twice} c {enc} d {twice}", 4), (f"{enc}\n\n{enc}. {enc}", 3)):
+        spans = secret_scan.scan_text(text)[1]
+        left = secret_scan.redact(text, spans)
+        assert left.count("<secret:") >= n - 1 and secret_scan.scan_text(left)[1] == [] and enc not in left
+
+
+def test_long_inflated_layer_keeps_memory_bounded():
+    """200 MB behind one base64 stretch are scanned piece by piece."""
+    import tracemalloc
+    import zlib
+
+    z = zlib.compressobj(1)
+    packed = b"".join(z.compress(b"lorem ipsum " * 87_382) for _ in range(200)) + z.compress(KEY.encode()) + z.flush()
+    text = "xx " + base64.b64encode(packed).decode() + " yy"
+    tracemalloc.start()
+    spans = secret_scan.scan_text(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {k for *_, k in spans} == {"assign"} and peak < 700 << 20
