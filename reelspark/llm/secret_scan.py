@@ -48,8 +48,8 @@ _PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A
 _SHORTEST_SECRET = 14
 #: A compressed layer is inflated and scanned in pieces of this many bytes, each
 #: with the last ones of the piece before it, so that memory stays bounded.
-INFLATE_BYTES = 64 << 20
-INFLATE_OVERLAP = 8 << 20
+INFLATE_BYTES = 16 << 20
+INFLATE_OVERLAP = 4 << 20
 _DECODE_CHARS = 1 << 16
 
 
