@@ -90,39 +90,51 @@ def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup after four batches, one of which is sent twice: all documents
-    under each tokenizer version, then the removal of exact copies (all but the
-    smallest id) and new counts for texts without their license lines."""
+    under each tokenizer version, then the removal of exact copies and new counts
+    for texts without their license lines.
+
+    Of the rows of one text (null: empty) one stays: the smallest doc_id, null
+    last, then source and language in order, null last."""
     docs = _table(spark, sf_dir, "documents")
     work = Workspace(spark, "tokens")
+    versions = tuple(token_counts.PATTERNS)
+    licensed = F.contains(F.coalesce("text", F.lit("")), F.lit("Licensed under"))
     bare = F.regexp_replace("text", r"(?m)^[^\n]*Licensed under[^\n]*$", "")
+    counts = [c for v in versions for c in (v, f"bare_{v}")]
     counted = work.table(
-        docs.select("doc_id", "source", "lang", "text")
+        docs.select("source", "lang", "doc_id", "text")
+        .select(
+            "doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), licensed.alias("licensed"), bare.alias("bare"),
+            *[token_counts.pattern_tokens("text", v).alias(v) for v in versions],
+        )
         .select(
-            "doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
-            *[token_counts.pattern_tokens("text", v).alias(v) for v in token_counts.PATTERNS],
-            *[F.coalesce(F.regexp_count(bare, F.lit(p)), F.lit(0)).cast("bigint").alias(f"bare_{v}") for v, p in token_counts.PATTERNS.items()],
+            "doc_id", "source", "lang", "digest", *versions,
+            *[F.when(F.col("licensed"), token_counts.pattern_tokens("bare", v)).otherwise(F.col(v)).alias(f"bare_{v}") for v in versions],
         )
     )
 
-    def changes(df, op, version, n, old=None):
+    def changes(df, op, version, n, old=None, times=None):
         return df.select(
-            F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"),
-            F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("bigint")).alias("old_tokens"),
+            F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), F.col(n).alias("n_tokens"),
+            (F.col(old) if old else F.lit(None).cast("bigint")).alias("old_tokens"), (F.col(times) if times else F.lit(1)).cast("bigint").alias("times"),
         )
 
     def both(make):
-        a, b = [make(v) for v in token_counts.PATTERNS]
+        a, b = [make(v) for v in versions]
         return a.unionByName(b)
 
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    keyed = counted.join(first, "digest")
     rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/{work.root.rsplit('/', 1)[1]}-rollup")
-    for version in token_counts.PATTERNS:
-        rollup.commit(f"load {version}", changes(counted, "insert", version, version))
-    copies = both(lambda v: changes(keyed.where("doc_id <> first_id"), "delete", v, v))
+    for v in versions:
+        rollup.commit(f"load {v}", changes(counted, "insert", v, v))
+    # Copies are counted per text, source and language before they are joined.
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("id"), F.col("source").isNull().alias("b"), F.col("source").alias("s"), F.col("lang").isNull().alias("c"), F.col("lang").alias("l"))
+    per = work.table(counted.groupBy("digest", "source", "lang", *counts).agg(F.count("*").alias("k"), F.min(order).alias("low")))
+    first = work.table(per.groupBy("digest", *counts).agg(F.min("low").alias("first"), F.sum("k").alias("all")))
+    extra = per.join(first.where("all > 1").select("digest", "first"), "digest").withColumn("times", F.col("k") - F.col("low").eqNullSafe(F.col("first")).cast("int")).where("times > 0")
+    copies = both(lambda v: changes(extra, "delete", v, v, times="times"))
     rollup.commit("remove copies", copies)
     rollup.commit("remove copies", copies)
-    kept = keyed.where("doc_id = first_id")
+    kept = first.select(F.col("first.s").alias("source"), F.col("first.l").alias("lang"), *counts)
     rollup.commit("no license lines", both(lambda v: changes(kept.where(f"`{v}` <> `bare_{v}`"), "revise", v, f"bare_{v}", v)))
     rollup.compact()
     return rollup.totals()
@@ -185,7 +197,7 @@ m as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(verdi
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h left join m using (page_id)
 """,
     "op9_token_counts": f"""
-with d as (select *, row_number() over (partition by coalesce(text, '') order by doc_id) as r, {_BARE} as bare from documents),
+with d as (select *, row_number() over (partition by coalesce(text, '') order by doc_id nulls last, source nulls last, lang nulls last) as r, {_BARE} as bare from documents),
 c as (select source, lang, 'words-1' as tokenizer_version, {_N.format('bare', _WORDS)} as n from d where r = 1
       union all select source, lang, 'alnum-1', {_N.format('bare', _ALNUM)} from d where r = 1)
 select source, lang, tokenizer_version, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_tokens from c group by 1, 2, 3

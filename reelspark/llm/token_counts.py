@@ -76,11 +76,14 @@ def vocabulary_tokens(documents: DataFrame, path: str, id_col: str = "doc_id", t
 class TokenRollup:
     """Rollup kept as Parquet deltas under ``path``, a folder all machines share.
 
-    Layout: ``<path>/batches/<hash of batch id>/`` holds one batch's deltas and
-    ``<path>/base-<uuid>/`` a compacted sum, named with the batches it covers in
-    ``<path>/CURRENT``.  A batch is written to a staging folder and then renamed
-    in one step; a batch that is there is never written again.  One writer at a
-    time; readers need no lock.
+    Layout: ``<path>/batches/<hash of batch id>/`` holds one batch's deltas,
+    ``<path>/base-<uuid>/`` a compacted sum and ``<path>/MANIFEST-<n>`` names a
+    base and the batches it covers.  The manifest with the highest ``n`` counts.
+    Batches and manifests are written under another name and then renamed in one
+    step, and neither is ever written again, so a driver lost at any point leaves
+    the old or the new state.  What a manifest has replaced stays until the
+    compaction after the next one, so a reader that began before it can finish.
+    One writer at a time; readers need no lock.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -93,10 +96,24 @@ class TokenRollup:
     def _name(batch_id: str) -> str:
         return hashlib.sha256(batch_id.encode()).hexdigest()[:32]
 
+    def _names(self, folder: str, prefix: str = "") -> list[str]:
+        if not self._fs.exists(self._at(folder)):
+            return []
+        return sorted(n for s in self._fs.listStatus(self._at(folder)) if (n := s.getPath().getName()).startswith(prefix))
+
+    def _rename(self, a: str, b: str) -> None:
+        if not self._fs.rename(self._at(a), self._at(b)):
+            raise OSError(f"{b} could not be written")
+
+    def _manifests(self) -> list[int]:
+        return sorted(int(n.split("-")[1]) for n in self._names("", "MANIFEST-"))
+
+    def _manifest(self, n: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/MANIFEST-{n}", wholetext=True).first()[0])
+
     def _current(self) -> dict:
-        if not self._fs.exists(self._at("CURRENT")):
-            return {"base": None, "covers": []}
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+        found = self._manifests()
+        return self._manifest(found[-1]) if found else {"base": None, "covers": []}
 
     def committed(self, batch_id: str) -> bool:
         name = self._name(batch_id)
@@ -107,36 +124,35 @@ class TokenRollup:
         old_tokens)`` once; False if ``batch_id`` was committed before.
 
         ``op``: ``insert`` (+1 document, + n_tokens), ``delete`` (-1, - n_tokens)
-        or ``revise`` (0, + n_tokens - old_tokens); any other raises.  Null
-        counts are 0; null sources and languages are values of their own;
+        or ``revise`` (0, + n_tokens - old_tokens); any other raises.  A column
+        ``times``, if there is one, says how many equal changes a row stands for.
+        Null counts are 0; null sources and languages are values of their own;
         repeated rows count each time; an empty batch commits nothing but its
         id.  Hot keys cost nothing: deltas are summed map-side.
         """
         if self.committed(batch_id):
             return False
+        times = F.col("times").cast("bigint") if "times" in changes.columns else F.lit(1).cast("bigint")
         sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
         sign = F.when(sign.isNull(), F.raise_error(F.lit("unknown change"))).otherwise(sign).cast("bigint")
         n = F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0))
         old = F.coalesce(F.col("old_tokens").cast("bigint"), F.lit(0))
         tokens = F.when(F.col("op") == "delete", -n).when(F.col("op") == "revise", n - old).otherwise(n)
         delta = (
-            changes.select(*[F.col(k).cast("string").alias(k) for k in KEYS], sign.alias("n_docs"), tokens.alias("n_tokens"))
+            changes.select(*[F.col(k).cast("string").alias(k) for k in KEYS], (sign * times).alias("n_docs"), (tokens * times).alias("n_tokens"))
             .groupBy(*KEYS)
             .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         )
         stage = f"staging/{uuid.uuid4().hex}"
-        delta.coalesce(1).write.parquet(f"{self.path}/{stage}")
+        delta.write.parquet(f"{self.path}/{stage}")
         self._fs.mkdirs(self._at("batches"))
-        if not self._fs.rename(self._at(stage), self._at(f"batches/{self._name(batch_id)}")):
-            raise OSError(f"batch {batch_id} could not be committed")
+        self._rename(stage, f"batches/{self._name(batch_id)}")
         return True
 
     def _deltas(self) -> tuple[DataFrame, list[str]]:
         now = self._current()
         read = self.spark.read.schema(_DELTA)
-        names = []
-        if self._fs.exists(self._at("batches")):
-            names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("batches")))
+        names = self._names("batches")
         # A batch that compaction has covered but not yet removed counts once.
         paths = [f"{self.path}/batches/{n}" for n in names if n not in now["covers"]]
         if now["base"]:
@@ -158,12 +174,26 @@ class TokenRollup:
         """Fold the committed batches into one base; totals stay the same and
         the folded batches stay committed."""
         _, covers = self._deltas()
+        found = self._manifests()
         base = f"base-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{base}")
-        out = self._fs.create(self._at("CURRENT.new"), True)
+        self.totals().write.parquet(f"{self.path}/{base}")
+        stage = f"staging/{uuid.uuid4().hex}"
+        out = self._fs.create(self._at(stage), True)
         out.write(bytearray(json.dumps({"base": base, "covers": covers}).encode()))
         out.close()
-        self._fs.delete(self._at("CURRENT"), False)
-        self._fs.rename(self._at("CURRENT.new"), self._at("CURRENT"))
-        for n in covers:
+        self._rename(stage, f"MANIFEST-{found[-1] + 1 if found else 0}")
+        self._clean(found)
+
+    def _clean(self, before: list[int]) -> None:
+        """Remove what the manifest before the last already covered, and every
+        base and staged file that no kept manifest names."""
+        old = self._manifest(before[-1]) if before else {"base": None, "covers": []}
+        for n in set(old["covers"]) & set(self._names("batches")):
             self._fs.delete(self._at(f"batches/{n}"), True)
+        for n in before[:-1]:
+            self._fs.delete(self._at(f"MANIFEST-{n}"), False)
+        named = {self._manifest(n)["base"] for n in self._manifests()}
+        for n in self._names("", "base-"):
+            if n not in named:
+                self._fs.delete(self._at(n), True)
+        self._fs.delete(self._at("staging"), True)
