@@ -3,7 +3,8 @@
 A text is a normalised TF-IDF vector of hashed letter trigrams.  Every language
 has several centroids (spherical k-means over its training vectors); a text
 takes the language of the centroid with the largest cosine and is rejected when
-even that centroid is too far away.
+even that centroid is farther away than training texts of that size, which the
+centroids were not fitted on, ever are.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Shared, map_rows, mix
+from .runtime import Shared, map_rows, mix, small_batches
 
 DIM = 1 << 13
 UNKNOWN = "und"
-#: distinct trigrams from which on the full rejection floor holds
-FULL = 200
+#: classes of text sizes (distinct trigrams, doubling from 4 on) with a rejection
+#: floor each, and the held-out texts that a floor is measured on at least
+SIZES, LEAST_HELD = 12, 5
 _LETTER: np.ndarray | None = None
 
 
@@ -51,6 +53,10 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return col, count[col]
 
 
+def _size(distinct: int) -> int:
+    return min(max(int(distinct).bit_length() - 3, 0), SIZES - 1)
+
+
 def _vector(col, count, idf):
     v = (1 + np.log(count)) * idf[col]
     n = np.sqrt((v * v).sum())
@@ -59,12 +65,14 @@ def _vector(col, count, idf):
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``centroids`` (n x DIM, unit rows) of ``languages[i]``; ``floor[i]`` is the
-    cosine under which centroid ``i`` rejects a text of many trigrams."""
+    """``centroids`` (n x DIM, unit rows) of ``languages[i]`` with ``members[i]``
+    training texts; ``floor[i]`` holds the cosine under which centroid ``i``
+    rejects a text, for each of the ``SIZES`` classes."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: tuple[str, ...]
+    members: tuple[int, ...]
     floor: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -76,26 +84,118 @@ class LanguageModel:
         cos = self.centroids[:, col] @ _vector(col, count, self.idf)
         best = int(np.argmax(cos))
         score = float(min(max(cos[best], 0.0), 1.0))
-        # A text of few trigrams cannot come near a centroid of many: its cosine
-        # grows with the square root of their number.
-        reach = min(1.0, len(col) / FULL) ** 0.5
-        return self.languages[best], score, bool(score < self.floor[best] * reach)
-
-
-def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means with farthest-first seeds; deterministic."""
-    mean = x.mean(0)
-    seeds = [int(np.argmax(x @ mean))]
-    near = x @ x[seeds[0]]
-    for _ in range(min(k, len(x)) - 1):
-        seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[seeds[-1]])
-    c = x[seeds]
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, 1)
-        c = np.stack([x[own == i].sum(0) if (own == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+        return self.languages[best], score, bool(score < self.floor[best, _size(len(col))])
+
+
+def _seeds(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++: each seed is drawn in proportion to its distance from the nearest seed."""
+    at = [int(rng.integers(len(x)))]
+    far = 1 - x @ x[at[0]]
+    while len(at) < k:
+        p = np.maximum(far, 0).astype(np.float64)
+        at.append(int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else int(rng.integers(len(x))))
+        far = np.minimum(far, 1 - x @ x[at[-1]])
+    return x[at]
+
+
+def _means(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    c = np.stack([x[own == i].sum(0) for i in range(k)])
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+
+
+def _cluster(x: np.ndarray, k: int, least: float = 0.05, rounds: int = 12, restarts: int = 4) -> np.ndarray:
+    """Centroids of the best of several runs of spherical k-means.
+
+    No cluster holds less than ``least`` of the rows: a smaller one is given up
+    and the largest one is split, by its members nearer to and farther from its
+    centroid; one that is still small at the end is dissolved.  Deterministic.
+    """
+    k = max(1, min(k, len(x) // 4))
+    small = least * len(x)
+    best, best_fit = None, (0, -1.0)
+    for run in range(restarts):
+        rng = np.random.default_rng(run)
+        c = _seeds(x, k, rng)
+        for _ in range(rounds):
+            cos = x @ c.T
+            own = np.argmax(cos, 1)
+            for i in np.flatnonzero(np.bincount(own, minlength=k) < small):
+                big = int(np.argmax(np.bincount(own, minlength=k)))
+                its = np.flatnonzero(own == big)
+                own[own == i] = big
+                own[its[np.argsort(cos[its, big], kind="stable")[: len(its) // 2]]] = i
+            c = _means(x, own, k)
+        while True:
+            own = np.argmax(x @ c.T, 1)
+            size = np.bincount(own, minlength=len(c))
+            if len(c) == 1 or size.min() >= small:
+                break
+            c = np.delete(c, int(np.argmin(size)), 0)
+        fit = len(c), float((x @ c.T).max(1).sum())
+        if fit > best_fit:
+            best, best_fit = c, fit
+    return best
+
+
+def _floors(held: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, cents: np.ndarray, slack: float) -> np.ndarray:
+    """``slack`` times the least cosine that held-out texts of a language have to
+    their nearest centroid, by size class.  A text also stands for the smaller
+    classes, by trigrams drawn from it; a class of too few texts takes the floor
+    of the one below, and none is above that of a larger one."""
+    seen: list[list[float]] = [[] for _ in range(SIZES)]
+    rng = np.random.default_rng(0)
+    for col, count in held:
+        total = int(count.sum())
+        for n in [count] + [np.bincount(rng.choice(len(col), size, p=count / total), minlength=len(col)) for size in (4 << i for i in range(SIZES)) if size < total]:
+            on = n > 0
+            seen[_size(on.sum())].append(float((cents[:, col[on]] @ _vector(col[on], n[on], idf)).max()))
+    least = np.zeros(SIZES)
+    for i, cos in enumerate(seen):
+        least[i] = min(cos) if len(cos) >= LEAST_HELD else least[i - 1] if i else 0.0
+    return slack * np.minimum.accumulate(least[::-1])[::-1]
+
+
+def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
+    """Document frequency of each trigram column over all rows, and their number;
+    each task adds up its own rows first."""
+
+    def run(batches):
+        total = np.zeros(DIM + 1, np.int64)
+        for batch in batches:
+            text = batch.column("text")
+            for i in range(batch.num_rows):
+                col, _ = trigram_counts(text[i].as_py())
+                total[col] += 1
+                total[DIM] += len(col) > 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["col", "df"])
+
+    small_batches(train.sparkSession)
+    df = train.select("text").mapInArrow(run, "col bigint, df bigint").groupBy("col").agg(F.sum("df").alias("df"))
+    freq = np.zeros(DIM + 1, np.int64)
+    for r in df.collect():  # at most DIM + 1 rows
+        freq[r.col] = r.df
+    return freq[:DIM], int(freq[DIM])
+
+
+def _sample(train: DataFrame, per_language: int) -> DataFrame:
+    """``lang, text`` of at most ``per_language`` ids of each language: those with
+    the smallest hashes.  An id that repeats counts once, with its first text in
+    order.  No row is shuffled but those chosen."""
+    h = F.shiftrightunsigned(F.xxhash64("id", F.lit(1)), 11)
+    ids = {r.lang: r.n for r in train.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    if not ids:
+        return train.select("lang", "text")
+    bound = lambda of: F.element_at(F.create_map(*[F.lit(x) for la, v in of.items() for x in (la, int(v))]), F.col("lang"))
+    # about three times as many as needed, from which the cut is read exactly
+    rough = {la: min(1.0, 3 * per_language / max(n, 1) + 1e-9) * 2**53 for la, n in ids.items()}
+    low: dict[str, list[int]] = {}
+    for r in train.select("lang", h.alias("h")).where(F.col("h") <= bound(rough)).distinct().toLocalIterator():
+        low.setdefault(r.lang, []).append(r.h)
+    cut = {la: sorted(hs)[:per_language][-1] for la, hs in low.items()}
+    if not cut:
+        return train.select("lang", "text").limit(0)
+    return train.where(h <= bound(cut)).groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(
@@ -103,87 +203,50 @@ def fit(
     training: DataFrame,
     per_language: int = 400,
     clusters: int = 4,
-    radius: float = 0.2,
+    slack: float = 0.6,
 ) -> LanguageModel:
     """Learn from ``training(id, text, lang)``.
 
     Document frequencies cover every training row with a language.  Centroids
-    are fitted on at most ``per_language`` rows of each language, chosen by hash
-    of the id.  ``radius`` scales the rejection floor: a centroid rejects under
-    that part of the 2 % quantile of its own training cosines.  Rows with a null
-    or empty language or without letters are not used.
+    are fitted on at most ``per_language`` ids of each language, chosen by hash
+    of the id; a fourth of them is held out and sets the rejection floors:
+    ``slack`` times their least cosine, by text size.  Rows with a null or empty
+    language, a null id or no letters are not used; repeated ids count once;
+    extra columns are ignored; without any usable row the model rejects all.
     """
-    train = training.where("lang is not null and lang <> ''")
-
-    def count_all():
-        total = np.zeros(DIM, np.int64)
-        docs = 0
-
-        def step(batch):
-            nonlocal docs
-            total[:] = 0
-            docs = 0
-            text = batch.column("text")
-            for i in range(batch.num_rows):
-                col, _ = trigram_counts(text[i].as_py())
-                total[col] += 1
-                docs += len(col) > 0
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(at, -1)), pa.array(np.append(total[at], docs))], ["col", "df"]
-            )
-
-        return step
-
-    df = map_rows(train.select("text"), count_all, "col bigint, df bigint").groupBy("col").agg(F.sum("df").alias("df"))
-    freq = np.zeros(DIM)
-    n = 0
-    for r in df.collect():  # at most DIM + 1 rows
-        if r.col < 0:
-            n = r.df
-        else:
-            freq[r.col] = r.df
+    train = training.where("lang is not null and lang <> '' and id is not null").select("id", "lang", "text")
+    freq, n = _frequencies(train)
     idf = np.log((1 + n) / (1 + freq)) + 1
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = train.select("id", "lang").withColumn("r", rank).where(F.col("r") <= per_language).select("id").distinct()
-    chosen.persist()
-    sample = train.join(F.broadcast(chosen), "id").select("lang", "text")
-
     def vectors():
         def step(batch):
-            lang, cols, vals = [], [], []
-            for la, tx in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                col, count = trigram_counts(tx)
-                if len(col):
-                    lang.append(la), cols.append(col.tolist()), vals.append(count.tolist())
-            if lang:
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": lang, "cols": pa.array(cols, pa.list_(pa.int64())), "counts": pa.array(vals, pa.list_(pa.int64()))}
-                )
+            rows = [(la, *trigram_counts(tx)) for la, tx in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
+            rows = [r for r in rows if len(r[1])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i].astype("<i8").tobytes() for r in rows], pa.binary()) for i in (1, 2)]], ["lang", "cols", "counts"]
+            )
 
         return step
 
     by_lang: dict[str, list] = {}
-    rows = map_rows(sample, vectors, "lang string, cols array<bigint>, counts array<bigint>").orderBy("lang", F.xxhash64("cols", "counts"))
-    for r in rows.toLocalIterator():  # at most per_language rows of a language
-        v = np.zeros(DIM, np.float32)
-        col = np.array(r.cols)
-        v[col] = _vector(col, np.array(r.counts), idf)
-        by_lang.setdefault(r.lang, []).append(v)
-    chosen.unpersist()
-    cents, langs, floor = [], [], []
-    for lang, vs in sorted(by_lang.items()):
-        x = np.stack(vs)
+    for r in map_rows(_sample(train, per_language), vectors, "lang string, cols binary, counts binary").collect():  # at most per_language rows of a language
+        by_lang.setdefault(r.lang, []).append((bytes(r.cols), bytes(r.counts)))
+    cents, langs, members, floor = [], [], [], []
+    for lang, rows in sorted(by_lang.items()):
+        rows = [(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for a, b in sorted(rows)]
+        order = np.random.default_rng(0).permutation(len(rows))
+        held = [rows[i] for i in order[: len(rows) // 4]]
+        x = np.zeros((len(rows) - len(held), DIM), np.float32)
+        for j, i in enumerate(order[len(held) :]):
+            x[j, rows[i][0]] = _vector(*rows[i], idf)
         c = _cluster(x, clusters)
-        cos = x @ c.T
-        own = np.argmax(cos, 1)
-        for i in range(len(c)):
-            mine = cos[own == i, i]
-            cents.append(c[i]), langs.append(lang)
-            floor.append(radius * float(np.quantile(mine, 0.02)) if len(mine) else 0.0)
+        cents.append(c)
+        langs += [lang] * len(c)
+        members += np.bincount(np.argmax(x @ c.T, 1), minlength=len(c)).tolist()
+        floor += [_floors(held, idf, c, slack)] * len(c) if held else [np.zeros(SIZES)] * len(c)
     return LanguageModel(
-        idf, np.stack(cents).astype(np.float32) if cents else np.zeros((0, DIM), np.float32), tuple(langs), np.array(floor)
+        idf, np.concatenate(cents).astype(np.float32) if cents else np.zeros((0, DIM), np.float32), tuple(langs), tuple(members),
+        np.array(floor).reshape(len(langs), SIZES),
     )
 
 
@@ -220,7 +283,12 @@ def identify(spark: SparkSession, documents: DataFrame, model: LanguageModel, id
 
 def accepted(spark: SparkSession, documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` whose whole text is not rejected, with all their
-    columns; one pass, no shuffle."""
+    columns; one pass, no shuffle.
+
+    Null texts and texts without letters are rejected.  Repeated rows are decided
+    alike; null ids and columns of any name do not matter; an empty table gives
+    an empty result.
+    """
     shared = Shared(spark, model)
 
     def make():

@@ -76,18 +76,22 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", si
 ARROW_ROWS = 128
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``ARROW_ROWS`` where it still has
+    Spark's default; a value the user has set is kept.  It stays lowered, as
+    plans are only made when a result is read."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
     schema: str,
 ) -> DataFrame:
-    """``mapInArrow`` with a per-task factory: ``make()`` runs once in each task.
-
-    Lowers the session's Arrow batch size to ``ARROW_ROWS`` where it still has
-    Spark's default; a value the user has set is kept."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(ARROW_ROWS))
+    """``mapInArrow`` with a per-task factory: ``make()`` runs once in each task."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
