@@ -42,8 +42,9 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signatures(tokens: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(which, spare, signatures) of a sorted distinct token set, for the size
-    class of the smaller set of a pair: 0 its own class, 1 the one below.
+    """(which, spare, signatures) of a sorted distinct token set, for each size
+    class that the smaller set of a similar pair can have: 0 its own class, 1 the
+    one below, and so on.
 
     Two different sets with ``100 * |A & B| >= percent * |A | B|`` have more than
     ``spare`` signatures in common, for the larger ``spare`` of the two.  Sets
@@ -53,9 +54,9 @@ def signatures(tokens: np.ndarray, percent: int) -> list[tuple[int, int, np.ndar
     own = int(np.searchsorted(BOUNDS, n, "right")) - 1
     rest = 100 - percent
     out = []
-    for scheme in (own, own - 1):
-        if scheme < 0 or (scheme < own and 100 * (int(BOUNDS[own]) - 1) < percent * n):
-            continue
+    for scheme in range(own, -1, -1):
+        if scheme < own and 100 * (int(BOUNDS[scheme + 1]) - 1) < percent * n:
+            break
         smaller = min(int(BOUNDS[scheme + 1]) - 1, n)
         if rest * smaller // percent == 0:
             continue
@@ -123,7 +124,7 @@ def _signature_rows(width, percent):
             for i, text in _texts(batch):
                 s = shingle_set(text, width)
                 for which, spare, sig in signatures(s, percent) if len(s) else ():
-                    part.append(sig), at.append(ids[i]), size.append((len(s) << 24 | spare) * 2 + which)
+                    part.append(sig), at.append(ids[i]), size.append(len(s) << 28 | spare << 4 | which)
                     total += len(sig)
                 if total > 200_000:
                     yield flush()
@@ -193,7 +194,8 @@ def jaccard_components(
     width: int = 4,
     percent: int = 85,
 ) -> DataFrame:
-    """Exact similarity classes under Jaccard of ``width``-word shingles.
+    """Exact similarity classes under Jaccard of ``width``-word shingles, for any
+    ``percent`` from 1 to 100.
 
     Words are the pieces between ASCII white space, A-Z lower-cased.  Two
     documents link when ``100 * |A & B| >= percent * |A | B|``.  Returns a row
@@ -214,6 +216,8 @@ def jaccard_components(
     pairs of a large family of copies; pairs that both link to the pivot are not
     listed at all.  Between groups the matrix bound decides what is opened.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     work = Workspace(spark, "ngram")
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sized = work.table(map_rows(docs, _digests(width), "id bigint, n bigint, d1 bigint, d2 bigint"))
@@ -235,7 +239,7 @@ def jaccard_components(
     common = (
         rows.select("*", F.min("id").over(by_sig).alias("lead"), F.max("id").over(by_sig).alias("last"), F.count("*").over(by_sig).alias("k"))
         .where("lead <> last")
-        .select("sig", "id", "k", F.expr("packed >> 25").alias("n"), F.expr("(packed >> 1) & 16777215").alias("spare"), F.expr("packed & 1").alias("which"))
+        .select("sig", "id", "k", F.expr("packed >> 28").alias("n"), F.expr("(packed >> 4) & 16777215").alias("spare"), F.expr("packed & 15").alias("which"))
     )
     kept = common.select("*", F.row_number().over(hot_first).alias("r")).where("r > spare")
     shared = work.table(
@@ -380,7 +384,8 @@ def _across_groups(work: Workspace, shared: DataFrame, sets: DataFrame, apart: D
     """
     by_sig = Window.partitionBy("sig")
     place = apart.select("id", "group")
-    size = place.groupBy("group").agg(F.count("*").alias("members"))
+    # A table, so that Spark sees its size and can split the join at a hot group.
+    size = work.table(place.groupBy("group").agg(F.count("*").alias("members")))
     s = work.table(
         shared.select("sig", "id", "n").join(place.join(size, "group"), "id")
         .select("*", F.min("group").over(by_sig).alias("g0"), F.max("group").over(by_sig).alias("g1"))
