@@ -50,6 +50,32 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+_DOTS = r"(^|/)\.\.?(/|$)"
+
+
+def _without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved."""
+    kept = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda out, s: F.when(s == ".", out).when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(s))),
+    )
+    ended = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.rlike(_DOTS), F.regexp_replace(ended, "//$", "/")).otherwise(path)
+
+
+def address(url: Column) -> Column:
+    """The one spelling of an address by which aliases are compared: scheme and
+    host lower-cased (A-Z), no default port, no fragment, ``/`` for an empty
+    path, no dot segments.  Without ``://`` only a fragment goes."""
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    scheme = _lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    port = F.when(scheme == "http", r":(80)?$").when(scheme == "https", r":(443)?$").otherwise(r":$")
+    host = F.regexp_replace(host_of(bare), port, F.lit(""))
+    path = F.when(path_of(bare) == "", F.lit("/")).otherwise(_without_dots(path_of(bare)))
+    query = F.regexp_extract(bare, r"(?s)^[^?]*(\?.*)$", 1)
+    return F.when(bare.contains("://"), F.concat(scheme, F.lit("://"), host, path, query)).otherwise(bare)
+
+
 def best_rule(host: Column, path: Column, rules: list[Rule], value: str) -> Column:
     """``text`` or ``verdict`` of the longest rule that fits, else null; equal
     lengths go to the first listed."""
@@ -79,7 +105,13 @@ _REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst``: canonical links and refresh redirects of ``pages(url, html)``."""
+    """``src, dst``: canonical links and refresh redirects of ``pages(url, html)``,
+    both ends as :func:`address` spells them.
+
+    Pages with a null url or html, targets that cannot be resolved and links of a
+    page to itself give no edge; repeated links repeat; extra columns are ignored;
+    an empty table gives no edges.
+    """
     tag = pages.where("html is not null and url is not null").select(
         "url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag")
     )
@@ -89,7 +121,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.col("tag").rlike(_REFRESH) & F.col("tag").rlike(r"(?i)^<meta"), goes
     )
     return (
-        tag.select(F.regexp_replace("url", "#.*$", "").alias("src"), _resolve(F.col("url"), to).alias("dst"))
+        tag.select(address(F.col("url")).alias("src"), address(_resolve(F.col("url"), to)).alias("dst"))
         .where("dst is not null and src <> dst")
     )
 
@@ -101,7 +133,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], redirects: D
     A page's own longest rule decides.  Without one the page takes part in its
     alias component (``redirects(src, dst)`` adds observed redirects to the
     links in the pages): allow if an allow rule fits any of its addresses, else
-    block if a block rule does, else allow.  Addresses count without fragment.
+    block if a block rule does, else allow.  Addresses are compared as
+    :func:`address` spells them.
     ``aliases`` is the component's number of addresses, 1 for none.
 
     A null url, or one without ``://``, has empty host and path, no rule and no
@@ -112,13 +145,13 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], redirects: D
     work = Workspace(spark, "urls")
     edges = alias_edges(pages)
     if redirects is not None:
-        clean = lambda c: F.regexp_replace(F.col(c), "#.*$", "").alias(c)
+        clean = lambda c: address(F.col(c).cast("string")).alias(c)
         edges = edges.unionByName(redirects.where("src is not null and dst is not null").select(clean("src"), clean("dst")))
     edges = work.table(edges.distinct())
     url = F.col("url").cast("string")
     out = pages.select(
         "page_id", host_of(url).alias("host"), path_of(url).alias("path"),
-        F.xxhash64(F.regexp_replace(url, "#.*$", "")).alias("node"), url.contains("://").alias("real"),
+        F.xxhash64(address(url)).alias("node"), url.contains("://").alias("real"),
     )
     own = lambda v: best_rule(F.col("host"), F.col("path"), rules, v)
     out = out.select("*", own("text").alias("rule"), own("verdict").alias("own"))
