@@ -9,13 +9,16 @@ are then removed.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Shared, map_rows
+from .runtime import Shared, Workspace, map_rows
 
 #: words after A-Z are lower-cased: letters and digits of ASCII, and every code
 #: point above it
@@ -25,6 +28,9 @@ _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Most benchmark words in one broadcast automaton (about 60 MB); a larger
 #: benchmark is dealt to several.
 AUTOMATON_WORDS = 200_000
+#: Automata that are broadcast at a time; with more of them the documents are
+#: passed over several times.
+AT_ONCE = 2
 
 
 def words(text: str | None) -> list[str]:
@@ -160,20 +166,114 @@ class SuffixAutomaton:
         return np.cumsum(delta[:n]) > 0, items, longest
 
 
-def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 13) -> list[SuffixAutomaton]:
+def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 13) -> Iterator[SuffixAutomaton]:
     """Automata of all benchmark items, each over at most ``AUTOMATON_WORDS``
-    words (or one longer item).  Items are streamed to the driver; null texts
+    words (or one longer item), one at a time.  Items are streamed; null texts
     and texts without words give no window."""
-    out, part, size = [], [], 0
+    part, size, none = [], 0, True
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         ws = words(r.t)
         if part and size + len(ws) > AUTOMATON_WORDS:
-            out.append(SuffixAutomaton(part, window))
-            part, size = [], 0
+            yield SuffixAutomaton(part, window)
+            part, size, none = [], 0, False
         part.append((r.i if r.i is not None else "", ws))
         size += len(ws)
-    out.append(SuffixAutomaton(part, window))
-    return out
+    if part or none:
+        yield SuffixAutomaton(part, window)
+
+
+def _look(built: list[SuffixAutomaton], ws: list[str]) -> tuple[np.ndarray, set[str], int]:
+    hit, items, longest = np.zeros(len(ws), bool), set(), 0
+    for a in built:
+        h, it, lo = a.scan(ws)
+        hit |= h
+        items |= it
+        longest = max(longest, lo)
+    return hit, items, longest
+
+
+_FOUND = "starts array<bigint>, stops array<bigint>, items array<string>, longest bigint"
+
+
+def _pass(spark: SparkSession, src: DataFrame, built: list[SuffixAutomaton]) -> DataFrame:
+    """``h1, h2`` (hashes of the text) and ``_FOUND`` of the documents with any match."""
+    shared = [Shared(spark, a) for a in built]
+
+    def make():
+        mine = [a.value for a in shared]
+
+        def step(batch):
+            text, rows = batch.column("text"), []
+            for i in range(batch.num_rows):
+                hit, items, longest = _look(mine, words(text[i].as_py()))
+                if longest:
+                    edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
+                    rows.append((i, np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), sorted(items), longest))
+            if rows:
+                at = pa.array([r[0] for r in rows])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("h1").take(at), batch.column("h2").take(at), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                     pa.array([r[3] for r in rows], pa.list_(pa.string())), pa.array([r[4] for r in rows], pa.int64())],
+                    ["h1", "h2", "starts", "stops", "items", "longest"],
+                )
+
+        return step
+
+    return map_rows(src, make, f"h1 bigint, h2 bigint, {_FOUND}")
+
+
+def _finder(spark: SparkSession, documents: DataFrame, text_col: str, benchmark: DataFrame, window: int):
+    """(documents, make): ``make()`` gives in a task a function of (batch, row,
+    words) that returns the hits, items and longest match of that row.
+
+    Up to ``AT_ONCE`` automata are broadcast and run in place.  A larger
+    benchmark goes over the documents once for each ``AT_ONCE`` of its automata,
+    so that neither the driver nor a worker holds more than those; the matches
+    of the few documents that have any are written down by the hash of their
+    text and joined to the documents.
+    """
+    stream = automata(benchmark, window=window)
+    built = list(islice(stream, AT_ONCE))
+    more = list(islice(stream, AT_ONCE))
+    if not more:
+        shared = [Shared(spark, a) for a in built]
+
+        def make():
+            mine = [a.value for a in shared]
+            return lambda batch, i, ws: _look(mine, ws)
+
+        return documents, make
+    work = Workspace(spark, "decontamination")
+    tag = f"found_{uuid.uuid4().hex}"
+    text = F.col(text_col).cast("string")
+    h1, h2 = F.xxhash64(text, F.lit(1)), F.xxhash64(text, F.lit(2))
+    src = documents.where(text.isNotNull()).select(text.alias("text"), h1.alias("h1"), h2.alias("h2"))
+    found = None
+    while built:
+        one = work.table(_pass(spark, src, built).dropDuplicates(["h1", "h2"]))
+        found = one if found is None else found.unionByName(one)
+        built, more = more, list(islice(stream, AT_ONCE))
+    every = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = work.table(found.groupBy("h1", "h2").agg(every("starts"), every("stops"), every("items"), F.max("longest").alias("longest")))
+    small = found.count() <= BROADCAST_ROWS
+    found = found.select(F.struct("h1", "h2", "starts", "stops", "items", "longest").alias(tag))
+    joined = documents.join(F.broadcast(found) if small else found, (h1 == F.col(f"{tag}.h1")) & (h2 == F.col(f"{tag}.h2")), "left")
+
+    def make():
+        def find(batch, i, ws):
+            hit = np.zeros(len(ws), bool)
+            r = batch.column(tag)[i].as_py()
+            for a, b in zip(r["starts"], r["stops"]) if r else ():
+                hit[a:b] = True
+            return hit, set(r["items"]) if r else set(), r["longest"] if r else 0
+
+        return find
+
+    return joined, make
+
+
+#: Most rows of matches that are broadcast, at about 1 kB each.
+BROADCAST_ROWS = 50_000
 
 
 def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", clean: bool = False) -> DataFrame:
@@ -190,11 +290,10 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window
     each of their ids, equal ids once.
     """
     src = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    built = automata(benchmark, window=window)
-    shared = [Shared(spark, a) for a in built]
+    src, finder = _finder(spark, src, "text", benchmark, window)
 
     def make():
-        built = [a.value for a in shared]
+        find = finder()
 
         def step(batch):
             text = batch.column("text")
@@ -202,12 +301,7 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window
             for i in range(batch.num_rows):
                 s = text[i].as_py()
                 ws = words(s)
-                hit, items, longest = np.zeros(len(ws), bool), set(), 0
-                for a in built:
-                    h, it, lo = a.scan(ws)
-                    hit |= h
-                    items |= it
-                    longest = max(longest, lo)
+                hit, items, longest = find(batch, i, ws)
                 cols[0].append(len(ws)), cols[1].append(int(hit.sum())), cols[2].append(sorted(items)), cols[3].append(longest)
                 cols[4].append(_without(s, hit) if clean and hit.any() else s if clean else None)
             yield pa.RecordBatch.from_arrays(
@@ -246,24 +340,27 @@ def contaminated(limit: int = 20):
 
 def uncontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = 20, text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` within the coverage limit, with all their
-    columns; one pass, no shuffle."""
-    shared = [Shared(spark, a) for a in automata(benchmark, window=window)]
+    columns; texts are not shuffled while the matches fit a broadcast.
 
-    def make():
-        built = [a.value for a in shared]
+    Null and wordless texts stay; repeated rows are decided alike; null ids and
+    columns of any name do not matter; an empty benchmark drops nothing; an empty
+    table gives an empty result.
+    """
+    names, schema = documents.columns, documents.schema
+    src, finder = _finder(spark, documents, text_col, benchmark, window)
 
-        def clean(text):
-            ws = words(text)
-            hit = np.zeros(len(ws), bool)
-            for a in built:
-                hit |= a.scan(ws)[0]
-            n = int(hit.sum())
-            return n == 0 or limit * n < len(ws)
+    def make():
+        find = finder()
 
         def step(batch):
-            text = batch.column(text_col)
-            yield batch.filter(pa.array([clean(text[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
+            text, keep = batch.column(text_col), []
+            for i in range(batch.num_rows):
+                ws = words(text[i].as_py())
+                n = int(find(batch, i, ws)[0].sum())
+                keep.append(n == 0 or limit * n < len(ws))
+            out = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([out.column(j) for j in range(len(names))], names)
 
         return step
 
-    return map_rows(documents, make, documents.schema)
+    return map_rows(src, make, schema)
