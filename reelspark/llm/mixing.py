@@ -114,7 +114,8 @@ def rake(cells: DataFrame, targets: DataFrame, work: Workspace, rate: float = 0.
     ``targets(dim, value, share)`` are normalised within a dimension.  Cells of a
     value that a dimension's targets do not name get 0; a dimension without any
     target is left free; cells without tokens get 1.  Ends when no marginal is
-    off by more than ``tolerance`` of the kept mass, or after ``rounds``; the
+    off by more than ``tolerance`` of the kept mass, when the gap no longer
+    shrinks (marginals that no sample meets together), or after ``rounds``; the
     gap left (as a share of the kept mass) is returned and warned about.
     """
     named = {r["dim"] for r in targets.where("share > 0").select("dim").distinct().collect()}
@@ -153,7 +154,7 @@ def rake(cells: DataFrame, targets: DataFrame, work: Workspace, rate: float = 0.
         df = df.withColumn("ratio", F.when(F.col("full"), F.col("ratio")).otherwise(F.col("ratio") * F.coalesce(step, F.lit(1.0)))).drop("fixed", "loose")
         return work.table(df) if wide else df
 
-    gap, done = 0.0, 0
+    gap, done, stuck = 0.0, 0, 0
     while dims and mass > 0 and done < rounds:
         new = w
         for _ in range(block):
@@ -165,10 +166,11 @@ def rake(cells: DataFrame, targets: DataFrame, work: Workspace, rate: float = 0.
         gaps = [new.where(live).groupBy(f"k_{d}").agg(F.abs(kept - F.first(f"to_{d}")).alias("gap")).agg(F.max("gap").alias("gap")) for d in dims]
         for g in gaps[1:]:
             gaps[0] = gaps[0].unionByName(g)
-        gap = (gaps[0].agg(F.max("gap")).first()[0] or 0.0) / mass
+        last, gap = gap, (gaps[0].agg(F.max("gap")).first()[0] or 0.0) / mass
+        stuck = stuck + 1 if done > block and gap > 0.95 * last else 0
         work.drop(w)
         w = new
-        if gap <= tolerance:
+        if gap <= tolerance or stuck == 2:
             break
     if gap > tolerance:
         warnings.warn(f"raking stopped after {done} rounds with a marginal off by {gap:.4g} of the kept tokens", stacklevel=2)
