@@ -268,6 +268,8 @@ def jaccard_components(
     to_pivot = apart.where("linked and id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
     links = to_pivot.unionByName(inside).unionByName(across).unionByName(both.select(F.col("id").alias("u"), F.col("rep").alias("v")))
     found = components(links, work).select(F.col("node").alias("rep"), "component")
+    for done in (shared, lead, tree, sets, apart, inside, across, both):  # the components have read them
+        work.drop(done)
 
     return (
         sized.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")

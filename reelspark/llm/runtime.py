@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ BROADCAST_IDS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder
-    is made and set as checkpoint folder.
+    Only where the session names none and runs on one machine (tests) a temporary
+    folder is made and set as checkpoint folder; on a cluster that is an error,
+    as its machines would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -36,13 +40,17 @@ class Workspace:
     """Intermediate tables of one operator call, written to the shared folder.
 
     A written table cuts lineage: losing an executor costs a reread, never a
-    recomputation from the start.
+    recomputation from the start.  An operator's result reads from its tables, so
+    they stay until :func:`close_workspaces` is called, once results are saved.
     """
 
+    _open: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Workspace._open.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return it read back."""
@@ -55,10 +63,22 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this workspace that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._workspace_path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+        self._delete(df._workspace_path)
+
+    def close(self) -> None:
+        """Delete all tables of this workspace."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def close_workspaces() -> None:
+    """Delete the intermediate tables of every operator call so far; results that
+    were not saved can no longer be read."""
+    while Workspace._open:
+        Workspace._open.pop().close()
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", size: int | None = None) -> DataFrame:
