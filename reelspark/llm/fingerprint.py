@@ -7,6 +7,12 @@ cell, what is common cancels, and peeling cells that hold a single digest
 recovers the digests that differ.  Where peeling gets stuck both sketches are
 built again twice as large.
 
+A stored fingerprint is large enough that peeling it alone recovers all of its
+text's digests.  Two of them can be subtracted directly, after cells of the
+larger are added up pairwise down to the size of the smaller (cell i of m holds
+cells i and i + m of 2m); where that does not peel, each is peeled alone and both
+are built again larger.  So a likeness needs the two fingerprints and no text.
+
 Everything is a Spark SQL expression over arrays inside one row: no Python, no
 explode, no shuffle of cells.
 """
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 FIRST = 4
 #: paragraphs a segment holds on average in texts of more than one segment
 SEGMENT = 48
-#: attempts, each with cells twice as many; the last has 4 * 2**19 per table
+#: attempts, each with cells twice as many; the last has at least 4 * 2**19 per table
 ATTEMPTS = 20
 
 # An element is struct(d, c): digest and check hash.
@@ -31,9 +37,10 @@ _DIGESTS = (
 
 
 def _place(e: str, table: int, cells: str) -> str:
-    return f"pmod(xxhash64({e}.d, {table}, {cells}), {cells})"
+    return f"pmod(xxhash64({e}.d, {table}), {cells})"
 
 
+_CELLS = "array<array<struct<n: bigint, d: bigint, c: bigint>>>"
 _EMPTY = "struct(0L as n, 0L as d, 0L as c)"
 
 
@@ -120,12 +127,29 @@ def elements(text: str) -> Column:
     return F.expr(_DIGESTS.format(text))
 
 
+def _alone(segment: str) -> str:
+    """The smallest sketch of an element array that peels to all its elements, of
+    one and a half cells an element at first."""
+    none = f"cast(null as {_CELLS})"
+    first = f"cast(greatest({FIRST}, shiftleft(1, cast(ceil(log2(greatest(size({segment}), 1) / 2D)) as int))) as bigint)"
+    attempt = f"transform(array({sketch(segment, 'm')}), z -> if({_peel('z', 'm')} is null, {none}, z))[0]"
+    return (
+        f"transform(array({first}), f -> aggregate(sequence(0, {ATTEMPTS - 1}), {none},"
+        f" (r, k) -> coalesce(r, transform(array(shiftleft(f, k)), m -> {attempt})[0])))[0]"
+    )
+
+
 def encoded(elements_col: str) -> Column:
-    """The first-size sketch as text: the number of paragraphs, then each cell's
-    count, digest XOR and check XOR in hexadecimal."""
+    """The fingerprint as text: the number of paragraphs, ``|``, then the sketch of
+    each segment, joined by ``;``.  A sketch is the cells of its three tables in
+    order, joined by ``,``; a cell is its count, digest XOR and check XOR in
+    hexadecimal, joined by ``:``.  Texts of up to ``SEGMENT`` paragraphs have one
+    segment, larger ones n * n by digest, n a power of two."""
     cell = "concat(hex(z.n), ':', hex(z.d), ':', hex(z.c))"
+    n = f"if(size({elements_col}) <= {SEGMENT}, 1L, shiftleft(1L, cast(ceil(log2(sqrt(size({elements_col}) / {SEGMENT}D))) as int)))"
+    segment = f"array_join(transform(flatten({_alone('e')}), z -> {cell}), ',')"
     return F.expr(
-        f"concat(size({elements_col}), '|', array_join(transform(flatten({sketch(elements_col, f'{FIRST}L')}), z -> {cell}), ','))"
+        f"concat(size({elements_col}), '|', transform(array({n}), g -> array_join(transform({_segments(elements_col, 'g')}, e -> {segment}), ';'))[0])"
     )
 
 
@@ -168,7 +192,8 @@ def fingerprints(spark: SparkSession, documents: DataFrame, id_col: str = "doc_i
     by as many first ones (or all) of the next document's, in descending id.
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``; the near columns are the Jaccard likeness of the
-    paragraph sets, from the peeled difference of their sketches.
+    paragraph sets that the fingerprints hold, from the peeled difference of
+    sketches.
 
     A null text is empty: no paragraphs, and likeness 1 with another empty one.
     Repeated paragraphs count once, blank lines not.  Rows with a null id come
