@@ -43,6 +43,25 @@ def _round_trip(fmt: str, only: str = "true", video: str = "h264", scale: int =
     return query
 
 
+def _timed_trip(fmt: str, rate: int):
+    """As :func:`_round_trip`, with video shown up to two frames after it is
+    decoded; compares times, in ``1 / rate`` seconds, and key frames."""
+
+    def query(spark, sf_dir):
+        p, s = _packets(spark, sf_dir)
+        p = p.withColumn("pts", F.expr("pts + if(idx = 0, 40 * (ordinal % 3), 0)"))
+        out = mux.write_files(p, s, fmt).withColumn("format", F.lit(fmt))
+        t = lambda c: (F.col(c) * F.col("tb_num") * rate / F.col("tb_den")).cast("bigint").alias(c)
+        return files.parse_packets(out).select("file", "idx", "ordinal", t("pts"), t("dts"), "keyframe", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("md5"))
+
+    return query
+
+
+def _timed_sql(rate: int) -> str:
+    k = rate // 25
+    return f"with {_EV} select file, idx, ordinal, ordinal * {k} + case when idx = 0 then {k} * (ordinal % 3) else 0 end as pts, ordinal * {k} as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from ev"
+
+
 def _trip_sql(only: str = "true") -> str:
     return f"with {_EV} select file, idx, ordinal, octet_length(encode(props)) as size, md5(props) as md5 from ev where {only}"
 
@@ -99,12 +118,12 @@ def _events(spark, sf_dir):
 QUERIES = {
     "src_ivf": _round_trip("ivf", "idx = 0", "vp9"),
     "src_flv": _round_trip("flv"),
-    "sink_flv": _round_trip("flv", "idx = 0"),
+    "sink_flv": _timed_trip("flv", 1000),
     "src_avi": _round_trip("avi"),
-    "sink_avi": _round_trip("avi", "idx = 0"),
+    "sink_avi": _round_trip("avi"),
     "src_mp4_file": _round_trip("mp4"),
     "src_ts_file": _round_trip("mpegts"),
-    "sink_ts": _round_trip("mpegts", "idx = 0"),
+    "sink_ts": _timed_trip("mpegts", 90000),
     "src_wav": _wav,
     "sink_wav": _wav,
     "src_y4m": _y4m,
@@ -118,8 +137,8 @@ QUERIES = {
 }
 
 SQL = {
-    "src_ivf": _trip_sql("idx = 0"), "src_flv": _trip_sql(), "sink_flv": _trip_sql("idx = 0"), "src_avi": _trip_sql(), "sink_avi": _trip_sql("idx = 0"),
-    "src_mp4_file": _trip_sql(), "src_ts_file": _trip_sql(), "sink_ts": _trip_sql("idx = 0"),
+    "src_ivf": _trip_sql("idx = 0"), "src_flv": _trip_sql(), "sink_flv": _timed_sql(1000), "src_avi": _trip_sql(), "sink_avi": _trip_sql(),
+    "src_mp4_file": _trip_sql(), "src_ts_file": _trip_sql(), "sink_ts": _timed_sql(90000),
     "src_wav": "select 'w' || (id // 500) as file, id % 500 as n, case when id * 7919 % 65536 >= 32768 then id * 7919 % 65536 - 65536 else id * 7919 % 65536 end as v from range(2000) t(id)",
     "sink_wav": "select 'w' || (id // 500) as file, id % 500 as n, case when id * 7919 % 65536 >= 32768 then id * 7919 % 65536 - 65536 else id * 7919 % 65536 end as v from range(2000) t(id)",
     "src_y4m": f"with {fx._pix_sql()} select clip, frame_no, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' order by plane, y, x))) as md5 from pix group by 1, 2",

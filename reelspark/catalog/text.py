@@ -55,12 +55,16 @@ _PAD = lambda n, k: f"lpad(hex({n}), {2 * k}, '0')"
 
 
 def _src_mp3(spark, sf_dir):
-    """Frames of one stream by header, with their running time."""
-    f = _mp3(spark, sf_dir).where("rate = 44100")
+    """Frames of each stream by header, with their running time."""
+    f = _mp3(spark, sf_dir)
     from pyspark.sql import Window
 
-    w = Window.partitionBy("channels").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return f.select("channels", "id", "size", F.coalesce(F.sum("samples").over(w), F.lit(0)).alias("pts"))
+    w = Window.partitionBy("rate", "channels").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return f.select("rate", "channels", "id", "size", F.coalesce(F.sum("samples").over(w), F.lit(0)).alias("pts"))
+
+
+def _units(spark, sf_dir):
+    return _read(spark, sf_dir, "events").selectExpr("event_id", "encode(props, 'utf-8') as a", "encode(event_type, 'utf-8') as b")
 
 
 LOCATIONS = ["http://other.example.org/x", "/root/rel", "bare", "https://s.example.org/"]
@@ -77,13 +81,18 @@ QUERIES = {
     "fn_srt_vtt": lambda s, d: tx.render_cues(_parsed(s, d), ["file"], "vtt"),
     "fn_url_parts": lambda s, d: _read(s, d, "pages").select("page_id", tx.url_parts(F.col("url")).alias("u")).select("page_id", "u.*"),
     "fn_redirect": lambda s, d: _read(s, d, "pages").select("page_id", tx.resolve_redirect(F.col("url"), F.element_at(F.array(*[F.lit(x) for x in LOCATIONS]), (F.col("page_id") % 4 + 1).cast("int"))).alias("target")),
-    "fn_json_escape": lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", tx.json_escape(F.concat(F.lit('"\\'), F.substring("text", 1, 40), F.lit('"'))).alias("escaped")),
+    "fn_json_escape": lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", tx.json_escape(F.concat(F.lit('"\\'), F.col("text"), F.lit('"'))).alias("escaped")),
     "fn_le_be": lambda s, d: _from_id(s, 3000, _PAD("id * 7919 % 16777216", 4)).select("id", bn.big_endian(F.col("data"), 0, 4).alias("be"), bn.little_endian(F.col("data"), 0, 4).alias("le"), bn.big_endian(F.col("data"), 2, 2).alias("be16"), bn.big_endian(F.col("data"), 3, 2).alias("past")),
     "fn_syncsafe": lambda s, d: _from_id(s, 3000, "concat(" + ", ".join(_PAD(f"shiftright(id * 70001, {7 * i}) & 127", 1) for i in (3, 2, 1, 0)) + ")").select("id", bn.syncsafe(F.col("data"), 0).alias("size")),
     "fn_leb128": lambda s, d: _from_id(s, 3000, f"if(id * 7 < 128, {_PAD('id * 7', 1)}, if(id * 7 < 16384, concat({_PAD('128 + (id * 7) % 128', 1)}, {_PAD('id * 7 div 128', 1)}), concat({_PAD('128 + (id * 7) % 128', 1)}, {_PAD('128 + (id * 7) div 128 % 128', 1)}, {_PAD('id * 7 div 16384', 1)}, 'FF')))").select("id", bn.leb128(F.col("data")).alias("v")).select("id", "v.value", F.col("v.size").cast("bigint").alias("size")),
     "fn_ts33": lambda s, d: s.range(3000).selectExpr("id", "id * 98765432 as pts").select("id", F.hex(bn.ts33_bytes(F.col("pts"))).alias("bytes"), bn.ts33(bn.ts33_bytes(F.col("pts"))).alias("pts")),
     "fn_mp3_header": _mp3,
     "src_mp3": _src_mp3,
+    "fn_bits": lambda s, d: _from_id(s, 3000, _PAD("id * 791987 % 4294967296", 4)).select("id", bn.bits(F.col("data"), (F.col("id") % 13).cast("int"), 11).alias("mid"), bn.bits(F.col("data"), 3, 29).alias("tail"), bn.bits(F.col("data"), 30, 3).alias("past")),
+    "fn_exp_golomb": lambda s, d: _from_id(s, 3000, _PAD("shiftleft(id + 1, cast(31 - 2 * floor(log2(id + 1)) as int))", 4)).select("id", bn.exp_golomb(F.col("data"), 0).alias("g")).select("id", "g.value", "g.next"),
+    "fn_asc": lambda s, d: _from_id(s, 3000, _PAD("(1 + id % 30) * 2048 + (id % 13) * 128 + (id % 8) * 8", 2)).select("id", bn.audio_config(F.col("data")).alias("c")).select("id", "c.*"),
+    "fn_annexb_split": lambda s, d: _units(s, d).select("event_id", F.posexplode(bn.annexb_units(F.expr("concat(x'00000001', a, x'000001', b, x'00', x'00000001', a)"))).alias("n", "unit")).select("event_id", F.col("n").cast("bigint").alias("n"), F.md5("unit").alias("md5")),
+    "fn_avcc_annexb": lambda s, d: _units(s, d).select("event_id", F.md5(bn.avcc_to_annexb(F.expr("concat(unhex(lpad(hex(octet_length(a)), 8, '0')), a, unhex(lpad(hex(octet_length(b)), 8, '0')), b)"), F.lit(4))).alias("md5")),
     "fn_crc32_ogg": lambda s, d: _read(s, d, "nation").select("n_nationkey", bn.crc32_ogg(F.encode("n_name", "utf-8")).alias("crc")),
     "fn_crc32_mpeg": lambda s, d: _read(s, d, "nation").select("n_nationkey", bn.crc32_mpeg(F.encode("n_name", "utf-8")).alias("crc")),
     "fn_crc8": lambda s, d: _read(s, d, "nation").select("n_nationkey", bn.crc8_flac(F.encode("n_name", "utf-8")).alias("crc")),
@@ -131,13 +140,18 @@ SQL = {
     "fn_srt_vtt": f"{_RENDER} select file, {_VTT} as content from r group by file",
     "fn_url_parts": "select page_id, regexp_extract(url, '^(https?)://', 1) as scheme, regexp_extract(url, '^https?://([^/]*)', 1) as host, case when url like 'https:%' then 443 else 80 end as port, regexp_extract(url, '^https?://[^/]*(/.*)$', 1) as path from pages",
     "fn_redirect": f"select page_id, case when l like 'http%' then l else regexp_extract(url, '^(https?)://', 1) || '://' || regexp_extract(url, '^https?://([^/]*)', 1) || ':' || (case when url like 'https:%' then 443 else 80 end) || '/' || ltrim(l, '/') end as target from (select *, ({LOCATIONS!r})[page_id % 4 + 1] as l from pages)",
-    "fn_json_escape": "select conv_id, turn, '\\\"\\\\' || replace(replace(substr(text, 1, 40), '\\', '\\\\'), '\"', '\\\"') || '\\\"' as escaped from conversations",
+    "fn_json_escape": "select conv_id, turn, '\\\"\\\\' || replace(replace(text, '\\', '\\\\'), '\"', '\\\"') || '\\\"' as escaped from conversations",
     "fn_le_be": "select id, n as be, (n & 255) * 16777216 + (n // 256 & 255) * 65536 + (n // 65536 & 255) * 256 + n // 16777216 as le, n % 65536 as be16, null::bigint as past from (select id, id * 7919 % 16777216 as n from range(3000) t(id))",
+    "fn_bits": "select id, n >> (21 - id % 13) & 2047 as mid, n & 536870911 as tail, null::bigint as past from (select id, id * 791987 % 4294967296 as n from range(3000) t(id))",
+    "fn_exp_golomb": "select id, id as value, cast(2 * floor(log2(id + 1)) + 1 as bigint) as next from range(3000) t(id)",
+    "fn_asc": "select id, 1 + id % 30 as object_type, cast(([96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350])[id % 13 + 1] as bigint) as rate, cast(case when id % 8 = 7 then 8 else id % 8 end as bigint) as channels from range(3000) t(id)",
+    "fn_annexb_split": "select event_id, 0::bigint as n, md5(props) as md5 from events union all select event_id, 1, md5(event_type) from events union all select event_id, 2, md5(props) from events",
+    "fn_avcc_annexb": "select event_id, md5(unhex('00000001') || encode(props) || unhex('00000001') || encode(event_type)) as md5 from events",
     "fn_syncsafe": "select id, id * 70001 % 268435456 as size from range(3000) t(id)",
     "fn_leb128": "select id, id * 7 as value, case when id * 7 < 128 then 1 when id * 7 < 16384 then 2 else 3 end::bigint as size from range(3000) t(id)",
     "fn_ts33": "select id, printf('%02X%02X%02X%02X%02X', 33 + (p >> 30 & 7) * 2, p >> 22 & 255, (p >> 15 & 127) * 2 + 1, p >> 7 & 255, (p & 127) * 2 + 1) as bytes, p as pts from (select id, id * 98765432 % 8589934592 as p from range(3000) t(id))",
     "fn_mp3_header": _MP3 + " select id, kbps, rate, channels, samples, size from m",
-    "src_mp3": _MP3 + " select channels, id, size, cast(coalesce(sum(samples) over (partition by channels order by id rows between unbounded preceding and 1 preceding), 0) as bigint) as pts from m where rate = 44100",
+    "src_mp3": _MP3 + " select rate, channels, id, size, cast(coalesce(sum(samples) over (partition by rate, channels order by id rows between unbounded preceding and 1 preceding), 0) as bigint) as pts from m",
     "fn_crc32_ogg": _crc_sql(32, 0x04C11DB7, 0),
     "fn_crc32_mpeg": _crc_sql(32, 0x04C11DB7, 0xFFFFFFFF),
     "fn_crc8": _crc_sql(8, 0x07, 0),

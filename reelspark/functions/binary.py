@@ -7,8 +7,10 @@ megabytes use the readers in :mod:`reelspark.sources`.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def byte_at(data: Column, at: int | Column) -> Column:
@@ -29,6 +31,77 @@ def little_endian(data: Column, at: int, n: int) -> Column:
     return out
 
 
+def bits(data: Column, at: int | Column, n: int | Column) -> Column:
+    """Unsigned integer of ``n`` (up to 40) bits from bit offset ``at``, most
+    significant first; null past the end."""
+    at, n = (F.lit(x) if isinstance(x, int) else x for x in (at, n))
+    return F.when(at + n <= 8 * F.octet_length(data), _bits(data, at, n))
+
+
+def _bits(data: Column, at: Column, n: Column) -> Column:
+    """As :func:`bits`, with zeros past the end."""
+    window = F.conv(F.rpad(F.hex(F.substring(data, (at / 8).cast("int") + 1, F.lit(6))), 12, "0"), 16, 10).cast("bigint")
+    value = F.call_function("shiftright", window, (48 - at % 8 - n).cast("int"))
+    return value.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1)
+
+
+def exp_golomb(data: Column, at: int | Column) -> Column:
+    """struct(value, next) of the unsigned Exp-Golomb code at bit offset ``at``,
+    of up to 15 leading zeros; ``next`` is the offset behind it.  Null where the
+    code does not end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    word = _bits(data, at, F.lit(32))
+    zeros = F.when(word > 0, 32 - F.length(F.bin(word)))
+    value = bits(data, at + zeros, zeros + 1) - 1
+    return F.when((zeros <= 15) & value.isNotNull(), F.struct(value.alias("value"), (at + 2 * zeros + 1).cast("bigint").alias("next")))
+
+
+# Sampling rates by index, channels by configuration.
+ASC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+ASC_CHANNELS = (0, 1, 2, 3, 4, 5, 6, 8)
+
+
+def audio_config(data: Column) -> Column:
+    """struct(object_type, rate, channels) of an MPEG-4 AudioSpecificConfig;
+    reserved indexes give null."""
+    long_type = bits(data, 0, 5) == 31
+    at = F.when(long_type, 11).otherwise(5)
+    index = bits(data, at, 4)
+    given = index == 15
+    pick = lambda values, i: F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), i.cast("int"))
+    return F.struct(
+        F.when(long_type, 32 + bits(data, 5, 6)).otherwise(bits(data, 0, 5)).alias("object_type"),
+        F.when(given, bits(data, at + 4, 24)).otherwise(pick(ASC_RATES, index)).alias("rate"),
+        pick(ASC_CHANNELS, bits(data, at + F.when(given, 28).otherwise(4), 4)).alias("channels"),
+    )
+
+
+def annexb_units(data: Column) -> Column:
+    """Array of the NAL units of a byte stream, without start codes and trailing
+    zeros; what stands before the first start code is left out."""
+    parts = F.split(F.decode(data, "ISO-8859-1"), r"\x00\x00+\x01")
+    trimmed = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda u: F.regexp_replace(u, r"\x00+$", ""))
+    return F.transform(F.filter(trimmed, lambda u: u != ""), lambda u: F.encode(u, "ISO-8859-1"))
+
+
+@F.pandas_udf(BinaryType())
+def avcc_to_annexb(data: pd.Series, length_size: pd.Series) -> pd.Series:
+    """A packet of length-prefixed NAL units with start codes instead; a unit that
+    runs past the end is cut there.  Null stays null."""
+
+    def convert(b, n):
+        if b is None:
+            return None
+        out, at = bytearray(), 0
+        while at + n <= len(b):
+            size = int.from_bytes(b[at : at + n], "big")
+            out += b"\0\0\0\1" + b[at + n : at + n + size]
+            at += n + size
+        return bytes(out)
+
+    return pd.Series([convert(b, int(n)) for b, n in zip(data, length_size)])
+
+
 def syncsafe(data: Column, at: int) -> Column:
     """Four bytes of seven bits each."""
     out = F.lit(0).cast("bigint")

@@ -177,10 +177,12 @@ def ts(streams, packets):
     first_pid = next((pid[s["idx"]] for s in streams if s["media_type"] == "video"), min(pid.values()))
     out = [section(0, 0, 1, struct.pack(">HH", 1, 0xE000 | 4096)), section(4096, 2, 1, struct.pack(">HH", 0xE000 | first_pid, 0xF000) + es)]
     tb = {s["idx"]: (s["tb_num"], s["tb_den"], s["media_type"]) for s in streams}
-    for idx, pts, _, _, key, data in packets:
+    for idx, pts, dts, _, key, data in packets:
         n, d, kind = tb[idx]
-        t = (pts or 0) * 90000 * n // d
-        head = b"\x80\x80\x05" + _time_bytes(t, 2)
+        shown = (pts or 0) * 90000 * n // d
+        t = shown if dts is None else dts * 90000 * n // d
+        # the time of decoding is written where it differs; the clock follows it
+        head = b"\x80\x80\x05" + _time_bytes(shown, 2) if t == shown else b"\x80\xc0\x0a" + _time_bytes(shown, 3) + _time_bytes(t, 1)
         size = len(head) + len(data)
         pes = b"\0\0\1" + (b"\xe0" if kind == "video" else b"\xc0") + struct.pack(">H", size if size < 65536 and kind != "video" else 0) + head + data
         at, start = 0, True
