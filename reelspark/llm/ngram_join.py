@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest_roots
 from .runtime import BROADCAST_IDS, Workspace, keep_ids, map_rows, mix, shingle_set
 
 #: Hashed token columns of the matrix; a bound from hashed columns never
@@ -257,7 +257,7 @@ def jaccard_components(
     )
     # A document that leads all its signatures and is nobody's best leader has no
     # edge; it is a tree of its own.
-    led = components(lead, work).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    led = forest_roots(lead, work).select(F.col("node").alias("id"), "root")
     tree = work.table(shared.select("id").distinct().join(led, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sets = work.table(
         map_rows(keep_ids(docs, tree, "id", "inner").select("id", "root", "text"), _sets(width, ["root"], bits=True), _SET_COLUMNS)
@@ -304,7 +304,9 @@ def _merge_groups(work: Workspace, shared: DataFrame, sets: DataFrame) -> DataFr
     roots = sets.where("id = root")
     a, b = roots.select("root", F.col("tokens").alias("a")), roots.select(F.col("root").alias("to"), F.col("tokens").alias("b"))
     alike = other.join(a, "root").join(b, "to").withColumn("both", F.size(F.array_intersect("a", "b"))).where("10 * both >= (size(a) + size(b) - both)")
-    moved = work.table(components(alike.select(F.col("root").alias("u"), F.col("to").alias("v")), work).select(F.col("node").alias("root"), "component"))
+    # Each tree moves to one with a smaller root, so these moves form a forest.
+    moves = work.table(alike.select(F.col("root").alias("u"), F.col("to").alias("v")))
+    moved = forest_roots(moves, work).select(F.col("node").alias("root"), F.col("root").alias("component"))
     moved_here = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
     return sets.join(moved_here, "root", "left").select("id", F.coalesce("component", "root").alias("root"), "tokens")
 

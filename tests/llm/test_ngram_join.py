@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from reelspark.llm import ngram_join
+from reelspark.llm import graph, ngram_join
+from reelspark.llm.runtime import Workspace
 from tests.llm.test_operators import _classes
 
 
@@ -31,3 +32,15 @@ def test_percent_out_of_range(spark):
     for percent in (0, 101):
         with pytest.raises(ValueError):
             ngram_join.jaccard_components(spark, spark.createDataFrame([], "doc_id bigint, text string"), percent=percent)
+
+
+def test_forest_roots_of_chains_and_hubs(spark):
+    rng = random.Random(1)
+    up = {i: i - 1 for i in range(1, 70)} | {i: 100 for i in range(101, 160)} | {i: rng.randrange(200, i) for i in range(201, 300)}
+    found = graph.forest_roots(spark.createDataFrame(list(up.items()), "u bigint, v bigint"), Workspace(spark, "forest")).collect()
+
+    def root(i):
+        return root(up[i]) if i in up else i
+
+    assert sorted(map(tuple, found)) == sorted((i, root(i)) for i in up)
+    assert graph.forest_roots(spark.createDataFrame([], "u bigint, v bigint"), Workspace(spark, "forest")).isEmpty()
