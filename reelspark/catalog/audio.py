@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audio as ops
+from ..operators import lossless as ll
 
 
 def s16(spark: SparkSession, n: int = 10_000) -> DataFrame:
@@ -110,6 +111,13 @@ def _nmr(spark):
     return ops.nmr_summary(b, ["clip"])
 
 
+def _flac_trip(spark, sf_dir):
+    """Samples through encoded frames, linear prediction among them, and back."""
+    b = ll.flac_samples(ll.flac_frames(ll.pack_blocks(s16(spark))))
+    c = b.select("clip", "block", F.posexplode("pcm").alias("ch", "xs"))
+    return c.select("clip", F.col("ch").cast("bigint").alias("ch"), "block", F.posexplode("xs").alias("i", "v")).selectExpr("clip", "ch", "4096 * block + i as n", "cast(v as bigint) as v")
+
+
 def _lab(spark):
     t = ops.tone(spark, "a", 8000, 440.0, 1000.0, 500).unionByName(ops.tone(spark, "b", 8000, 100.0, 300.0, 500)).withColumn("v", F.round("v", 6))
     return ops.quantiser_lab(t, [1.0, 4.0, 32.0])
@@ -140,7 +148,11 @@ QUERIES = {
     "flac_stereo": lambda s, d: ops.stereo_mode(_stereo(s), 16),
     "flac_window": lambda s, d: _round(s.range(256).select(F.col("id").alias("i"), ops.tukey(F.col("id"), 256, 0.5).alias("a"), ops.tukey(F.col("id"), 256, 0.2).alias("b")), 9),
     "flac_autoc": lambda s, d: _round(ops.autocorrelation(_lpc_input(s), 8), 3),
-    "flac_levinson": lambda s, d: _round(ops.lpc(ops.autocorrelation(_lpc_input(s), 8), 8)),
+    "flac_levinson": lambda s, d: _round(ops.lpc(ops.autocorrelation(_lpc_input(s), 8), 8).select("ch", "block", F.posexplode("coefficients").alias("k", "c")).select("ch", "block", F.col("k").cast("bigint").alias("k"), "c"), 5),
+    "sig_lpc": lambda s, d: _round(ops.lpc(ops.autocorrelation(_lpc_input(s), 8), 8).select("ch", "block", (10 * F.log10("gain")).alias("gain_db")), 4),
+    "codec_flac_enc": lambda s, d: ll.flac_frames(ll.pack_blocks(s16(s)), 0).select("clip", "block", F.octet_length("frame").cast("bigint").alias("size"), F.shiftright(F.conv(F.hex(F.substring("frame", 4, 1)), 16, 10).cast("bigint"), 4).alias("code")),
+    "codec_flac_dec": _flac_trip,
+    "flac_lpc": lambda s, d: ll.flac_choices(ll.pack_blocks(s16(s))),
     "ms_transform": lambda s, d: _round(_stereo(s).selectExpr("n", "(l + r) / sqrt(2D) as mid", "(l - r) / sqrt(2D) as side")),
     "ms_energy": lambda s, d: _stereo(s).groupBy(F.expr("n div 576").alias("granule")).agg(F.expr("2 * sum((l - r) * (l - r)) < sum((l + r) * (l + r))").alias("mid_side")),
     "mp3_quant": lambda s, d: _round(s.range(-3000, 3000).select(F.col("id").alias("i"), ops.power_quantise(F.col("id") * 7.25).alias("level"), ops.power_dequantise(F.col("id")).alias("value"))),
@@ -156,6 +168,10 @@ QUERIES = {
 }
 
 _ST = "sp as (select a.n, a.v as l, b.v as r from s a join s b on a.n = b.n and a.ch = 0 and b.ch = 1)"
+_LPC = f"""with recursive {_S}, {_AC}, rr as (select clip, ch, block, list(r order by lag) as r from ac group by 1, 2, 3),
+lv(clip, ch, block, r, i, a, err) as (select clip, ch, block, r, 0, []::double[], r[1] from rr union all
+ select clip, ch, block, r, i + 1, list_append(list_transform(list_zip(a, list_reverse(a)), lambda x: x[1] - k * x[2]), k), err * (1 - k * k) from
+ (select *, (r[i + 2] - coalesce(list_sum(list_transform(list_zip(a, list_reverse(r[2:i + 1])), lambda x: x[1] * x[2])), 0)) / err as k from lv where i < 8))"""
 _STEREO = f"""with {_S}, {_ST},
 bl as (select ch, n // 4096 as block, n % 4096 as i, v from (select n, 0::bigint as ch, l as v from sp union all select n, 1, r from sp union all select n, 2, (l + r) >> 1::bigint from sp union all select n, 3, l - r from sp)), """.replace("(l + r) >> 1::bigint", "cast(floor((l + r) / 2) as bigint)") + _RES.replace(_B, "x as (select 1)").replace("clip, ch", "ch") + """,
 bp as (select ch, block, case when ch = 3 then 17 else 16 end as bps, count(*) as n, min(v) = max(v) as same from bl group by 1, 2),
@@ -192,6 +208,10 @@ SQL = {
     "flac_window": "select i, round(case when i < 63.75 then 0.5 * (1 + cos(pi() * (i / 63.75::double - 1))) when i > 191.25 then 0.5 * (1 + cos(pi() * ((i - 255) / 63.75::double + 1))) else 1 end, 9) as a,"
     " round(case when i < 25.5 then 0.5 * (1 + cos(pi() * (i / 25.5::double - 1))) when i > 229.5 then 0.5 * (1 + cos(pi() * ((i - 255) / 25.5::double + 1))) else 1 end, 9) as b from range(256) t(i)",
     "flac_autoc": f"with {_S}, {_AC} select clip, ch, block, lag, round(r, 3) as r from ac",
+    "flac_levinson": _LPC + " select ch, block, k, round(a[k + 1], 5) + 0 as c from lv, range(8) t(k) where i = 8",
+    "sig_lpc": _LPC + " select ch, block, round(10 * log10(r[1] / err), 4) as gain_db from lv where i = 8",
+    "codec_flac_enc": f"select clip, block, cast(8 + ceil(bits / 8) + 2 as bigint) as size, code from ({_STEREO})",
+    "codec_flac_dec": f"with {_S} select clip, ch, n, v from s",
     "ms_transform": f"with {_S}, {_ST} select n, round((l + r) / sqrt(2), 6) as mid, round((l - r) / sqrt(2), 6) as side from sp",
     "ms_energy": f"with {_S}, {_ST} select n // 576 as granule, 2 * sum((l - r) * (l - r)) < sum((l + r) * (l + r)) as mid_side from sp group by 1",
     "mp3_quant": "select i, cast(sign(i) * greatest(0, least(8206, floor(abs(i * 7.25::double) ** 0.75 - 0.0946 + 0.5))) as bigint) as level, round(sign(i) * abs(i)::double ** (4::double / 3), 6) as value from range(-3000, 3000) t(i)",

@@ -173,6 +173,8 @@ QUERIES = {
     "win_lag": lambda s, d: packets(s, d).selectExpr("idx", "ordinal", "pts - lag(pts) over (partition by idx order by ordinal) as delta"),
     "win_frame_blocks": _blocks,
     "win_warmup": _warm,
+    "win_lookahead": lambda s, d: ops.lookahead(packets(s, d), 25).select("idx", "ordinal", "release_pts"),
+    "st_bounded_scan": lambda s, d: ops.bounded_scan(packets(s, d), 200),
     "limit_frames": lambda s, d: ops.limit_frames(packets(s, d), 3).select("file", "idx", "ordinal", "pts"),
     "key_only": lambda s, d: packets(s, d).where("keyframe").select("file", "idx", "ordinal", "pts"),
     "dedup_consecutive": _dedup,
@@ -216,6 +218,8 @@ SQL = {
     "win_lag": f"with {_PK} select idx, ordinal, pts - lag(pts) over (partition by idx order by ordinal) as delta from pk",
     "win_frame_blocks": "select k as block, count(*) as n, cast(sum((n * 7919) % 65536 - 32768) as bigint) as total, min(n) as first from range(8) b(k), range(5000) s(n) where n >= k * 512 and n < k * 512 + 1024 group by 1",
     "win_warmup": "select c as chunk, count(*) as frames, count(*) filter (n < c * 50) as warmups, min(n) as first from range(5) t(c), range(230) s(n) where n >= c * 50 - (case when c > 0 then 8 else 0 end) and n < c * 50 + 50 group by 1",
+    "win_lookahead": f"with {_PK} select idx, ordinal, coalesce(lead(pts, 25) over w, last_value(pts) over (w rows between unbounded preceding and unbounded following)) as release_pts from pk window w as (partition by file, idx order by ordinal)",
+    "st_bounded_scan": f"with {_PK}, r as (select *, row_number() over (partition by file order by pts, idx, ordinal) as r from pk) select file, idx, count(*) as packets, min(pts) as first_pts from r where r <= 200 group by 1, 2",
     "limit_frames": f"with {_PK} select file, idx, ordinal, pts from pk where ordinal < 3",
     "key_only": f"with {_PK} select file, idx, ordinal, pts from pk where keyframe",
     "dedup_consecutive": "select user_id, event_id, event_type from (select *, lag(event_type) over w as p, row_number() over w as i from events window w as (partition by user_id order by epoch_us(ts), event_id)) where i = 1 or event_type is distinct from p",

@@ -173,6 +173,13 @@ def _merge(spark, sf_dir):
     return _round(ops.merge_error_stats(ops.error_stats(vectors(spark, sf_dir), ["label", "vec_id"]), ["label"]))
 
 
+def _markdown(spark, sf_dir):
+    """A table of nations for each region."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    by_nation = read("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.floor(F.max("c_acctbal")).cast("bigint").alias("largest"))
+    return ops.markdown_tables(read("nation").join(by_nation, "n_nationkey"), ["n_regionkey"], ["n_name", "customers", "largest"], ["n_name"])
+
+
 QUERIES = {
     "agg_bd_pchip": lambda s, d: _round(ops.bd_pchip(ladder(s, d)), 4),
     "agg_bd_summary": _speed_summary,
@@ -213,6 +220,7 @@ QUERIES = {
     "agg_repeat": lambda s, d: _round(ops.repeat_fraction(palette_pixels(s, d).withColumn("r", F.expr("r div 100")).withColumn("g", F.lit(0)).withColumn("b", F.lit(0)), ["a"], 64)),
     "agg_vartree": lambda s, d: ops.variance_tree(fx.planes(s, 64, 64)),
     "agg_report": _report,
+    "sink_report": _markdown,
     "lab_ladder": lambda s, d: _read(s, d, "events").select(F.col("event_type").alias("class")).distinct().select("class", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (48000, 64000, 96000, 128000, 192000)])).alias("bitrate")),
 }
 
@@ -295,6 +303,7 @@ SQL = {
     "agg_repeat": f"with {_PAL}, t as (select a, r // 100 = lag(r // 100) over w as same, row_number() over w as i from pp window w as (partition by a, y order by x)) select a, round(avg(same::int), 6) as repeated, avg(same::int) >= 0.35 as graphics from t where i > 1 group by 1",
     "agg_vartree": f"with {fx._pix_sql(64, 64)}, t as (select clip, frame_no, size, y // size as r, x // size as c, cast(sum(v) as bigint) as total, cast(sum(v * v) as bigint) as squares from pix, (values (8), (16), (32), (64)) z(size) where plane = 0 group by all)"
     " select clip, frame_no, size::bigint as size, r, c, total, squares, cast(256 * (squares - total * total // (size * size)) // (size * size) as bigint) as variance from t",
+    "sink_report": "with n as (select n_regionkey, n_name, count(*) as customers, cast(floor(max(c_acctbal)) as bigint) as largest from customer join nation on c_nationkey = n_nationkey group by 1, 2) select n_regionkey, '| n_name | customers | largest |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || customers || ' | ' || largest || ' |', chr(10) order by n_name) || chr(10) as report from n group by 1",
     "agg_report": "select count(*) as packets_written, count(*) filter (event_type = 'purchase') as frames_decoded from events",
     "lab_ladder": "select event_type as class, bitrate::bigint as bitrate from (select distinct event_type from events), (values (48000), (64000), (96000), (128000), (192000)) b(bitrate)",
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packed
+from ..operators import lossless, packed
 from ..sources import files, mux
 from ..streaming import stateful
 from . import containers, frames as fx
@@ -88,6 +88,60 @@ def _y4m(spark, sf_dir):
     return r.select(F.col("file").alias("clip"), F.col("pts").alias("frame_no"), F.md5("data").alias("md5"))
 
 
+def _joined(rows: DataFrame, piece: str, fmt: str, head: str = "''") -> DataFrame:
+    """``rows(file, idx, ordinal)`` as files of hexadecimal pieces in that order."""
+    parts = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ordinal", "idx", F.expr(piece).alias("x")))).alias("p"))
+    return parts.select("file", F.lit(fmt).alias("format"), F.unhex(F.concat(F.expr(head), F.array_join(F.transform("p", lambda e: e["x"]), ""))).alias("content"))
+
+
+def _one_stream(spark, sf_dir):
+    return _packets(spark, sf_dir)[0].withColumn("file", F.expr("concat(file, '-', idx)"))
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    return files.parse_packets(df).select("file", "idx", "ordinal", "pts", "keyframe", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("md5"))
+
+
+def _adts(spark, sf_dir):
+    """AAC frames with headers of 7 bytes, behind two stray bytes."""
+    size = "cast(octet_length(data) + 7 as bigint)"
+    byte = lambda e: f"lpad(hex({e}), 2, '0')"
+    frame = f"concat('FFF150', {byte(f'128 + shiftright({size}, 11)')}, {byte(f'shiftright({size}, 3) & 255')}, {byte(f'({size} & 7) * 32 + 31')}, 'FC', hex(data))"
+    return _parsed(_joined(_one_stream(spark, sf_dir), frame, "aac", "'0000'"))
+
+
+def _mp3_file(spark, sf_dir):
+    """Frames of 417 bytes (128 kb/s, 44.1 kHz) behind a tag and an Info frame."""
+    return _parsed(_joined(_one_stream(spark, sf_dir), "rpad(concat('FFFB9000', hex(md5(data))), 834, '0')", "mp3", "concat('4944330400000000000A', repeat('00', 10), rpad(concat('FFFB9000', repeat('00', 32), hex('Info')), 834, '0'))"))
+
+
+def _element(name: str, body: str) -> str:
+    return f"concat('{name}01', lpad(hex(cast(length({body}) div 2 as bigint)), 14, '0'), {body})"
+
+
+def _mkv(spark, sf_dir):
+    """Two tracks in a segment of unknown size; video in block groups with and
+    without references, audio in simple blocks."""
+    track = lambda n, kind, codec, more: _element("AE", f"concat('D781{n:02X}8381{kind:02X}', {_element('86', f'hex({codec!r})')}, {more})")
+    video, audio = track(1, 1, "V_VP9", _element("E0", "'B0820040BA820030'")), track(2, 2, "A_OPUS", _element("E1", "'B584473B80009F8102'"))
+    head = f"concat('1A45DFA380', '1853806701FFFFFFFFFFFFFF', {_element('1549A966', repr('2AD7B1830F4240'))}, {_element('1654AE6B', f'concat({video}, {audio})')})"
+    block = "concat(hex(129 + idx), '0005', if(idx = 1, '80', '00'), hex(data))"
+    group = _element("A0", f"concat({_element('A1', block)}, if(keyframe, '', 'FB81FF'))")
+    cluster = _element("1F43B675", f"concat('E784', lpad(hex(pts), 8, '0'), if(idx = 0, {group}, {_element('A3', block)}))")
+    return _parsed(_joined(_packets(spark, sf_dir)[0], cluster, "matroska", head))
+
+
+def _ogg(spark, sf_dir):
+    p, s = _packets(spark, sf_dir)
+    out = mux.write_files(p.where("idx = 1").withColumn("idx", F.lit(0)), s.where("idx = 1").withColumn("idx", F.lit(0)).withColumn("codec", F.lit("opus")), "ogg")
+    return files.parse_packets(out.withColumn("format", F.lit("ogg"))).select("file", "ordinal", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("md5"))
+
+
+def _png_files(spark):
+    f = packed.pack(fx.planes(spark), fx.G420).selectExpr("concat(clip, frame_no) as id", "width", "height", "1 as channels", "planes[0] as pixels")
+    return lossless.encode_png(f)
+
+
 IMAGES = [("png", "89504E470D0A1A0A0000000D4948445200000140000000F00802000000"), ("gif", "4749463839614001F000800000"), ("jpeg", "FFD8FFE000104A46494600010100000100010000FFC0001108007801400301220002110103110100"), ("webp", "524946461A000000574542505650384C0D0000002F3FC13B000000000000000000"), ("flac", "664C6143000000221000100000000000000" + "00AC442F000000000" + "0" * 32)]
 
 
@@ -128,6 +182,12 @@ QUERIES = {
     "sink_wav": _wav,
     "src_y4m": _y4m,
     "sink_y4m": lambda s, d: _y4m(s, d).select("clip", "md5"),
+    "src_adts": _adts,
+    "src_mp3_file": _mp3_file,
+    "src_mkv": _mkv,
+    "sink_ogg": _ogg,
+    "codec_png": lambda s, d: lossless.decode_png(_png_files(s)).select("id", "width", "height", F.md5("pixels").alias("md5")),
+    "sink_png": lambda s, d: files.parse_streams(_png_files(s).select(F.col("id").alias("file"), F.lit("png").alias("format"), F.col("image").alias("content"))).select("file", "codec", "width", "height"),
     "src_images": _images,
     "src_open": _src_open,
     "vf_chain_packed": _packed,
@@ -136,7 +196,15 @@ QUERIES = {
     "win_session": lambda s, d: stateful.sessions(_events(s, d), "12 hours", "1 hour").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")),
 }
 
+_ONE = f"with {_EV} select file || '-' || idx as file, 0 as idx, ordinal"
+
 SQL = {
+    "src_adts": f"{_ONE}, ordinal * 1024 as pts, true as keyframe, octet_length(encode(props)) as size, md5(props) as md5 from ev",
+    "src_mp3_file": f"{_ONE}, ordinal * 1152 as pts, true as keyframe, 417::bigint as size, md5(unhex('FFFB9000') || encode(md5(props)) || unhex(repeat('00', 381))) as md5 from ev",
+    "src_mkv": f"with {_EV} select file, idx, ordinal, ordinal * 40 + 5 as pts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from ev",
+    "sink_ogg": f"with {_EV} select file, ordinal, octet_length(encode(props)) as size, md5(props) as md5 from ev where idx = 1",
+    "codec_png": f"with {fx._pix_sql()} select clip || frame_no as id, {fx.W} as width, {fx.H} as height, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' order by y, x))) as md5 from pix where plane = 0 group by 1",
+    "sink_png": f"select c || f as file, 'png' as codec, {fx.W} as width, {fx.H} as height from (values ('A'), ('B')) a(c), range(2) b(f)",
     "src_ivf": _trip_sql("idx = 0"), "src_flv": _trip_sql(), "sink_flv": _timed_sql(1000), "src_avi": _trip_sql(), "sink_avi": _trip_sql(),
     "src_mp4_file": _trip_sql(), "src_ts_file": _trip_sql(), "sink_ts": _timed_sql(90000),
     "src_wav": "select 'w' || (id // 500) as file, id % 500 as n, case when id * 7919 % 65536 >= 32768 then id * 7919 % 65536 - 65536 else id * 7919 % 65536 end as v from range(2000) t(id)",

@@ -67,6 +67,26 @@ def _units(spark, sf_dir):
     return _read(spark, sf_dir, "events").selectExpr("event_id", "encode(props, 'utf-8') as a", "encode(event_type, 'utf-8') as b")
 
 
+# Bit strings of Exp-Golomb codes and of parameter sets by formula.
+_UE = lambda v: f"concat(repeat('0', cast(floor(log2({v} + 1)) as int)), bin({v} + 1))"
+_SPS_BITS = f"""concat(if(id % 2 = 0, '01000010', '01100100'), '00000000', '00011110', '1', if(id % 2 = 0, '', concat({_UE('1')}, '11', '00')), '1', {_UE('2')}, {_UE('3')}, '0',
+ {_UE('id % 120')}, {_UE('id % 68')}, if(id % 5 = 0, '00', '1'), '1', if(id % 3 = 0, concat('1', {_UE('0')}, {_UE('id % 4')}, {_UE('0')}, {_UE('id % 3 + 1')}), '0'), '01')"""
+
+
+def _sps(spark, sf_dir):
+    b = spark.range(3000).selectExpr("id", f"{_SPS_BITS} as bits").selectExpr("id", "rpad(concat(bits, '1'), 8 * cast(ceil((length(bits) + 1) / 8) as int), '0') as bits")
+    nibbles = "array_join(transform(sequence(0, cast(length(bits) div 4 as int) - 1), i -> conv(substr(bits, i * 4 + 1, 4), 2, 16)), '')"
+    return b.select("id", bn.sps_size(F.expr(f"unhex(concat('67', {nibbles}))")).alias("d")).select("id", "d.*")
+
+
+def _esds(spark, sf_dir):
+    """Descriptors with sizes of one and of four bytes, and optional fields."""
+    size = lambda n: f"if(id % 2 = 0, {_PAD(n, 1)}, concat('808080', {_PAD(n, 1)}))"
+    more = "if(id % 3 = 0, 'AABB', '')"
+    body = f"concat('00000000', '03', {size('40')}, '0001', if(id % 3 = 0, '80', '00'), {more}, '04', {size('20')}, repeat('40', 13), if(id % 7 = 0, '06', '05'), {size('2')}, {_PAD('id', 2)})"
+    return _from_id(spark, 3000, body).select("id", F.hex(bn.decoder_config(F.col("data"))).alias("config"))
+
+
 LOCATIONS = ["http://other.example.org/x", "/root/rel", "bare", "https://s.example.org/"]
 
 QUERIES = {
@@ -93,6 +113,9 @@ QUERIES = {
     "fn_asc": lambda s, d: _from_id(s, 3000, _PAD("(1 + id % 30) * 2048 + (id % 13) * 128 + (id % 8) * 8", 2)).select("id", bn.audio_config(F.col("data")).alias("c")).select("id", "c.*"),
     "fn_annexb_split": lambda s, d: _units(s, d).select("event_id", F.posexplode(bn.annexb_units(F.expr("concat(x'00000001', a, x'000001', b, x'00', x'00000001', a)"))).alias("n", "unit")).select("event_id", F.col("n").cast("bigint").alias("n"), F.md5("unit").alias("md5")),
     "fn_avcc_annexb": lambda s, d: _units(s, d).select("event_id", F.md5(bn.avcc_to_annexb(F.expr("concat(unhex(lpad(hex(octet_length(a)), 8, '0')), a, unhex(lpad(hex(octet_length(b)), 8, '0')), b)"), F.lit(4))).alias("md5")),
+    "fn_sps_dims": _sps,
+    "fn_esds": _esds,
+    "fn_ebml_vint": lambda s, d: _from_id(s, 3000, f"concat(if(id < 127, {_PAD('128 + id', 1)}, {_PAD('16384 + id', 2)}), 'FF')").select("id", bn.ebml_vint(F.col("data")).alias("v")).select("id", F.col("v.id").alias("whole"), "v.value", "v.size"),
     "fn_crc32_ogg": lambda s, d: _read(s, d, "nation").select("n_nationkey", bn.crc32_ogg(F.encode("n_name", "utf-8")).alias("crc")),
     "fn_crc32_mpeg": lambda s, d: _read(s, d, "nation").select("n_nationkey", bn.crc32_mpeg(F.encode("n_name", "utf-8")).alias("crc")),
     "fn_crc8": lambda s, d: _read(s, d, "nation").select("n_nationkey", bn.crc8_flac(F.encode("n_name", "utf-8")).alias("crc")),
@@ -147,6 +170,9 @@ SQL = {
     "fn_asc": "select id, 1 + id % 30 as object_type, cast(([96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350])[id % 13 + 1] as bigint) as rate, cast(case when id % 8 = 7 then 8 else id % 8 end as bigint) as channels from range(3000) t(id)",
     "fn_annexb_split": "select event_id, 0::bigint as n, md5(props) as md5 from events union all select event_id, 1, md5(event_type) from events union all select event_id, 2, md5(props) from events",
     "fn_avcc_annexb": "select event_id, md5(unhex('00000001') || encode(props) || unhex('00000001') || encode(event_type)) as md5 from events",
+    "fn_sps_dims": "select id, cast(16 * (id % 120 + 1) - case when id % 3 = 0 then 2 * (id % 4) else 0 end as int) as width, cast(16 * (id % 68 + 1) * m - case when id % 3 = 0 then 2 * m * (id % 3 + 1) else 0 end as int) as height from (select id, case when id % 5 = 0 then 2 else 1 end as m from range(3000) t(id))",
+    "fn_esds": "select id, case when id % 7 <> 0 then printf('%04X', id) end as config from range(3000) t(id)",
+    "fn_ebml_vint": "select id, id + case when id < 127 then 128 else 16384 end as whole, id as value, cast(case when id < 127 then 1 else 2 end as bigint) as size from range(3000) t(id)",
     "fn_syncsafe": "select id, id * 70001 % 268435456 as size from range(3000) t(id)",
     "fn_leb128": "select id, id * 7 as value, case when id * 7 < 128 then 1 when id * 7 < 16384 then 2 else 3 end::bigint as size from range(3000) t(id)",
     "fn_ts33": "select id, printf('%02X%02X%02X%02X%02X', 33 + (p >> 30 & 7) * 2, p >> 22 & 255, (p >> 15 & 127) * 2 + 1, p >> 7 & 255, (p & 127) * 2 + 1) as bytes, p as pts from (select id, id * 98765432 % 8589934592 as p from range(3000) t(id))",

@@ -10,7 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 
 def byte_at(data: Column, at: int | Column) -> Column:
@@ -102,6 +102,132 @@ def avcc_to_annexb(data: pd.Series, length_size: pd.Series) -> pd.Series:
     return pd.Series([convert(b, int(n)) for b, n in zip(data, length_size)])
 
 
+# Profiles whose parameter sets carry the chroma format.
+CHROMA_PROFILES = (44, 83, 86, 100, 110, 118, 122, 128, 134, 135, 138, 139, 244)
+
+
+class _BitString:
+    """Bits of one short header, read in order; ValueError past the end."""
+
+    def __init__(self, data: bytes):
+        self.s, self.at = bin(int.from_bytes(b"\1" + data, "big"))[3:], 0
+
+    def u(self, n: int) -> int:
+        self.at += n
+        if self.at > len(self.s):
+            raise ValueError("past the end")
+        return int(self.s[self.at - n : self.at] or "0", 2)
+
+    def ue(self) -> int:
+        zeros = self.s.index("1", self.at) - self.at
+        self.at += zeros
+        return self.u(zeros + 1) - 1
+
+    def se(self) -> int:
+        k = self.ue()
+        return k + 1 >> 1 if k & 1 else -(k >> 1)
+
+
+def _picture_size(unit: bytes) -> tuple[int, int]:
+    """Width and height of an H.264 sequence parameter set with its header byte."""
+    if not unit or unit[0] & 31 != 7:
+        raise ValueError("not a sequence parameter set")
+    b = _BitString(unit[1:].replace(b"\0\0\3", b"\0\0"))
+    profile = b.u(8)
+    b.u(16)
+    b.ue()
+    chroma, separate = 1, 0
+    if profile in CHROMA_PROFILES:
+        chroma = b.ue()
+        separate = b.u(1) if chroma == 3 else 0
+        b.ue(), b.ue(), b.u(1)
+        if b.u(1):
+            for i in range(12 if chroma == 3 else 8):
+                last = following = 8
+                for _ in range((16 if i < 6 else 64) if b.u(1) else 0):
+                    if following:
+                        following = (last + b.se()) % 256
+                    last = following or last
+    b.ue()
+    order = b.ue()
+    if order == 0:
+        b.ue()
+    elif order == 1:
+        b.u(1), b.se(), b.se()
+        for _ in range(b.ue()):
+            b.se()
+    b.ue(), b.u(1)
+    width, rows = 16 * (b.ue() + 1), b.ue() + 1
+    frames = b.u(1)
+    height = 16 * rows * (2 - frames)
+    if not frames:
+        b.u(1)
+    b.u(1)
+    if b.u(1):
+        mono = chroma == 0 or separate
+        x, y = 1 if mono or chroma == 3 else 2, (1 if mono or chroma != 1 else 2) * (2 - frames)
+        width -= x * (b.ue() + b.ue())
+        height -= y * (b.ue() + b.ue())
+    if width <= 0 or height <= 0:
+        raise ValueError("nothing is left")
+    return width, height
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def sps_size(data: pd.Series) -> pd.DataFrame:
+    """struct(width, height) of an H.264 sequence parameter set (a NAL unit without
+    start code); null fields for anything else."""
+
+    def size(b):
+        try:
+            return _picture_size(b) if b else (None, None)
+        except ValueError:
+            return None, None
+
+    return pd.DataFrame([size(b) for b in data], columns=["width", "height"]).astype("Int32")
+
+
+@F.pandas_udf(BinaryType())
+def decoder_config(data: pd.Series) -> pd.Series:
+    """The decoder's configuration in an ``esds`` box body (version and flags
+    first); null where no such descriptor is found."""
+
+    def find(b):
+        at, end = 4, len(b or b"")
+        while at < end:
+            tag, size, at = b[at], 0, at + 1
+            for _ in range(4):
+                if at >= end:
+                    return None
+                size, more, at = size << 7 | b[at] & 127, b[at] & 128, at + 1
+                if not more:
+                    break
+            if tag == 5:
+                return b[at : at + size] if at + size <= end else None
+            if tag == 3 and at + 3 <= end:
+                flags, at = b[at + 2], at + 3
+                at += 2 if flags & 128 else 0
+                at += 1 + b[at] if flags & 64 and at < end else 0
+                at += 2 if flags & 32 else 0
+            elif tag == 4:
+                at += 13
+            else:
+                at += size
+        return None
+
+    return pd.Series([find(b) for b in data])
+
+
+def ebml_vint(data: Column) -> Column:
+    """struct(id, value, size) of the variable-length integer at the start, of up to
+    eight bytes: with and without its length marker.  Null where it is cut off."""
+    b0 = byte_at(data, 0)
+    size = F.when(b0 > 0, 9 - F.length(F.bin(b0)))
+    whole = F.conv(F.hex(F.substring(data, F.lit(1), size)), 16, 10).cast("bigint")
+    value = whole - F.call_function("shiftleft", F.lit(1).cast("bigint"), (7 * size).cast("int"))
+    return F.when(size <= F.octet_length(data), F.struct(whole.alias("id"), value.alias("value"), size.cast("bigint").alias("size")))
+
+
 def syncsafe(data: Column, at: int) -> Column:
     """Four bytes of seven bits each."""
     out = F.lit(0).cast("bigint")

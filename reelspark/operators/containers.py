@@ -223,6 +223,22 @@ def limit_frames(packets: DataFrame, n: int) -> DataFrame:
     return packets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def lookahead(packets: DataFrame, lag: int) -> DataFrame:
+    """With ``release_pts``: the time of the packet, ``lag`` later in its stream,
+    whose arrival lets this one leave the encoder; at the end the last one's."""
+    w = Window.partitionBy("file", "idx").orderBy("ordinal")
+    return packets.withColumn("release_pts", F.coalesce(F.lead("pts", lag).over(w), F.last("pts").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+
+
+def bounded_scan(packets: DataFrame, most: int) -> DataFrame:
+    """Streams that show up within the first ``most`` packets of a file, in order of
+    time, stream and ordinal: ``file, idx, packets, first_pts``.  What a reader
+    learns from a bounded look; the window keeps ``most`` rows a file map-side."""
+    w = Window.partitionBy("file").orderBy("pts", "idx", "ordinal")
+    seen = packets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return seen.groupBy("file", "idx").agg(F.count("*").alias("packets"), F.min("pts").alias("first_pts"))
+
+
 def frame_blocks(samples: DataFrame, size: int, hop: int, total: Column) -> DataFrame:
     """Each sample with every analysis block ``[k * hop, k * hop + size)`` that
     holds it and fits into ``total`` samples: at most ``size / hop`` rows each."""

@@ -371,3 +371,15 @@ def variance_tree(pixels: DataFrame) -> DataFrame:
         rows = level.selectExpr("clip", "frame_no", f"{size}L as size", "y as r", "x as c", "s as total", "q as squares", f"256 * (q - s * s div {size * size}) div {size * size} as variance")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def markdown_tables(rows: DataFrame, key: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """``key, report``: the rows of each key as a Markdown table, sorted by ``order``
+    and then by their text; nulls are empty cells and bars are escaped.  For
+    summaries: a key's rows become one string."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns)
+    sorted_lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
+    body = F.array_join(F.transform(sorted_lines, lambda s: s["_line"]), "\n")
+    return rows.groupBy(*key).agg(F.concat(F.lit(head + "\n"), body, F.lit("\n")).alias("report"))

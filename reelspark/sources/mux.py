@@ -48,12 +48,23 @@ def ivf(streams, packets):
     return head + b"".join(struct.pack("<IQ", len(p[5]), i) + p[5] for i, p in enumerate(ps))  # pts is the frame number
 
 
+def _ogg_table() -> list[int]:
+    out = []
+    for b in range(256):
+        c = b << 24
+        for _ in range(8):
+            c = (c << 1 ^ (0x04C11DB7 if c & 0x80000000 else 0)) & 0xFFFFFFFF
+        out.append(c)
+    return out
+
+
+_OGG_CRC = _ogg_table()
+
+
 def ogg_crc(data: bytes) -> int:
     c = 0
     for x in data:
-        c ^= x << 24
-        for _ in range(8):
-            c = (c << 1 ^ (0x04C11DB7 if c & 0x80000000 else 0)) & 0xFFFFFFFF
+        c = (c << 8 & 0xFFFFFFFF) ^ _OGG_CRC[c >> 24 ^ x]
     return c
 
 

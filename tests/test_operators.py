@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import binary as bn
 from reelspark.functions import text as tx
 from reelspark.operators import audio, containers, frames, measure, packed, probe
+from reelspark.operators import lossless as ll
 from reelspark.operators.frames import FilterError, Geometry
 from reelspark.plans.builder import MapSpec, PlanError, Spec, Stream, auto_setrange, conform_pixels, parse_overlay, plan
 from reelspark.plans.cli import parse_args
@@ -172,3 +173,79 @@ def test_media_source(spark, tmp_path):
     from reelspark.plans.builder import Engine
 
     assert Engine(spark).probe(str(tmp_path)).first().format == "yuv4mpegpipe"
+
+
+def _flac_cases():
+    rng, t = np.random.default_rng(5), np.arange(4096)
+    yield "tonal stereo", [(3000 * np.sin(t / 9) + rng.normal(0, 30, 4096)).astype(np.int64), (2500 * np.sin(t / 9) + rng.normal(0, 30, 4096)).astype(np.int64)]
+    yield "noise", [rng.integers(-32768, 32768, 1000), rng.integers(-32768, 32768, 1000)]
+    yield "extremes", [np.array([-32768, 32767] * 300), np.array([32767, -32768] * 300)]
+    yield "one channel", [np.full(77, 5)]
+    yield "one sample", [np.array([-1])]
+
+
+@pytest.mark.parametrize("order", [0, 8, 12])
+def test_flac_frames_round_trip(order):
+    sizes = {}
+    for name, pcm in _flac_cases():
+        for number in (0, 127, 128, 2047, 2048, 70_000):
+            frame = ll.encode_frame(pcm, number, order)
+            got = ll.decode_frame(frame)
+            assert len(got) == len(pcm) and all(np.array_equal(a, b) for a, b in zip(got, pcm)), (name, number)
+        sizes[name] = len(frame)
+        damaged = bytearray(frame)
+        damaged[-3] ^= 1
+        with pytest.raises(ValueError):
+            ll.decode_frame(bytes(damaged))
+    assert sizes["noise"] <= 4100
+    if order:
+        assert sizes["tonal stereo"] < 8000  # fixed orders alone take 8,362
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png_round_trip(channels):
+    px = np.random.default_rng(channels).integers(0, 256, (9, 13, channels)).astype(np.uint8)
+    px[3:6] = 7
+    for pred in (*ll.PNG_FILTERS, "mixed"):
+        assert np.array_equal(ll.png_pixels(ll.png_bytes(px, pred)), px)
+
+
+def test_damaged_media_rows_are_null(spark):
+    bad = spark.createDataFrame([(1, None), (2, b""), (3, b"\x89PNG\r\n\x1a\n"), (4, b"\xff\xf8")], "id bigint, image binary")
+    assert [r.pixels for r in ll.decode_png(bad).collect()] == [None] * 4
+    frames = bad.selectExpr("'c' as clip", "id as block", "image as frame")
+    assert [r.pcm for r in ll.flac_samples(frames).collect()] == [None] * 4
+
+
+def test_parameter_set_with_escapes_and_noise(spark):
+    def ue(v):
+        b = bin(v + 1)[2:]
+        return "0" * (len(b) - 1) + b
+
+    def unit(bits):
+        bits += "1"
+        bits += "0" * (-len(bits) % 8)
+        return b"\x67" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    # A long offset gives zero bytes, which are escaped; a scaling list is skipped.
+    lists = "1" + "1" + "".join("1" if i % 3 else "00111" for i in range(16)) + "0" * 7
+    high = "01100100" + "00000000" + "00000000" + ue(0) + ue(1) + ue(0) + ue(0) + "0" + lists
+    tail = ue(0) + ue(1) + "0" + ue(2**24 - 1) + ue(0) + ue(0) + ue(1) + "0" + ue(79) + ue(44) + "1" + "1" + "0"
+    raw = unit(high + tail)
+    escaped, zeros = bytearray(), 0
+    for x in raw:
+        if zeros >= 2 and x <= 3:
+            escaped.append(3)
+            zeros = 0
+        escaped.append(x)
+        zeros = zeros + 1 if x == 0 else 0
+    assert len(escaped) > len(raw)
+    rows = [(bytes(escaped),), (None,), (b"",), (b"\x67",), (b"\x68\x42",), (raw[:6],)]
+    got = spark.createDataFrame(rows, "b binary").select(bn.sps_size("b").alias("d")).select("d.*").collect()
+    assert [tuple(r) for r in got] == [(1280, 720)] + [(None, None)] * 5
+
+
+def test_markdown_cells(spark):
+    rows = spark.createDataFrame([(1, "b|c", 2), (1, "a", None), (2, None, 3)], "k int, name string, n int")
+    got = {r.k: r.report for r in measure.markdown_tables(rows, ["k"], ["name", "n"], ["name"]).collect()}
+    assert got == {1: "| name | n |\n| --- | --- |\n| a |  |\n| b\\|c | 2 |\n", 2: "| name | n |\n| --- | --- |\n|  | 3 |\n"}
