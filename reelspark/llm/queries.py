@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprint, language_id, mixing, quality, secret_scan, token_counts, url_filter
+from . import chat_format, decontamination, fingerprint, language_id, mixing, quality, secret_scan, spelling, token_counts, url_filter
 from .ngram_join import jaccard_components
 from .runtime import Workspace, shared_dir
 
@@ -147,6 +147,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secret_scan.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, _table(spark, sf_dir, "documents"), least=5, times=5, shortest=6, drop_every=199)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -164,6 +168,7 @@ QUERIES = {
     "op8_mixing_weights": op8_mixing_weights,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": pipeline,
 }
 
@@ -201,5 +206,26 @@ with d as (select *, row_number() over (partition by coalesce(text, '') order by
 c as (select source, lang, 'words-1' as tokenizer_version, {_N.format('bare', _WORDS)} as n from d where r = 1
       union all select source, lang, 'alnum-1', {_N.format('bare', _ALNUM)} from d where r = 1)
 select source, lang, tokenizer_version, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_tokens from c group by 1, 2, 3
+""",
+    "op11_spelling_variants": r"""
+with recursive bits(c, k, v) as (select i, 0, i from range(256) t(i) union all select c, k + 1, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+tab as (select list(v order by c) as t from bits where k = 8),
+runs as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+own as (select doc_id, run, count(*) as n from runs where length(run) >= 6 group by 1, 2),
+chars as (select doc_id, run, n, string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, '') as cs from own),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(cs, lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))), lambda a, b: xor(a >> 8, t[cast(xor(a & 255, b) + 1 as int)])), 4294967295::bigint) as h from chars, tab),
+cut as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed),
+w as (select word, cast(sum(n) as bigint) as n from cut where length(word) >= 6 group by 1 having sum(n) >= 5),
+pos as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+del as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) as d from pos),
+sub as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from pos),
+near as (select a.word, b.word as near, b.n as near_n from sub a join sub b using (i, d) where a.word <> b.word
+ union all select del.word, w.word, w.n from del join w on w.word = del.d
+ union all select w.word, del.word, del.n from del join w on w.word = del.d),
+best as (select word, count(*) as n_near, max(near_n) as m from near group by 1),
+f as (select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when m >= 5 * w.n then (select min(near) from near x where x.word = w.word and x.near_n = m) end as form, case when m >= 5 * w.n then m end as form_n from w left join best b using (word)),
+up(word, root) as (select word, word from f union all select up.word, f.form from up join f on f.word = up.root where f.form is not null),
+r as (select word, arg_max(root, n) as root from (select up.word, up.root, f.n from up join f on f.word = up.root) group by 1)
+select f.word, form, root, f.n, cast(n_near as bigint) as n_near, form_n from f join r using (word)
 """,
 }
