@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprint, language_id, mixing, quality, secret_scan, spelling, token_counts, url_filter
+from . import chat_format, decontamination, fingerprint, language_id, mixing, quality, secret_scan, spelling, token_counts, url_filter, warc
 from .ngram_join import jaccard_components
 from .runtime import Workspace, shared_dir
 
@@ -151,6 +151,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spark, _table(spark, sf_dir, "documents"), least=5, times=5, shortest=6, drop_every=199)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(spark, _table(spark, sf_dir, "pages"), least=100)
+    return out.select(F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -169,6 +174,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc": op12_warc,
     "pipeline": pipeline,
 }
 
@@ -227,5 +233,11 @@ f as (select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when m >= 5 * w.
 up(word, root) as (select word, word from f union all select up.word, f.form from up join f on f.word = up.root where f.form is not null),
 r as (select word, arg_max(root, n) as root from (select up.word, up.root, f.n from up join f on f.word = up.root) group by 1)
 select f.word, form, root, f.n, cast(n_near as bigint) as n_near, form_n from f join r using (word)
+""",
+    "op12_warc": """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by html) as f from p)
+select page_id, payload_bytes, sha256(html) as payload_digest, case when payload_bytes < 100 or page_id is not distinct from f or f is null then 'response' else 'revisit' end as record_type,
+       case when payload_bytes >= 100 and page_id is distinct from f then f end as refers_to from f
 """,
 }
