@@ -1,6 +1,6 @@
 """Operators for preparing training text at scale.
 
-Ten operators, one module each, plus :mod:`runtime` (shared-folder tables,
+Thirteen operators, one module each, plus :mod:`runtime` (shared-folder tables,
 text hashing) and :mod:`graph` (connected components).  Nothing outside this
 subpackage imports it.
 """

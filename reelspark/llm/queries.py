@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fingerprint, language_id, mixing, quality, secret_scan, spelling, token_counts, url_filter, warc
+from . import chat_format, collocation, decontamination, fingerprint, language_id, mixing, quality, secret_scan, spelling, token_counts, url_filter, warc
 from .ngram_join import jaccard_components
 from .runtime import Workspace, shared_dir
 
@@ -156,6 +156,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(spark, _table(spark, sf_dir, "documents"), longest=4, least=30, factor=2_000_000, share=80, top=2_000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -175,6 +179,7 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_warc": op12_warc,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "pipeline": pipeline,
 }
 
@@ -239,5 +244,22 @@ with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')
 f as (select *, min(page_id) over (partition by html) as f from p)
 select page_id, payload_bytes, sha256(html) as payload_digest, case when payload_bytes < 100 or page_id is not distinct from f or f is null then 'response' else 'revisit' end as record_type,
        case when payload_bytes >= 100 and page_id is distinct from f then f end as refers_to from f
+""",
+    "op13_phrase_collocations": r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents where text is not null),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, range(1, 5) t(m) where len(w) >= m)),
+c as (select lang, m, phrase, count(*) as f from g group by all having count(*) >= 30),
+tot as (select lang, cast(sum(len(w)) as bigint) as n from w group by 1 having sum(len(w)) > 0),
+cand as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from c where m > 1),
+cuts as (select lang, phrase, a, k, array_to_string(w[1 : k], ' ') as lp, array_to_string(w[k + 1 : m], ' ') as rp from (select *, unnest(range(1, m)) as k from cand)),
+sc as (select q.lang, q.phrase, q.a, q.k, x.f as l, y.f as r, cast((2000000::hugeint * q.a) // (x.f + y.f) as bigint) as score
+ from cuts q join c x on x.lang = q.lang and x.phrase = q.lp join c y on y.lang = q.lang and y.phrase = q.rp),
+best as (select * from sc qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+sub as (select lang, phrase as longer, a, m, w, j, unnest(range(1, m - j + 2)) as i from cand, range(2, 4) t(j) where j < m),
+cover as (select lang, array_to_string(w[i : i + j - 1], ' ') as phrase, max(a) as f from sub group by 1, 2),
+kept as (select b.* from best b left join cover v using (lang, phrase) where v.f is null or 100::hugeint * v.f < 80::hugeint * b.a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from r join tot using (lang) where rank <= 2000
 """,
 }
