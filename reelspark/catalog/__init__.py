@@ -1,8 +1,8 @@
 """Registered queries by area; each module has ``QUERIES`` and ``SQL``."""
 
-from . import audio, containers, frames, measure, media, probe, text
+from . import audio, containers, frames, measure, media, probe, scans, text
 
-_AREAS = (measure, frames, containers, media, probe, text, audio)
+_AREAS = (measure, frames, containers, media, probe, text, audio, scans)
 
 
 def queries():

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scan import affine_scan
+
 TAPS = 32
 WIDTH = 2 * TAPS
 MAX_PHASES = 8192
@@ -254,13 +256,17 @@ def lpc(autoc: DataFrame, order: int) -> DataFrame:
 # --- content signals ---------------------------------------------------------
 
 
-def attack_ratio(energies: DataFrame) -> DataFrame:
+def attack_ratio(energies: DataFrame, blocks: int | None = None) -> DataFrame:
     """Energy of each sub-block over a running average (3/4 old, 1/4 new) that
     is at least a thousandth of the clip's mean: ``clip, b, e, ratio``.
 
     ``energies(clip, b, e)``.  The average runs on from block to block, so sorted
-    partitions are streamed with one number a clip in memory."""
+    partitions are streamed with one number a clip in memory; with ``blocks`` a long
+    clip is spread over so many tasks."""
     floor = energies.groupBy("clip").agg((F.avg("e") * 1e-3).alias("least"))
+    if blocks:
+        run = affine_scan(energies.select("clip", "b", F.col("e").cast("double").alias("e")), ["clip"], ["b"], F.lit(0.75), F.col("e") * 0.25, "_after", "_avg", blocks=blocks)
+        return run.join(floor, "clip").select("clip", "b", "e", (F.col("e") / F.greatest("_avg", "least", F.lit(2.2250738585072014e-308))).alias("ratio"))
     dealt = energies.join(floor, "clip").select("clip", "b", F.col("e").cast("double").alias("e"), "least").repartition("clip").sortWithinPartitions("clip", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

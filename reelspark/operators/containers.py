@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .scan import carry_scan
+
 
 # --- joins -------------------------------------------------------------------
 
@@ -153,7 +156,8 @@ def pes_packets(ts: DataFrame) -> DataFrame:
 
 
 def hls_segments(packets: DataFrame, target: float, has_video: bool = True, least: float = 0.5) -> DataFrame:
-    """Segment number and start of each packet of a reference stream.
+    """Segment number and start of each packet of a reference stream; for many
+    streams of a length that one task can read (see :func:`hls_segments_spread`).
 
     ``packets(file, ordinal, pts, tb_num, tb_den, keyframe)``.  A segment closes
     once it has lasted ``target`` seconds (at least ``least``) at a keyframe, or
@@ -185,6 +189,55 @@ def hls_segments(packets: DataFrame, target: float, has_video: bool = True, leas
     return dealt.mapInArrow(run, f"file {kind['file']}, ordinal bigint, pts bigint, tb_num bigint, tb_den bigint, segment bigint, start_pts bigint")
 
 
+def _pointers(links: DataFrame) -> list[DataFrame]:
+    """Tables ``file, u, v`` of ``links`` taken once, twice, four times and so on,
+    as long as any lead somewhere."""
+    levels = [cut(links)]
+    while True:
+        a, b = levels[-1].alias("a"), levels[-1].alias("b")
+        twice = cut(a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.v") == F.col("b.u"))).select("a.file", "a.u", "b.v"))
+        if twice.isEmpty():
+            return levels
+        levels.append(twice)
+
+
+def hls_segments_spread(packets: DataFrame, target: float, has_video: bool = True, least: float = 0.5, blocks: int | None = None) -> DataFrame:
+    """As :func:`hls_segments`, with one stream spread over many tasks.
+
+    Where a segment that begins at a packet would end is a range lookup: the first
+    possible boundary whose time is the goal later.  These pointers are doubled, so
+    the boundaries that can be reached from the first packet are found and numbered
+    in as many rounds as the number of segments has binary digits, and a carry scan
+    hands them to the packets.  Times may fall between boundaries: a boundary is
+    always later than every possible boundary before it, so only those that are
+    later than all before (by a running maximum) take part.  ``tb_num`` and
+    ``tb_den`` are positive; the goal has to be.
+    """
+    goal = max(target, least)
+    if goal <= 0:
+        raise ValueError("segments need a positive length")
+    p = packets.select("file", "ordinal", "pts", "tb_num", "tb_den", "keyframe").where("pts is not null")
+    seconds = lambda d: d * F.col("tb_num") / F.greatest(F.col("tb_den"), F.lit(1))
+    about = F.ceil(F.lit(goal) * F.greatest(F.col("tb_den"), F.lit(1)) / F.col("tb_num")).cast("bigint")
+    need = F.when(seconds(about - 1) >= goal, about - 1).when(seconds(about) < goal, about + 1).otherwise(about)
+    opens = F.col("_before") == 0
+    possible = carry_scan(p, ["file"], ["ordinal"], {"_before": ("count", "pts")}, blocks, exclusive=True).where(opens | F.col("keyframe") if has_video else F.lit(True))
+    nodes = carry_scan(cut(possible), ["file"], ["ordinal"], {"_high": ("max", "pts")}, blocks, exclusive=True).where("_high is null or pts > _high")
+    nodes = cut(nodes.select("file", "ordinal", "pts", (F.col("pts") + need).alias("until"), opens.alias("opens")))
+    ends = nodes.select("file", F.col("until").alias("at"), F.lit(0).alias("kind"), F.col("ordinal").alias("u"), F.lit(None).cast("bigint").alias("v"))
+    begins = nodes.select("file", F.col("pts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("u"), F.col("ordinal").alias("v"))
+    found = carry_scan(ends.unionByName(begins), ["file"], ["at", "kind"], {"next": ("last", "v")}, blocks, reverse=True)
+    links = found.where("kind = 0 and next is not null").select("file", "u", F.col("next").alias("v"))
+    reached = nodes.where("opens").select("file", F.col("ordinal").alias("u"), F.lit(0).cast("bigint").alias("segment"))
+    for k, level in reversed(list(enumerate(_pointers(links)))):
+        step = reached.join(level, ["file", "u"]).select("file", F.col("v").alias("u"), (F.col("segment") + (1 << k)).alias("segment"))
+        reached = cut(reached.unionByName(step))
+    starts = reached.withColumnRenamed("u", "ordinal").join(nodes.select("file", "ordinal", F.col("pts").alias("start_pts")), ["file", "ordinal"])
+    marked = p.join(starts, ["file", "ordinal"], "left").withColumnsRenamed({"segment": "_segment", "start_pts": "_start"})
+    out = carry_scan(cut(marked), ["file"], ["ordinal"], {"segment": ("last", "_segment"), "start_pts": ("last", "_start")}, blocks)
+    return out.select("file", "ordinal", "pts", "tb_num", "tb_den", "segment", "start_pts")
+
+
 def hls_durations(segmented: DataFrame, target: float) -> DataFrame:
     """``file, segment, start_pts, packets, duration`` in seconds: up to the next
     segment's start, the last up to its last pts, ``target`` where that is 0."""
@@ -211,8 +264,11 @@ def hls_playlist(durations: DataFrame, target: float) -> DataFrame:
 # --- windows, limits and order -----------------------------------------------
 
 
-def running_pts(packets: DataFrame, duration: str = "duration") -> DataFrame:
-    """Start time of each packet as the sum of the durations before it."""
+def running_pts(packets: DataFrame, duration: str = "duration", blocks: int | None = None) -> DataFrame:
+    """Start time of each packet as the sum of the durations before it; with
+    ``blocks`` a long stream is spread over so many tasks."""
+    if blocks:
+        return carry_scan(packets, ["file", "idx"], ["ordinal"], {"pts": ("sum", duration)}, blocks, exclusive=True).withColumn("pts", F.coalesce("pts", F.lit(0).cast("bigint")))
     before = Window.partitionBy("file", "idx").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     return packets.withColumn("pts", F.coalesce(F.sum(duration).over(before), F.lit(0).cast("bigint")))
 
