@@ -1,11 +1,15 @@
-"""Scans of one long stream that are spread over tasks."""
+"""Scans of one long stream, and one large file, that are spread over tasks."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audio, containers, scan
+from ..operators.lineage import shared_folder
+from ..sources import transport
 
 #: Blocks of a stream, and seconds of a segment.
 BLOCKS, HOUR = 16, 3600.0
@@ -87,3 +91,32 @@ seg(segment, ordinal, pts) as (select 0::bigint, ordinal, pts from (select * fro
 select e.ordinal, s.segment, s.pts as start_pts from e asof join (select * from seg where ordinal is not null) s on e.ordinal >= s.ordinal""",
     "win_running_one_stream": "select event_id as ordinal, cast(coalesce(sum(1152 + length(props) % 3) over (order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as pts from events",
 }
+
+
+def _one_file(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All events as the packets of one file with a video and an audio stream."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id % 2 as int) as idx", "event_id", "event_type = 'purchase' or user_id % 2 = 1 as keyframe", "encode(props, 'utf-8') as data", "'all' as file", "1 as one")
+    p = scan.carry_scan(e, ["idx"], ["event_id"], {"ordinal": ("count", "one")}, BLOCKS, exclusive=True)
+    p = p.selectExpr("file", "idx", "ordinal", "ordinal * 40 + if(idx = 0, 40 * (ordinal % 3), 0) as pts", "ordinal * 40 as dts", "40L as duration", "1 as tb_num", "1000 as tb_den", "keyframe", "data")
+    s = spark.sql("select 'all' as file, * from values (0, 'video', 'h264'), (1, 'audio', 'aac') as t(idx, media_type, codec)")
+    return p, s
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+
+
+def _ts_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transport stream of all events, written by many tasks and read in 16 ranges."""
+    p, s = _one_file(spark, sf_dir)
+    folder = _folder(spark)
+    size = transport.write_transport(p, s, folder, BLOCKS).agg(F.sum("bytes")).first()[0] or 1
+    out = transport.read_packets(spark, folder, -(-size // 16), BLOCKS)
+    return out.select("idx", "ordinal", "pts", "dts", "keyframe", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("md5"))
+
+
+QUERIES["src_ts_ranges"] = _ts_ranges
+
+_ONE_FILE = "p as (select (user_id % 2)::int as idx, row_number() over (partition by user_id % 2 order by event_id) - 1 as ordinal, event_type = 'purchase' or user_id % 2 = 1 as keyframe, props from events)"
+
+SQL["src_ts_ranges"] = f"with {_ONE_FILE} select idx, ordinal, ordinal * 3600 + case when idx = 0 then 3600 * (ordinal % 3) else 0 end as pts, ordinal * 3600 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"

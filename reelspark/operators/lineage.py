@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: a lost executor costs a reread.
-
-    The folder is the session's ``spark.checkpoint.dir`` or checkpoint folder; only
-    on a local master, where none is named, a temporary one is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir`` or checkpoint folder; only on a local
+    master, where none is named, a temporary one is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="shared-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder: a lost executor costs a
+    reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
