@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audio, containers, scan
 from ..operators.lineage import shared_folder
-from ..sources import transport
+from ..sources import indexed, transport
 
 #: Blocks of a stream, and seconds of a segment.
 BLOCKS, HOUR = 16, 3600.0
@@ -115,8 +115,26 @@ def _ts_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("idx", "ordinal", "pts", "dts", "keyframe", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("md5"))
 
 
-QUERIES["src_ts_ranges"] = _ts_ranges
+def _mp4_ranges(only: str):
+    """One MP4 file of all events, written by many tasks; of the samples that ``only``
+    leaves, and of no others, the bytes are read."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p, s = _one_file(spark, sf_dir)
+        s = s.selectExpr("*", "1000L as timescale", "64 as width", "48 as height", "44100 as sample_rate", "2 as channels", "cast(null as binary) as config")
+        folder = _folder(spark)
+        indexed.write_mp4(p, s, folder, BLOCKS)
+        out = indexed.fetch(indexed.mp4_table(spark, folder)[1].where(only))
+        return out.select(F.col("track").alias("idx"), "ordinal", "pts", "dts", "keyframe", "size", F.md5("data").alias("md5"))
+
+    return query
+
+
+QUERIES |= {"src_ts_ranges": _ts_ranges, "src_mp4_ranges": _mp4_ranges("true"), "src_mp4_keys": _mp4_ranges("track = 0 and keyframe")}
 
 _ONE_FILE = "p as (select (user_id % 2)::int as idx, row_number() over (partition by user_id % 2 order by event_id) - 1 as ordinal, event_type = 'purchase' or user_id % 2 = 1 as keyframe, props from events)"
 
 SQL["src_ts_ranges"] = f"with {_ONE_FILE} select idx, ordinal, ordinal * 3600 + case when idx = 0 then 3600 * (ordinal % 3) else 0 end as pts, ordinal * 3600 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"
+
+_MP4 = f"with {_ONE_FILE} select idx, ordinal, ordinal * 40 + case when idx = 0 then 40 * (ordinal % 3) else 0 end as pts, ordinal * 40 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"
+SQL |= {"src_mp4_ranges": _MP4, "src_mp4_keys": f"{_MP4} where idx = 0 and keyframe"}
