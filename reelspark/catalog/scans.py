@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import audio, containers, scan
 from ..operators.lineage import shared_folder
-from ..sources import indexed, transport
+from ..sources import hls, indexed, transport
 
-#: Blocks of a stream, and seconds of a segment.
-BLOCKS, HOUR = 16, 3600.0
+#: Blocks of a stream, and seconds of segments.
+BLOCKS, HOUR, SEGMENT = 16, 3600.0, 6.0
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,17 @@ def _mp4_ranges(only: str):
     return query
 
 
-QUERIES |= {"src_ts_ranges": _ts_ranges, "src_mp4_ranges": _mp4_ranges("true"), "src_mp4_keys": _mp4_ranges("track = 0 and keyframe")}
+def _hls_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as segments of six seconds behind a playlist, read back file by file."""
+    p, s = _one_file(spark, sf_dir)
+    folder = _folder(spark)
+    hls.write_hls(p, s, folder, SEGMENT)
+    out = transport.read_packets(spark, folder)
+    out = out.withColumn("segment", F.regexp_extract("file", r"all-(\d+)-\w+-\w+\.ts$", 1).cast("bigint"))
+    return out.select("segment", "idx", "ordinal", "pts", "keyframe", F.md5("data").alias("md5"))
+
+
+QUERIES |= {"sink_hls_files": _hls_files, "src_ts_ranges": _ts_ranges, "src_mp4_ranges": _mp4_ranges("true"), "src_mp4_keys": _mp4_ranges("track = 0 and keyframe")}
 
 _ONE_FILE = "p as (select (user_id % 2)::int as idx, row_number() over (partition by user_id % 2 order by event_id) - 1 as ordinal, event_type = 'purchase' or user_id % 2 = 1 as keyframe, props from events)"
 
@@ -138,3 +148,10 @@ SQL["src_ts_ranges"] = f"with {_ONE_FILE} select idx, ordinal, ordinal * 3600 +
 
 _MP4 = f"with {_ONE_FILE} select idx, ordinal, ordinal * 40 + case when idx = 0 then 40 * (ordinal % 3) else 0 end as pts, ordinal * 40 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"
 SQL |= {"src_mp4_ranges": _MP4, "src_mp4_keys": f"{_MP4} where idx = 0 and keyframe"}
+
+SQL["sink_hls_files"] = f"""with recursive {_ONE_FILE}, v as (select ordinal, ordinal * 40 + 40 * (ordinal % 3) as pts, keyframe from p where idx = 0),
+seg(segment, ordinal, pts) as (select 0::bigint, ordinal, pts from v where ordinal = 0
+ union all select s.segment + 1, (select min(ordinal) from v where keyframe and v.ordinal > s.ordinal and (v.pts - s.pts)::double / 1000 >= {SEGMENT}),
+  (select arg_min(v.pts, v.ordinal) from v where keyframe and v.ordinal > s.ordinal and (v.pts - s.pts)::double / 1000 >= {SEGMENT}) from seg s where s.ordinal is not null)
+select s.segment, p.idx, row_number() over (partition by s.segment, p.idx order by p.ordinal) - 1 as ordinal, p.ordinal * 3600 + case when p.idx = 0 then 3600 * (p.ordinal % 3) else 0 end as pts, p.keyframe, md5(p.props) as md5
+from p asof join (select * from seg where ordinal is not null) s on p.ordinal >= s.ordinal"""

@@ -40,12 +40,9 @@ def blocked(df: DataFrame, key: list[str], order: list[str], blocks: int | None
     its own values and the bounds.
     """
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = df.count() if blocks > 1 else 0
-    rows = []
-    if n:
-        wanted = SAMPLE * blocks
-        sample = df.select(*key, *order).sample(min(1.0, wanted / n), 11).limit(4 * wanted)
-        rows = sample.orderBy(*key, *order).collect()
+    # one pass, of which each task hands on as many rows as are wanted
+    few = df.select(*key, *order).orderBy(F.rand(11)).limit(SAMPLE * blocks if blocks > 1 else 0)
+    rows = few.orderBy(*key, *order).collect()
     found: dict[tuple, list[tuple]] = {}
     for i in range(1, blocks if rows else 1):
         r = rows[len(rows) * i // blocks]

@@ -276,14 +276,9 @@ def _table_packets(streams: DataFrame) -> DataFrame:
     return s.select("file", "clock", F.unhex(F.concat(packet(0, F.lit("00B00D0001C100000001F000")), packet(4096, table))).alias("data"))
 
 
-def write_transport(packets: DataFrame, streams: DataFrame, folder: str, blocks: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Writes ``packets(file, idx, ordinal, pts, dts, tb_num, tb_den, keyframe, data)`` of
-    ``streams(file, idx, media_type, codec)`` as transport streams ``folder/file``, in
-    order of decoding time, stream and ordinal; returns ``file, bytes, pieces``.
-
-    How many transport packets a unit takes follows from its size, so a carry scan
-    gives each unit's place in its file and its continuity counter, and any number
-    of tasks write a file.  At most 30 streams a file, as its map is one packet."""
+def transport_rows(packets: DataFrame, streams: DataFrame, blocks: int | None = None) -> DataFrame:
+    """What :func:`unit_bytes` makes the bytes of ``file`` at ``offset`` from; see
+    :func:`write_transport`."""
     s = streams.select("file", "idx", "media_type", "codec")
     tables = _table_packets(s)
     p = packets.join(s, ["file", "idx"]).join(tables.select("file", "clock"), "file")
@@ -301,9 +296,21 @@ def write_transport(packets: DataFrame, streams: DataFrame, folder: str, blocks:
     unit = F.concat(F.unhex(F.concat(F.when(video, F.lit("000001E0")).otherwise(F.lit("000001C0")), F.lpad(F.hex(stated.cast("bigint")), 4, "0"))), "_head", "data")
     rows = p.select("file", (188 * (2 + F.coalesce("_place", F.lit(0)))).cast("bigint").alias("offset"), (256 + F.col("idx")).cast("int").alias("pid"), unit.alias("data"), "keyframe", F.when(F.col("_pcr"), F.pmod("_t", F.lit(1 << 33))).alias("clock"), F.pmod(F.coalesce("_count", F.lit(0)), F.lit(16)).cast("int").alias("continuity"))
     front = tables.select("file", F.lit(0).cast("bigint").alias("offset"), F.lit(-1).alias("pid"), "data", F.lit(False).alias("keyframe"), F.lit(None).cast("bigint").alias("clock"), F.lit(0).alias("continuity"))
+    return rows.unionByName(front)
+
 
-    def build(b: pa.RecordBatch) -> list[bytes]:
-        columns = (b.column(c).to_pylist() for c in ("pid", "data", "keyframe", "clock", "continuity"))
-        return [d if pid < 0 else _transport_bytes(pid, d, bool(key), clock, cc) for pid, d, key, clock, cc in zip(*columns)]
+def unit_bytes(b: pa.RecordBatch) -> list[bytes]:
+    """Transport packets of rows of :func:`transport_rows`."""
+    columns = (b.column(c).to_pylist() for c in ("pid", "data", "keyframe", "clock", "continuity"))
+    return [d if pid < 0 else _transport_bytes(pid, d, bool(key), clock, cc) for pid, d, key, clock, cc in zip(*columns)]
 
-    return write_ranges(rows.unionByName(front), folder, build, partitions)
+
+def write_transport(packets: DataFrame, streams: DataFrame, folder: str, blocks: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Writes ``packets(file, idx, ordinal, pts, dts, tb_num, tb_den, keyframe, data)`` of
+    ``streams(file, idx, media_type, codec)`` as transport streams ``folder/file``, in
+    order of decoding time, stream and ordinal; returns ``file, bytes, pieces``.
+
+    How many transport packets a unit takes follows from its size, so a carry scan
+    gives each unit's place in its file and its continuity counter, and any number
+    of tasks write a file.  At most 30 streams a file, as its map is one packet."""
+    return write_ranges(transport_rows(packets, streams, blocks), folder, unit_bytes, partitions)

@@ -22,10 +22,7 @@ def table(spark):
     return spark.createDataFrame(rows(), ROWS).repartition(5).cache()
 
 
-@pytest.mark.parametrize("key", [["k"], []])
-@pytest.mark.parametrize("reverse", [False, True])
-@pytest.mark.parametrize("exclusive", [False, True])
-@pytest.mark.parametrize("blocks", [1, 13])
+@pytest.mark.parametrize("key,reverse,exclusive,blocks", [(["k"], False, False, 1), (["k"], False, False, 13), (["k"], True, True, 13), (["k"], False, True, 13), ([], True, False, 13), ([], False, True, 13)])
 def test_equals_the_window(table, key, reverse, exclusive, blocks):
     order = ["t", "u"]
     w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() if reverse else F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
@@ -82,8 +79,7 @@ def test_compositions():
         assert sa[i] * 1.5 + sb[i] == pytest.approx(y, abs=1e-12)
 
 
-@pytest.mark.parametrize("video", [True, False])
-@pytest.mark.parametrize("target", [0.0, 2.0, 7.3])
+@pytest.mark.parametrize("video,target", [(True, 0.0), (False, 2.0), (True, 7.3)])
 def test_spread_segments_equal_the_fold(spark, video, target):
     from reelspark.operators import containers
 
