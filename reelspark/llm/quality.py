@@ -148,15 +148,18 @@ def fit(spark: SparkSession, training: DataFrame, trusted: DataFrame, positives:
     Every row serves as unlabelled text, as the unlabelled sample must have the
     mixture the model will see.  At most ``positives`` and ``unlabelled`` ids,
     chosen by hash, are fitted on; only ids are joined and sorted, and texts are
-    read for the chosen ones alone.  Without any positive the model scores 0.5
-    everywhere.
+    read for the chosen ones alone.  Of rows that repeat an id the first text in byte
+    order serves (a null text only if there is no other), so the driver never
+    receives more rows than ids; rows with a null id are not learned from.  Without
+    any positive, as of empty tables, the model scores 0.5 everywhere.
     """
     known = training.where("id is not null")
 
     def sample(ids, n, salt):
-        # at most the documented bound of ids, so they can be broadcast
-        ids = ids.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n).distinct()
-        rows = _vectors(known.join(F.broadcast(ids), "id"), ["id"], "id bigint, x binary")
+        # at most the documented bound of ids, so they can be broadcast, and one row of each
+        ids = ids.distinct().orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n)
+        one = known.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
+        rows = _vectors(one, ["id"], "id bigint, x binary")
         got = sorted((r.id, bytes(r.x)) for r in rows.collect())
         return np.array([np.frombuffer(x, np.float32) for _, x in got], np.float32).reshape(-1, DIM)
 
