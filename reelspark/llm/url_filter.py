@@ -32,6 +32,11 @@ class Rule:
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _let(c: Column, body) -> Column:
+    """``body`` of ``c``, which stands in the plan once however often it is used."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, _AZ, _AZ.lower())
 
@@ -63,17 +68,35 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(_DOTS), F.regexp_replace(ended, "//$", "/")).otherwise(path)
 
 
+def _one_escape(c: Column) -> Column:
+    """Percent codes of letters, digits and ``-._~`` as these characters, others in
+    upper case; what is no code stays."""
+
+    def one(p):
+        code, rest = F.upper(F.substring(p, 1, 2)), F.substring(p, F.lit(3), F.length(p))
+        plain = F.decode(F.unhex(code), "ISO-8859-1")
+        known = _let(plain, lambda x: F.when(x.rlike("^[A-Za-z0-9._~-]$"), F.concat(x, rest)).otherwise(F.concat(F.lit("%"), code, rest)))
+        return F.when(p.rlike("^[0-9A-Fa-f]{2}"), known).otherwise(F.concat(F.lit("%"), p))
+
+    whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return _let(c, lambda x: F.when(x.contains("%"), _let(F.split(x, "%"), whole)).otherwise(x))
+
+
 def address(url: Column) -> Column:
     """The one spelling of an address by which aliases are compared: scheme and
     host lower-cased (A-Z), no default port, no fragment, ``/`` for an empty
-    path, no dot segments.  Without ``://`` only a fragment goes."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    scheme = _lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    port = F.when(scheme == "http", r":(80)?$").when(scheme == "https", r":(443)?$").otherwise(r":$")
-    host = F.regexp_replace(host_of(bare), port, F.lit(""))
-    path = F.when(path_of(bare) == "", F.lit("/")).otherwise(_without_dots(path_of(bare)))
-    query = F.regexp_extract(bare, r"(?s)^[^?]*(\?.*)$", 1)
-    return F.when(bare.contains("://"), F.concat(scheme, F.lit("://"), host, path, query)).otherwise(bare)
+    path, one form of percent codes, no dot segments.  Without ``://`` only a
+    fragment goes."""
+
+    def spelled(bare):
+        scheme = _lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+        default = {"http": r":(80)?$", "https": r":(443)?$"}
+        host = _let(scheme, lambda s: F.concat(s, F.lit("://"), F.regexp_replace(host_of(bare), F.when(s == "http", default["http"]).when(s == "https", default["https"]).otherwise(":$"), F.lit(""))))
+        path = _let(path_of(bare), lambda p: F.when(p == "", F.lit("/")).otherwise(_let(_one_escape(p), _without_dots)))
+        query = _one_escape(F.regexp_extract(bare, r"(?s)^[^?]*(\?.*)$", 1))
+        return F.when(bare.contains("://"), F.concat(host, path, query)).otherwise(bare)
+
+    return _let(F.regexp_replace(url, "(?s)#.*$", ""), spelled)
 
 
 def best_rule(host: Column, path: Column, rules: list[Rule], value: str) -> Column:
@@ -88,40 +111,81 @@ def best_rule(host: Column, path: Column, rules: list[Rule], value: str) -> Colu
 
 def _resolve(url: Column, target: Column) -> Column:
     """Absolute form of an address found on the page ``url``, without fragment."""
-    target = F.regexp_replace(F.trim(target), "#.*$", "")
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(url), r"^([^/?#]*)", 1))
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .when(target != "", F.concat(origin, F.regexp_extract(path_of(url), r"^(.*/)?", 1), target))
+    return _let(
+        F.regexp_replace(F.trim(target), "#.*$", ""),
+        lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(origin, t))
+        .when(t.startswith("?"), F.concat(origin, path_of(url), t))
+        .when(t != "", F.concat(origin, F.regexp_extract(path_of(url), r"^(.*/)?", 1), t)),
     )
 
 
-_TAG = r"(?is)<(?:link|meta)\s[^>]*>"
-_CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
-_REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
+#: What holds no links: comments, and elements whose content is text.
+_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
+#: A tag to its end outside quotes, or, with very many or unbalanced quotes, to the next ``>``.
+_TAG = r"""(?is)<(?:link|meta|base)[\s/](?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>|[^>]*+>)"""
+_ATTRIBUTE = r"""(?is)([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# The named references that occur in addresses.
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def unescape(c: Column) -> Column:
+    """Character references as characters: numbers, and the names of ``_NAMED``;
+    others stay."""
+
+    def one(p):
+        digits = F.regexp_extract(p, r"^#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7})(?![0-9A-Fa-f])", 1)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10)).when(digits != "", digits).cast("bigint")
+        rest = F.regexp_replace(p, r"^#[xX]?[0-9A-Fa-f]+;?", "")
+        real = lambda n: (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        out = _let(code, lambda n: F.when(real(n), F.concat(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"), rest)))
+        named = F.when(F.lit(False), p)
+        for name, char in _NAMED.items():
+            named = named.when(p.startswith(name + ";"), F.concat(F.lit(char), F.substring(p, len(name) + 2, 1 << 30)))
+        return F.coalesce(out, named, F.concat(F.lit("&"), p))
+
+    whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return _let(c, lambda x: F.when(x.contains("&"), _let(F.split(x, "&"), whole)).otherwise(x))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``src, dst``: canonical links and refresh redirects of ``pages(url, html)``,
     both ends as :func:`address` spells them.
 
+    Comments and the text of scripts, styles, text areas and titles hold no links.
+    Attributes are read with their quotes, the first of a name counts, and character
+    references in them are resolved; relative targets go by the first ``<base href>``.
     Pages with a null url or html, targets that cannot be resolved and links of a
     page to itself give no edge; repeated links repeat; extra columns are ignored;
     an empty table gives no edges.
     """
-    tag = pages.where("html is not null and url is not null").select(
-        "url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag")
-    )
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
-    goes = F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]*)""", 1)
-    to = F.when(F.col("tag").rlike(_CANONICAL) & F.col("tag").rlike(r"(?i)^<link"), href).when(
-        F.col("tag").rlike(_REFRESH) & F.col("tag").rlike(r"(?i)^<meta"), goes
+    real = pages.where("html is not null and url is not null").select("url", "html").where(F.col("html").rlike("(?i)<(?:link|meta)[\\s/]"))
+    clean = real.select("url", F.regexp_extract_all(F.regexp_replace("html", _TEXT, ""), F.lit(_TAG), F.lit(0)).alias("tags"))
+    value = F.regexp_extract(F.col("_v"), r"""(?s)^["']?(.*?)["']?$""", 1)
+
+    def read(df: DataFrame, tag: str, **wanted: str) -> DataFrame:
+        """Columns of a tag's attributes, unescaped."""
+        names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+        df = df.withColumns({"_names": names, "_values": F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))})
+        for column, name in wanted.items():
+            df = df.withColumn("_v", F.get("_values", (F.array_position("_names", name) - 1).cast("int"))).withColumn(column, unescape(value))
+        return df.drop("_names", "_values", "_v")
+
+    first = F.get(F.filter("tags", lambda t: t.rlike("(?i)^<base") & t.rlike(r"(?is)[\s/\"']href\s*=")), F.lit(0))
+    based = read(clean.withColumn("base", first), "base", base_href="href")
+    based = based.withColumn("from", F.coalesce(_resolve(F.col("url"), F.col("base_href")), F.col("url")))
+    tag = read(based.select("url", "from", F.explode("tags").alias("tag")), "tag", rel="rel", href="href", equiv="http-equiv", content="content")
+    goes = F.regexp_extract("content", r"""(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?["']?([^"']*)""", 1)
+    to = F.when(F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)") & F.col("tag").rlike(r"(?i)^<link"), F.col("href")).when(
+        (F.lower(F.trim("equiv")) == "refresh") & F.col("tag").rlike(r"(?i)^<meta"), goes
     )
+    found = tag.select("url", "from", to.alias("to")).where("`to` is not null")
     return (
-        tag.select(address(F.col("url")).alias("src"), address(_resolve(F.col("url"), to)).alias("dst"))
+        found.select("url", _resolve(F.col("from"), F.col("to")).alias("to"))
+        .select(address(F.col("url")).alias("src"), address(F.col("to")).alias("dst"))
         .where("dst is not null and src <> dst")
     )
 
