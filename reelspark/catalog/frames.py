@@ -1,4 +1,4 @@
-"""Pixel filter queries over formula frames."""
+"""Pixel filter queries over frames made of the vectors of ``embeddings``."""
 
 from __future__ import annotations
 
@@ -12,48 +12,60 @@ W, H = 32, 24
 G420 = Geometry(W, H, "yuv420p")
 
 
-def _grid(spark: SparkSession, w: int, h: int) -> DataFrame:
-    return spark.range(w * h).select(F.expr(f"id div {w}").alias("y"), F.expr(f"id % {w}").alias("x"))
+#: Elements of a vector of ``embeddings``, and whole pixels of three among them.
+ELEMENTS, PIXELS = 64, 21
+_VALUE = "cast(greatest(0, least(255, floor(cast({0} as double) * 400 + 128))) as bigint)"
 
 
-def planes(spark: SparkSession, w: int = W, h: int = H, pixfmt: str = "yuv420p") -> DataFrame:
-    """Two clips of two frames from integer formulas; frame k is shifted by k."""
-    g = Geometry(w, h, pixfmt)
-    cw, ch = g.plane(1)
-    grid = _grid(spark, w, h).select(F.lit(0).cast("bigint").alias("plane"), "y", "x")
-    for p in (1, 2):
-        grid = grid.unionByName(_grid(spark, cw, ch).select(F.lit(p).cast("bigint").alias("plane"), "y", "x"))
-    clips = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("clip")
-    frames = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("frame_no")
-    v = (
-        "case when plane > 0 then ((x + frame_no) * 7 + y * 13 + plane * 31) % 256"
-        " when clip = 'A' then (20 + x + frame_no + y) % 256 else (((x + frame_no) * 53) ^ (y * 97)) % 256 end"
-    )
-    return grid.select(clips, "*").select(frames, "*").select("clip", "frame_no", "plane", "y", "x", F.expr(v).alias("v"))
+def _vectors(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
+    """The vectors that fill whole groups of ``each``."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return e.where(F.col("vec_id") < e.select(F.expr(f"(max(vec_id) + 1) div {each} * {each}")).scalar())
 
 
-def rgb(spark: SparkSession, w: int = 31, h: int = 23) -> DataFrame:
-    """One RGB clip of an odd size."""
-    return _grid(spark, w, h).select(
-        F.lit("A").alias("clip"), F.lit(0).cast("bigint").alias("frame_no"), "y", "x",
-        F.expr("(20 + x + y) % 256").alias("r"), F.expr("((x * 53) ^ (y * 97)) % 256").alias("g"), F.expr("(x * 2 + y div 2) % 256").alias("b"),
+def planes(spark: SparkSession, sf_dir: str, w: int = W, h: int = H, pixfmt: str = "yuv420p") -> DataFrame:
+    """Two clips whose frames are runs of vectors of ``embeddings``, by turns;
+    each element is a pixel, found by its place without a shuffle."""
+    g = Geometry(w, h, pixfmt)
+    cw, ch = g.plane(1)
+    n = -(-(w * h + 2 * cw * ch) // ELEMENTS)
+    px = _vectors(spark, sf_dir, 2 * n).select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    px = px.selectExpr(
+        f"if(vec_id % {2 * n} < {n}, 'A', 'B') as clip", f"vec_id div {2 * n} as frame_no", f"vec_id % {n} * {ELEMENTS} + i as p", f"{_VALUE.format('e')} as v"
+    ).where(f"p < {w * h + 2 * cw * ch}")
+    px = px.selectExpr("*", f"case when p < {w * h} then 0L when p < {w * h + cw * ch} then 1L else 2L end as plane")
+    px = px.selectExpr("*", f"if(plane = 0, p, (p - {w * h}) % {cw * ch}) as q", f"if(plane = 0, {w}, {cw}) as pw")
+    return px.selectExpr("clip", "frame_no", "plane", "q div pw as y", "q % pw as x", "v")
+
+
+def rgb(spark: SparkSession, sf_dir: str, w: int = 31, h: int = 23) -> DataFrame:
+    """One RGB clip of an odd size, three elements of a vector a pixel."""
+    n = -(-w * h // PIXELS)
+    px = _vectors(spark, sf_dir, n).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(PIXELS - 1))).alias("k")).where(f"vec_id % {n} * {PIXELS} + k < {w * h}")
+    return px.selectExpr(
+        "'A' as clip", f"vec_id div {n} as frame_no", f"(vec_id % {n} * {PIXELS} + k) div {w} as y", f"(vec_id % {n} * {PIXELS} + k) % {w} as x",
+        *[f"{_VALUE.format(f'embedding[3 * k + {c}]')} as {name}" for c, name in enumerate("rgb")],
     )
 
 
 def _pix_sql(w: int = W, h: int = H, pixfmt: str = "yuv420p") -> str:
     cw, ch = Geometry(w, h, pixfmt).plane(1)
+    n = -(-(w * h + 2 * cw * ch) // ELEMENTS)
     return f"""
-pix as (select clip, frame_no, plane, y, x,
-  case when plane > 0 then ((x + frame_no) * 7 + y * 13 + plane * 31) % 256
-       when clip = 'A' then (20 + x + frame_no + y) % 256 else xor((x + frame_no) * 53, y * 97) % 256 end as v
-  from (values ('A'), ('B')) c(clip), range(2) f(frame_no),
-  (select 0::bigint as plane, y, x from range({h}) a(y), range({w}) b(x)
-   union all select p, y, x from range(1, 3) q(p), range({ch}) a(y), range({cw}) b(x)))"""
-
-
-_RGB_SQL = """
-rgb as (select 'A' as clip, 0::bigint as frame_no, y, x, (20 + x + y) % 256 as r, xor(x * 53, y * 97) % 256 as g, (x * 2 + y // 2) % 256 as b
-  from range(23) a(y), range(31) c(x))"""
+pix as (select clip, frame_no, plane, q // pw as y, q % pw as x, v from (
+  select *, case when plane = 0 then p else (p - {w * h}) % {cw * ch} end as q, case when plane = 0 then {w} else {cw} end as pw from (
+  select case when vec_id % {2 * n} < {n} then 'A' else 'B' end as clip, vec_id // {2 * n} as frame_no, vec_id % {n} * {ELEMENTS} + i as p, {_VALUE.format('e')} as v,
+    case when p < {w * h} then 0 when p < {w * h + cw * ch} then 1 else 2 end::bigint as plane
+  from (select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as i from embeddings
+    where vec_id < (select (max(vec_id) + 1) // {2 * n} * {2 * n} from embeddings)))
+  where p < {w * h + 2 * cw * ch}))"""
+
+
+_RGB_N = -(-31 * 23 // PIXELS)
+_RGB_SQL = f"""
+rgb as (select 'A' as clip, vec_id // {_RGB_N} as frame_no, (vec_id % {_RGB_N} * {PIXELS} + k) // 31 as y, (vec_id % {_RGB_N} * {PIXELS} + k) % 31 as x,
+  {_VALUE.format('embedding[3 * k + 1]')} as r, {_VALUE.format('embedding[3 * k + 2]')} as g, {_VALUE.format('embedding[3 * k + 3]')} as b
+  from embeddings, range({PIXELS}) t(k) where vec_id % {_RGB_N} * {PIXELS} + k < {31 * 23} and vec_id < (select (max(vec_id) + 1) // {_RGB_N} * {_RGB_N} from embeddings))"""
 _BYTE = "cast(greatest(0, least(255, case when {0} < 0 then ceil({0} - 0.5) else floor({0} + 0.5) end)) as bigint)"
 
 
@@ -65,20 +77,16 @@ _PW, _PH = f"(case when plane = 0 then {W} else {W // 2} end)", f"(case when pla
 _ALL = "clip, frame_no, plane, y, x, v"
 
 
-def _simple(fn):
-    return lambda spark, sf_dir: fn(spark)
-
-
-def _transposed(spark):
+def _transposed(spark, sf_dir):
     out = None
     for d in range(4):
-        t = ops.transpose(planes(spark), G420, d)[0].select(F.lit(d).cast("bigint").alias("direction"), "*")
+        t = ops.transpose(planes(spark, sf_dir), G420, d)[0].select(F.lit(d).cast("bigint").alias("direction"), "*")
         out = t if out is None else out.unionByName(t)
     return out
 
 
-def _scaled(spark):
-    return ops.scale(planes(spark), G420, 20, -1)[0]
+def _scaled(spark, sf_dir):
+    return ops.scale(planes(spark, sf_dir), G420, 20, -1)[0]
 
 
 def _scale_sql(dw: int, dh: int) -> str:
@@ -101,28 +109,28 @@ o as (select a.clip, a.frame_no, a.plane, ty.d as y, a.x, {mix('a.v', 'b.v', 'ty
 select clip, frame_no, plane, y, x, {_byte('v')} as v from o"""
 
 
-def _overlay(spark):
-    top = ops.first_frame(planes(spark, 8, 8).where("clip = 'B'")).select("plane", "y", "x", "v")
-    return ops.overlay(planes(spark), G420, top, Geometry(8, 8), 27, 5)[0]
+def _overlay(spark, sf_dir):
+    top = ops.first_frame(planes(spark, sf_dir, 8, 8).where("clip = 'B'")).select("plane", "y", "x", "v")
+    return ops.overlay(planes(spark, sf_dir), G420, top, Geometry(8, 8), 27, 5)[0]
 
 
-def _overlay_source(spark):
-    return ops.first_frame(planes(spark, 8, 8).where("frame_no > 0 or clip = 'A'"))
+def _overlay_source(spark, sf_dir):
+    return ops.first_frame(planes(spark, sf_dir, 8, 8).where("frame_no > 0 or clip = 'A'"))
 
 
-def _ranges(spark):
+def _ranges(spark, sf_dir):
     out = None
     for t in ("full", "limited"):
-        r = ops.setrange(planes(spark), G420, t)[0].select(F.lit(t).alias("target"), "*")
+        r = ops.setrange(planes(spark, sf_dir), G420, t)[0].select(F.lit(t).alias("target"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
 
-def _yuv2rgb(spark):
+def _yuv2rgb(spark, sf_dir):
     out = None
     for fmt in ("yuv420p", "yuv422p", "yuv444p"):
         for name, spec in (("601full", ColorSpec()), ("709limited", ColorSpec.parse("bt709", "limited"))):
-            r = ops.yuv_to_rgb(planes(spark, 16, 12, fmt), Geometry(16, 12, fmt), spec).select(F.lit(fmt).alias("pixfmt"), F.lit(name).alias("spec"), "*")
+            r = ops.yuv_to_rgb(planes(spark, sf_dir, 16, 12, fmt), Geometry(16, 12, fmt), spec).select(F.lit(fmt).alias("pixfmt"), F.lit(name).alias("spec"), "*")
             out = r if out is None else out.unionByName(r)
     return out
 
@@ -144,10 +152,10 @@ def _yuv2rgb_sql() -> str:
     return " union all ".join(parts)
 
 
-def _rgb2yuv(spark):
+def _rgb2yuv(spark, sf_dir):
     out = None
     for name, spec in (("601full", ColorSpec()), ("709limited", ColorSpec.parse("bt709", "limited"))):
-        r = ops.rgb_to_yuv420(rgb(spark), spec).select(F.lit(name).alias("spec"), "*")
+        r = ops.rgb_to_yuv420(rgb(spark, sf_dir), spec).select(F.lit(name).alias("spec"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -166,10 +174,10 @@ def _rgb2yuv_sql() -> str:
     return f"with {_RGB_SQL}, block as (select clip, frame_no, y // 2 as y, x // 2 as x, avg(r) as r, avg(g) as g, avg(b) as b from rgb group by 1, 2, 3, 4) " + " union all ".join(parts)
 
 
-def _to420(spark):
+def _to420(spark, sf_dir):
     out = None
     for fmt in ("yuv422p", "yuv444p"):
-        r = ops.to_420(planes(spark, 15, 11, fmt), Geometry(15, 11, fmt))[0].select(F.lit(fmt).alias("pixfmt"), "*")
+        r = ops.to_420(planes(spark, sf_dir, 15, 11, fmt), Geometry(15, 11, fmt))[0].select(F.lit(fmt).alias("pixfmt"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -189,24 +197,24 @@ def _to420_sql() -> str:
     return " union all ".join(parts)
 
 
-def _rgba(spark):
+def _rgba(spark, sf_dir):
     ch = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("ch"), e.alias("v")) for i, e in enumerate((F.col("r"), F.col("g"), F.col("b"), F.lit(255).cast("bigint")))])).alias("e")
-    return ops.rgba_to_rgb(rgb(spark).select("clip", "frame_no", "y", "x", ch).select("clip", "frame_no", "y", "x", "e.*"))
+    return ops.rgba_to_rgb(rgb(spark, sf_dir).select("clip", "frame_no", "y", "x", ch).select("clip", "frame_no", "y", "x", "e.*"))
 
 
-def _dims(spark):
+def _dims(spark, sf_dir):
     rows = []
     for spec in ("scale=20:-1", "scale=-1:17", "crop=16:8:2:4,hflip", "pad=40:40:4:4,transpose=1", "transpose=2,vflip"):
-        g = ops.apply_chain(planes(spark), G420, spec)[1]
+        g = ops.apply_chain(planes(spark, sf_dir), G420, spec)[1]
         rows.append((spec, g.width, g.height))
     return spark.createDataFrame(rows, "spec string, width bigint, height bigint")
 
 
-def _chain(spark):
-    return ops.apply_chain(planes(spark), G420, "crop=16:12:4:2, hflip,,negate,pad=24:16:4:2,transpose=1")[0]
+def _chain(spark, sf_dir):
+    return ops.apply_chain(planes(spark, sf_dir), G420, "crop=16:12:4:2, hflip,,negate,pad=24:16:4:2,transpose=1")[0]
 
 
-def _colorspec(spark):
+def _colorspec(spark, sf_dir):
     rows = []
     for m in ("bt601", "bt709"):
         for r in ("full", "limited"):
@@ -225,24 +233,24 @@ select matrix, color_range, name, round(value, 9) as value from (
  union all select matrix, color_range, 'gu', -2 * kb * (1 - kb) / kg * cs from k union all select matrix, color_range, 'gv', -2 * kr * (1 - kr) / kg * cs from k)"""
 
 QUERIES = {
-    "vf_hflip": _simple(lambda s: ops.hflip(planes(s), G420)[0]),
-    "vf_vflip": _simple(lambda s: ops.vflip(planes(s), G420)[0]),
-    "vf_negate": _simple(lambda s: ops.negate(planes(s), G420)[0]),
-    "vf_gray": _simple(lambda s: ops.gray(planes(s), G420)[0]),
-    "vf_crop": _simple(lambda s: ops.crop(planes(s), G420, 16, 10, 6, 4)[0]),
-    "vf_pad": _simple(lambda s: ops.pad(planes(s), G420, 44, 36, 6, 8)[0]),
-    "vf_transpose": _simple(_transposed),
-    "vf_scale": _simple(_scaled),
-    "vf_setrange": _simple(_ranges),
-    "vf_overlay": _simple(_overlay),
-    "vf_overlay_decode": _simple(_overlay_source),
-    "vf_format_rgb2yuv": _simple(_rgb2yuv),
-    "vf_format_yuv2rgb": _simple(_yuv2rgb),
-    "vf_format_to420": _simple(_to420),
-    "vf_format_rgba2rgb": _simple(_rgba),
-    "vf_colorspec": _simple(_colorspec),
-    "vf_dims": _simple(_dims),
-    "vf_chain": _simple(_chain),
+    "vf_hflip": lambda s, d: ops.hflip(planes(s, d), G420)[0],
+    "vf_vflip": lambda s, d: ops.vflip(planes(s, d), G420)[0],
+    "vf_negate": lambda s, d: ops.negate(planes(s, d), G420)[0],
+    "vf_gray": lambda s, d: ops.gray(planes(s, d), G420)[0],
+    "vf_crop": lambda s, d: ops.crop(planes(s, d), G420, 16, 10, 6, 4)[0],
+    "vf_pad": lambda s, d: ops.pad(planes(s, d), G420, 44, 36, 6, 8)[0],
+    "vf_transpose": _transposed,
+    "vf_scale": _scaled,
+    "vf_setrange": _ranges,
+    "vf_overlay": _overlay,
+    "vf_overlay_decode": _overlay_source,
+    "vf_format_rgb2yuv": _rgb2yuv,
+    "vf_format_yuv2rgb": _yuv2rgb,
+    "vf_format_to420": _to420,
+    "vf_format_rgba2rgb": _rgba,
+    "vf_colorspec": _colorspec,
+    "vf_dims": _dims,
+    "vf_chain": _chain,
 }
 
 _P = f"with {_pix_sql()} "
@@ -253,7 +261,7 @@ SQL = {
     "vf_gray": _P + "select clip, frame_no, plane, y, x, case when plane > 0 then 128 else v end as v from pix",
     "vf_crop": _P + "select clip, frame_no, plane, y - 4 // k as y, x - 6 // k as x, v from (select *, case when plane = 0 then 1 else 2 end as k from pix)"
     " where x >= 6 // k and x < 22 // k and y >= 4 // k and y < 14 // k",
-    "vf_pad": _P + ", big as (select clip, frame_no, plane, y, x from (values ('A'), ('B')) c(clip), range(2) f(frame_no),"
+    "vf_pad": _P + ", big as (select clip, frame_no, plane, y, x from (select distinct clip, frame_no from pix),"
     " (select 0::bigint as plane, y, x from range(36) a(y), range(44) b(x) union all select p, y, x from range(1, 3) q(p), range(18) a(y), range(22) b(x)))"
     " select b.clip, b.frame_no, b.plane, b.y, b.x, coalesce(p.v, case when b.plane = 0 then 0 else 128 end) as v from big b left join pix p"
     " on p.clip = b.clip and p.frame_no = b.frame_no and p.plane = b.plane and p.y = b.y - (case when b.plane = 0 then 8 else 4 end) and p.x = b.x - (case when b.plane = 0 then 6 else 3 end)",
@@ -274,7 +282,7 @@ SQL = {
     "vf_dims": "select spec, width::bigint as width, height::bigint as height from (values ('scale=20:-1', 20, 16), ('scale=-1:17', 22, 17), ('crop=16:8:2:4,hflip', 16, 8), ('pad=40:40:4:4,transpose=1', 40, 40), ('transpose=2,vflip', 24, 32)) t(spec, width, height)",
     "vf_chain": _P + ", c as (select clip, frame_no, plane, y - 2 // k as y, (case when plane = 0 then 16 else 8 end) - 1 - (x - 4 // k) as x, 255 - v as v from (select *, case when plane = 0 then 1 else 2 end as k from pix)"
     " where x >= 4 // k and x < 20 // k and y >= 2 // k and y < 14 // k),"
-    " big as (select clip, frame_no, plane, y, x from (values ('A'), ('B')) c(clip), range(2) f(frame_no),"
+    " big as (select clip, frame_no, plane, y, x from (select distinct clip, frame_no from pix),"
     " (select 0::bigint as plane, y, x from range(16) a(y), range(24) b(x) union all select p, y, x from range(1, 3) q(p), range(8) a(y), range(12) b(x)))"
     " select b.clip, b.frame_no, b.plane, b.x as y, (case when b.plane = 0 then 16 else 8 end) - 1 - b.y as x, coalesce(c.v, case when b.plane = 0 then 0 else 128 end) as v from big b left join c"
     " on c.clip = b.clip and c.frame_no = b.frame_no and c.plane = b.plane and c.y = b.y - (case when b.plane = 0 then 2 else 1 end) and c.x = b.x - (case when b.plane = 0 then 4 else 2 end)",

@@ -68,9 +68,9 @@ _VECTORS = """e as (select vec_id, label, unnest(embedding)::double as v, genera
 vp as (select x.vec_id, x.label, x.i, x.v as a, y.v as b from e x join e y on y.vec_id = x.vec_id + 1 and y.i = x.i)"""
 
 
-def frame_pairs(spark):
+def frame_pairs(spark, sf_dir):
     """Clip A against clip B as its decoded version."""
-    p = fx.planes(spark)
+    p = fx.planes(spark, sf_dir)
     return ops.frame_pairs(p.where("clip = 'A'"), p.where("clip = 'B'").withColumn("clip", F.lit("A")))
 
 
@@ -139,9 +139,9 @@ def _throughput(spark, sf_dir):
 
 def _conformance(spark, sf_dir):
     """First frame whose hash differs between two clips' planes."""
-    h = fx.planes(spark).groupBy("clip", "frame_no").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("plane", "y", "x", "v"))), lambda s: s["v"]), ",")).alias("md5"))
+    h = fx.planes(spark, sf_dir).groupBy("clip", "frame_no").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("plane", "y", "x", "v"))), lambda s: s["v"]), ",")).alias("md5"))
     got, want = h.where("clip = 'A'").select("frame_no", F.col("md5").alias("got")), h.where("clip = 'B' or frame_no = 0").where("clip = 'B'").select("frame_no", F.col("md5").alias("want"))
-    extra = want.unionByName(want.limit(0)).unionByName(spark.createDataFrame([(5, "none")], "frame_no bigint, want string"))
+    extra = want.unionByName(want.limit(0)).unionByName(spark.createDataFrame([(-1, "none")], "frame_no bigint, want string"))
     j = got.join(extra, "frame_no", "full")
     return j.agg(F.count("*").alias("frames"), F.count_if(F.expr("got <=> want")).alias("equal"), F.min(F.expr("if(not got <=> want, frame_no, null)")).alias("first_mismatch"))
 
@@ -187,11 +187,11 @@ QUERIES = {
     "agg_bd_linear": lambda s, d: _round(ops.bd_linear(ladder(s, d)), 4),
     "agg_iso": lambda s, d: _round(ops.iso_quality(ladder(s, d)), 5),
     "set_intersect": lambda s, d: ladder(s, d).where("arm = 0").select("clip").intersect(ladder(s, d).where("arm = 1").select("clip")),
-    "agg_psnr_frame": lambda s, d: _round(ops.psnr_by_frame(frame_pairs(s)).drop("clip")),
-    "agg_psnr_pooled": lambda s, d: _round(ops.psnr_pooled(frame_pairs(s))),
-    "agg_ssim": lambda s, d: _round(ops.ssim(frame_pairs(s), fx.W, fx.H).drop("clip")),
-    "agg_psnr_channel": lambda s, d: _round(frame_pairs(s).groupBy(F.expr("(y * 32 + x) % 3").alias("ch")).agg(ops.psnr(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("psnr"))),
-    "frame_pair": lambda s, d: frame_pairs(s).drop("clip"),
+    "agg_psnr_frame": lambda s, d: _round(ops.psnr_by_frame(frame_pairs(s, d)).drop("clip")),
+    "agg_psnr_pooled": lambda s, d: _round(ops.psnr_pooled(frame_pairs(s, d))),
+    "agg_ssim": lambda s, d: _round(ops.ssim(frame_pairs(s, d), fx.W, fx.H).drop("clip")),
+    "agg_psnr_channel": lambda s, d: _round(frame_pairs(s, d).groupBy(F.expr("(y * 32 + x) % 3").alias("ch")).agg(ops.psnr(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("psnr"))),
+    "frame_pair": lambda s, d: frame_pairs(s, d).drop("clip"),
     "agg_rmse": lambda s, d: _round(ops.error_stats(vectors(s, d), ["vec_id"])),
     "agg_rmse_merge": _merge,
     "agg_stage": lambda s, d: _round(ops.stage_report(stage_facts(s, d), ["clip"]), 4),
@@ -218,7 +218,7 @@ QUERIES = {
     "agg_kmeans": _kmeans,
     "agg_kind": lambda s, d: ops.colour_kind(palette_pixels(s, d), ["clip"]),
     "agg_repeat": lambda s, d: _round(ops.repeat_fraction(palette_pixels(s, d).withColumn("r", F.expr("r div 100")).withColumn("g", F.lit(0)).withColumn("b", F.lit(0)), ["a"], 64)),
-    "agg_vartree": lambda s, d: ops.variance_tree(fx.planes(s, 64, 64)),
+    "agg_vartree": lambda s, d: ops.variance_tree(fx.planes(s, d, 64, 64)),
     "agg_report": _report,
     "sink_report": _markdown,
     "lab_ladder": lambda s, d: _read(s, d, "events").select(F.col("event_type").alias("class")).distinct().select("class", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (48000, 64000, 96000, 128000, 192000)])).alias("bitrate")),
@@ -293,7 +293,7 @@ SQL = {
     " select o.clip, o.br, case when o.odg > l.odg then 'ours' else 'lame' end as winner, case when o.nmr < l.nmr then 'ours' else 'lame' end as metric_says, (o.odg > l.odg) = (o.nmr < l.nmr) as agree from c o join c l on o.clip = l.clip and o.br = l.br and o.e = 0 and l.e = 1",
     "arm_pivot": f"with {_BENCH}, g as (select clip, kind, max(case when codec = 'ours' then mpx_s end) as ours, max(case when codec = 'libvpx' then mpx_s end) as libvpx, max(case when codec = 'ffmpeg' then mpx_s end) as ffmpeg from be where kind = 'encode' or source = 'libvpx' group by 1, 2)"
     " select clip, kind, ours, libvpx, ffmpeg, round(case when libvpx > 0 then ours / libvpx end, 6) as ratio from g where ours is not null or libvpx is not null",
-    "conformance": f"with {fx._pix_sql()}, h as (select clip, frame_no, md5(string_agg(v::varchar, ',' order by plane, y, x)) as md5 from pix group by 1, 2), w as (select frame_no, md5 as want from h where clip = 'B' union all select 5, 'none'), g as (select frame_no, md5 as got from h where clip = 'A')"
+    "conformance": f"with {fx._pix_sql()}, h as (select clip, frame_no, md5(string_agg(v::varchar, ',' order by plane, y, x)) as md5 from pix group by 1, 2), w as (select frame_no, md5 as want from h where clip = 'B' union all select -1, 'none'), g as (select frame_no, md5 as got from h where clip = 'A')"
     " select count(*) as frames, count(*) filter (got is not distinct from want) as equal, min(case when got is distinct from want then coalesce(g.frame_no, w.frame_no) end) as first_mismatch from g full join w on g.frame_no = w.frame_no",
     "agg_census": f"with {_PAL} select r, g, b, a, count(*) as n from pp group by 1, 2, 3, 4",
     "agg_kmeans": f"with {_PAL}, c as (select r, g, b, sum(n) as w from (select r, g, b, a, count(*) as n from pp group by 1, 2, 3, 4) group by 1, 2, 3), k as (select k, 40 * k as kr, 30 * k as kg, 40 * k as kb from range(6) t(k)),"

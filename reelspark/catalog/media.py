@@ -80,7 +80,7 @@ def _wav(spark, sf_dir):
 
 
 def _y4m(spark, sf_dir):
-    f = packed.pack(fx.planes(spark), fx.G420)
+    f = packed.pack(fx.planes(spark, sf_dir), fx.G420)
     p = f.select(F.col("clip").alias("file"), F.lit(0).alias("idx"), F.col("frame_no").alias("ordinal"), F.col("frame_no").alias("pts"), F.col("frame_no").alias("dts"), F.lit(1).cast("bigint").alias("duration"), F.lit(1).alias("tb_num"), F.lit(25).alias("tb_den"), F.lit(True).alias("keyframe"), F.expr("concat(planes[0], planes[1], planes[2])").alias("data"))
     st = _streams(spark, [{"file": c, "idx": 0, "media_type": "video", "codec": "rawvideo", "tb_num": 1, "tb_den": 25, "width": fx.W, "height": fx.H, "pixfmt": "yuv420p"} for c in "AB"])
     out = mux.write_files(p, st, "yuv4mpegpipe").withColumn("format", F.lit("yuv4mpegpipe"))
@@ -137,8 +137,8 @@ def _ogg(spark, sf_dir):
     return files.parse_packets(out.withColumn("format", F.lit("ogg"))).select("file", "ordinal", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("md5"))
 
 
-def _png_files(spark):
-    f = packed.pack(fx.planes(spark), fx.G420).selectExpr("concat(clip, frame_no) as id", "width", "height", "1 as channels", "planes[0] as pixels")
+def _png_files(spark, sf_dir):
+    f = packed.pack(fx.planes(spark, sf_dir), fx.G420).selectExpr("concat(clip, frame_no) as id", "width", "height", "1 as channels", "planes[0] as pixels")
     return lossless.encode_png(f)
 
 
@@ -158,11 +158,11 @@ def _src_open(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
-    return packed.explode(packed.filter_frames(packed.pack(fx.planes(spark), fx.G420), "crop=16:12:4:2,hflip,negate,pad=24:16:4:2,transpose=1"))
+    return packed.explode(packed.filter_frames(packed.pack(fx.planes(spark, sf_dir), fx.G420), "crop=16:12:4:2,hflip,negate,pad=24:16:4:2,transpose=1"))
 
 
 def _packed_scale(spark, sf_dir):
-    return packed.explode(packed.filter_frames(packed.pack(fx.planes(spark), fx.G420), "scale=20:-1"))
+    return packed.explode(packed.filter_frames(packed.pack(fx.planes(spark, sf_dir), fx.G420), "scale=20:-1"))
 
 
 def _events(spark, sf_dir):
@@ -186,8 +186,8 @@ QUERIES = {
     "src_mp3_file": _mp3_file,
     "src_mkv": _mkv,
     "sink_ogg": _ogg,
-    "codec_png": lambda s, d: lossless.decode_png(_png_files(s)).select("id", "width", "height", F.md5("pixels").alias("md5")),
-    "sink_png": lambda s, d: files.parse_streams(_png_files(s).select(F.col("id").alias("file"), F.lit("png").alias("format"), F.col("image").alias("content"))).select("file", "codec", "width", "height"),
+    "codec_png": lambda s, d: lossless.decode_png(_png_files(s, d)).select("id", "width", "height", F.md5("pixels").alias("md5")),
+    "sink_png": lambda s, d: files.parse_streams(_png_files(s, d).select(F.col("id").alias("file"), F.lit("png").alias("format"), F.col("image").alias("content"))).select("file", "codec", "width", "height"),
     "src_images": _images,
     "src_open": _src_open,
     "vf_chain_packed": _packed,
@@ -204,7 +204,7 @@ SQL = {
     "src_mkv": f"with {_EV} select file, idx, ordinal, ordinal * 40 + 5 as pts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from ev",
     "sink_ogg": f"with {_EV} select file, ordinal, octet_length(encode(props)) as size, md5(props) as md5 from ev where idx = 1",
     "codec_png": f"with {fx._pix_sql()} select clip || frame_no as id, {fx.W} as width, {fx.H} as height, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' order by y, x))) as md5 from pix where plane = 0 group by 1",
-    "sink_png": f"select c || f as file, 'png' as codec, {fx.W} as width, {fx.H} as height from (values ('A'), ('B')) a(c), range(2) b(f)",
+    "sink_png": f"with {fx._pix_sql()} select c || f as file, 'png' as codec, {fx.W} as width, {fx.H} as height from (select distinct clip as c, frame_no as f from pix)",
     "src_ivf": _trip_sql("idx = 0"), "src_flv": _trip_sql(), "sink_flv": _timed_sql(1000), "src_avi": _trip_sql(), "sink_avi": _trip_sql(),
     "src_mp4_file": _trip_sql(), "src_ts_file": _trip_sql(), "sink_ts": _timed_sql(90000),
     "src_wav": "select 'w' || (id // 500) as file, id % 500 as n, case when id * 7919 % 65536 >= 32768 then id * 7919 % 65536 - 65536 else id * 7919 % 65536 end as v from range(2000) t(id)",

@@ -63,7 +63,7 @@ def _raw(spark, sf_dir):
 
 
 def _frame_md5(spark, sf_dir):
-    p = fx.planes(spark).groupBy("clip", "frame_no", "plane").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
+    p = fx.planes(spark, sf_dir).groupBy("clip", "frame_no", "plane").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
     h = p.select("clip", "frame_no", "plane", F.array_join(F.transform("s", lambda e: F.lpad(F.hex(e["v"]), 2, "0")), "").alias("h"))
     g = h.groupBy("clip", "frame_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("plane", "h"))), lambda e: e["h"]), "").alias("h"))
     return g.select("clip", "frame_no", F.md5(F.unhex("h")).alias("md5"))

@@ -368,6 +368,13 @@ def tone(spark: SparkSession, clip: str, rate: int, hz: float, amplitude: float,
     return spark.range(n).select(F.lit(clip).alias("clip"), F.lit(0).cast("bigint").alias("ch"), F.col("id").alias("n"), (F.lit(amplitude) * F.sin(F.lit(TWO_PI * hz / rate) * F.col("id"))).alias("v"))
 
 
+def tones(voices: DataFrame, rate: int, n: int) -> DataFrame:
+    """``n`` samples ``clip, ch, n, v`` of a sine for each of ``voices (clip, hz,
+    amplitude)``."""
+    v = voices.withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    return v.select("clip", F.lit(0).cast("bigint").alias("ch"), "n", (F.col("amplitude") * F.sin(F.lit(TWO_PI / rate) * F.col("hz") * F.col("n"))).alias("v"))
+
+
 def nmr_summary(bands: DataFrame, key: list[str]) -> DataFrame:
     """Noise-to-mask summary of ``(key, noise, mask)`` energies in frames and
     bands: mean and largest dB and the share of audible bands; the mask is at

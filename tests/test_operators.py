@@ -53,10 +53,10 @@ def test_transpose_needs_square_chroma(spark):
 
 
 @pytest.mark.parametrize("spec", ["hflip", "vflip,gray", "transpose=3", "setrange=limited", "setrange=full,negate", "scale=30:-1,crop=10:10:4:6"])
-def test_packed_equals_exploded(spark, spec):
+def test_packed_equals_exploded(spark, sf, spec):
     from reelspark.catalog import frames as fx
 
-    px = fx.planes(spark)
+    px = fx.planes(spark, sf)
     a = frames.apply_chain(px, fx.G420, spec)[0].select(*frames.PIXEL).collect()
     b = packed.explode(packed.filter_frames(packed.pack(px, fx.G420), spec)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
