@@ -32,23 +32,28 @@ def _values(spark, sql):
     return spark.sql(sql)
 
 
-def _tables(spark):
-    """Sample tables of three files by formula: runs of samples in eight chunks."""
-    f = spark.range(3).withColumnRenamed("id", "file")
-    stsc = f.select("file", F.explode(F.expr("array(named_struct('first_chunk', 1L, 'spc', 3L), named_struct('first_chunk', 3L, 'spc', 2L), named_struct('first_chunk', 6L, 'spc', 4L + file))")).alias("e")).select("file", "e.*")
+def _users(spark, sf_dir):
+    """A file for each user of ``events``."""
+    return _read(spark, sf_dir, "events").selectExpr("user_id as file").distinct()
+
+
+def _tables(spark, sf_dir):
+    """Sample tables of each user's file: runs of samples in eight chunks."""
+    f = _users(spark, sf_dir)
+    stsc = f.select("file", F.explode(F.expr("array(named_struct('first_chunk', 1L, 'spc', 3L), named_struct('first_chunk', 3L, 'spc', 2L), named_struct('first_chunk', 6L, 'spc', 4L + file % 3))")).alias("e")).select("file", "e.*")
     chunks = f.select("file", F.explode(F.expr("sequence(1L, 8L)")).alias("chunk")).selectExpr("file", "chunk", "1000 * chunk + file as offset")
-    sizes = f.select("file", F.explode(F.expr("sequence(1L, 20L + file)")).alias("sample")).selectExpr("file", "sample", "100 + (sample * 37) % 50 as size")
-    stts = f.select("file", F.explode(F.expr("array(named_struct('entry', 1L, 'count', 5L, 'delta', 512L), named_struct('entry', 2L, 'count', 4L, 'delta', 1024L), named_struct('entry', 3L, 'count', 100L, 'delta', 500L + file))")).alias("e")).select("file", "e.*")
-    stss = f.where("file < 2").select("file", F.explode(F.expr("array(1L, 4L, 9L, 14L)")).alias("sample"))
+    sizes = f.select("file", F.explode(F.expr("sequence(1L, 20L + file % 3)")).alias("sample")).selectExpr("file", "sample", "100 + (sample * 37) % 50 as size")
+    stts = f.select("file", F.explode(F.expr("array(named_struct('entry', 1L, 'count', 5L, 'delta', 512L), named_struct('entry', 2L, 'count', 4L, 'delta', 1024L), named_struct('entry', 3L, 'count', 100L, 'delta', 500L + file % 3))")).alias("e")).select("file", "e.*")
+    stss = f.where("file % 3 < 2").select("file", F.explode(F.expr("array(1L, 4L, 9L, 14L)")).alias("sample"))
     return stsc, chunks, sizes, stts, stss
 
 
-_TB = """f as (select file from range(3) t(file)),
-stsc as (select file, first_chunk, spc from f, (values (1, 3), (3, 2), (6, 4)) v(first_chunk, s0), lateral (select case when first_chunk = 6 then 4 + file else s0 end as spc)),
+_TB = """f as (select distinct user_id as file from events),
+stsc as (select file, first_chunk, spc from f, (values (1, 3), (3, 2), (6, 4)) v(first_chunk, s0), lateral (select case when first_chunk = 6 then 4 + file % 3 else s0 end as spc)),
 chunks as (select file, chunk, 1000 * chunk + file as offs from f, range(1, 9) c(chunk)),
-sizes as (select file, sample, 100 + (sample * 37) % 50 as size from f, range(1, 23) s(sample) where sample <= 20 + file),
-stts as (select file, entry, cnt, case when entry = 3 then 500 + file else d0 end as delta from f, (values (1, 5, 512), (2, 4, 1024), (3, 100, 500)) v(entry, cnt, d0)),
-stss as (select file, sample from f, (values (1), (4), (9), (14)) v(sample) where file < 2),
+sizes as (select file, sample, 100 + (sample * 37) % 50 as size from f, range(1, 23) s(sample) where sample <= 20 + file % 3),
+stts as (select file, entry, cnt, case when entry = 3 then 500 + file % 3 else d0 end as delta from f, (values (1, 5, 512), (2, 4, 1024), (3, 100, 500)) v(entry, cnt, d0)),
+stss as (select file, sample from f, (values (1), (4), (9), (14)) v(sample) where file % 3 < 2),
 runs as (select c.file, c.chunk, (select spc from stsc s where s.file = c.file and s.first_chunk <= c.chunk order by first_chunk desc limit 1) as spc from chunks c)"""
 
 
@@ -73,15 +78,15 @@ i1 as (select *, row_number() over w as position, cast(36 + sum(size) over (part
 il as (select file, idx, ordinal, position, offs, cast(sum(opens) over (partition by file, idx order by position rows unbounded preceding) as bigint) as chunk from i1)"""
 
 
-def _segments(spark):
-    """Lacing values by formula: two files of pages of up to 12 segments."""
-    return spark.range(2).withColumnRenamed("id", "file").select("file", F.explode(F.expr("sequence(0L, 39L)")).alias("page")).select("file", "page", F.explode(F.expr("sequence(0L, page % 12)")).alias("seg")).selectExpr(
+def _segments(spark, sf_dir):
+    """Lacing values of each user's file: pages of up to 12 segments."""
+    return _users(spark, sf_dir).select("file", F.explode(F.expr("sequence(0L, 39L)")).alias("page")).select("file", "page", F.explode(F.expr("sequence(0L, page % 12)")).alias("seg")).selectExpr(
         "file", "page", "seg", "if((page * 5 + seg * 3 + file) % 4 = 0, 255L, (page * 37 + seg * 91) % 256) as lace"
     )
 
 
 _SG = """sg as (select file, page, seg, case when (page * 5 + seg * 3 + file) % 4 = 0 then 255 else (page * 37 + seg * 91) % 256 end as lace
- from range(2) f(file), range(40) p(page), range(12) s(seg) where seg <= page % 12)"""
+ from (select distinct user_id as file from events) f, range(40) p(page), range(12) s(seg) where seg <= page % 12)"""
 
 
 def _ts(spark, sf_dir):
@@ -110,13 +115,13 @@ def _hls(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    s = spark.range(5000).selectExpr("id as n", "(id * 7919) % 65536 - 32768 as v")
-    return ops.frame_blocks(s, 1024, 512, F.lit(5000)).groupBy("block").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("n").alias("first"))
+    s = _read(spark, sf_dir, "events").selectExpr("event_id as n", "cast(floor(value * 60) as bigint) as v")
+    return ops.frame_blocks(s, 1024, 512, s.selectExpr("max(n) + 1").scalar()).groupBy("block").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("n").alias("first"))
 
 
 def _warm(spark, sf_dir):
-    s = spark.range(230).selectExpr("id as n")
-    return ops.warmup_chunks(s, 50, 8, F.lit(230)).groupBy("chunk").agg(F.count("*").alias("frames"), F.count_if("warmup").alias("warmups"), F.min("n").alias("first"))
+    s = _read(spark, sf_dir, "events").selectExpr("event_id as n")
+    return ops.warmup_chunks(s, 50, 8, s.selectExpr("max(n) + 1").scalar()).groupBy("chunk").agg(F.count("*").alias("frames"), F.count_if("warmup").alias("warmups"), F.min("n").alias("first"))
 
 
 def _mkv(spark, sf_dir):
@@ -146,7 +151,7 @@ def _dedup(spark, sf_dir):
 
 
 def _sorted(spark, sf_dir):
-    s = ops.mp4_samples(*_tables(spark))
+    s = ops.mp4_samples(*_tables(spark, sf_dir))
     return s.select("file", "sample", "offset", F.expr("cast(row_number() over (partition by file order by offset) as bigint)").alias("place"))
 
 
@@ -154,16 +159,16 @@ QUERIES = {
     "join_streams": _streams,
     "join_pid": lambda s, d: _ts(s, d).join(s.sql("select * from values (0L, 0L), (1L, 1L), (4L, 2L), (7L, 3L) as t(pid, stream)"), "pid").select("file", "ord", "stream", "len"),
     "join_mkv_track": _mkv,
-    "mp4_stsc": lambda s, d: ops.chunk_runs(*_tables(s)[:2]),
-    "mp4_samples": lambda s, d: ops.mp4_samples(*_tables(s)),
-    "src_mp4": lambda s, d: ops.mp4_samples(*_tables(s)[:4], None).select("file", "sample", "offset", "size", "pts", "keyframe"),
+    "mp4_stsc": lambda s, d: ops.chunk_runs(*_tables(s, d)[:2]),
+    "mp4_samples": lambda s, d: ops.mp4_samples(*_tables(s, d)),
+    "src_mp4": lambda s, d: ops.mp4_samples(*_tables(s, d)[:4], None).select("file", "sample", "offset", "size", "pts", "keyframe"),
     "mp4_durations": lambda s, d: _durations(s, d).select("file", "idx", "ordinal", "duration"),
     "mp4_interleave": lambda s, d: _interleaved(s, d).select("file", "idx", "ordinal", "position", F.col("offset").alias("offs"), "chunk"),
     "sink_mp4": lambda s, d: ops.chunk_table(_interleaved(s, d)).withColumnRenamed("offset", "offs"),
     "sort_time": lambda s, d: _interleaved(s, d).select("file", "position", "idx", "ordinal"),
     "sort_offset": _sorted,
     "av_mux": _av,
-    "src_ogg": lambda s, d: ops.lace_packets(_segments(s)),
+    "src_ogg": lambda s, d: ops.lace_packets(_segments(s, d)),
     "src_ts": lambda s, d: _ts(s, d).groupBy("file", "pid").agg(F.count("*").alias("packets"), F.count_if("pusi").alias("units"), F.sum("len").alias("bytes")),
     "st_pes": lambda s, d: ops.pes_packets(_ts(s, d)),
     "hls_segments": lambda s, d: _hls(s, d).select("file", "ordinal", "segment", "start_pts"),
@@ -216,8 +221,8 @@ SQL = {
     " || string_agg('#EXTINF:' || printf('%.3f', floor(duration * 1000 + 0.5) / 1000) || ',' || chr(10) || file || segment || '.ts' || chr(10), '' order by segment) || '#EXT-X-ENDLIST' || chr(10) as playlist from hdur group by file",
     "win_running": f"with {_PK} select file, idx, ordinal, cast(coalesce(sum(1152 + size % 3) over (partition by idx order by ordinal rows between unbounded preceding and 1 preceding), 0) as bigint) as pts from pk",
     "win_lag": f"with {_PK} select idx, ordinal, pts - lag(pts) over (partition by idx order by ordinal) as delta from pk",
-    "win_frame_blocks": "select k as block, count(*) as n, cast(sum((n * 7919) % 65536 - 32768) as bigint) as total, min(n) as first from range(8) b(k), range(5000) s(n) where n >= k * 512 and n < k * 512 + 1024 group by 1",
-    "win_warmup": "select c as chunk, count(*) as frames, count(*) filter (n < c * 50) as warmups, min(n) as first from range(5) t(c), range(230) s(n) where n >= c * 50 - (case when c > 0 then 8 else 0 end) and n < c * 50 + 50 group by 1",
+    "win_frame_blocks": "select k as block, count(*) as n, cast(sum(cast(floor(value * 60) as bigint)) as bigint) as total, min(event_id) as first from events, (select unnest(range((select max(event_id) // 512 + 1 from events))) as k) b where event_id >= k * 512 and event_id < k * 512 + 1024 and k * 512 + 1024 <= (select max(event_id) + 1 from events) group by 1",
+    "win_warmup": "select c as chunk, count(*) as frames, count(*) filter (event_id < c * 50) as warmups, min(event_id) as first from (select unnest(range((select max(event_id) // 50 + 1 from events))) as c) t, events where event_id >= c * 50 - (case when c > 0 then 8 else 0 end) and event_id < c * 50 + 50 group by 1",
     "win_lookahead": f"with {_PK} select idx, ordinal, coalesce(lead(pts, 25) over w, last_value(pts) over (w rows between unbounded preceding and unbounded following)) as release_pts from pk window w as (partition by file, idx order by ordinal)",
     "st_bounded_scan": f"with {_PK}, r as (select *, row_number() over (partition by file order by pts, idx, ordinal) as r from pk) select file, idx, count(*) as packets, min(pts) as first_pts from r where r <= 200 group by 1, 2",
     "limit_frames": f"with {_PK} select file, idx, ordinal, pts from pk where ordinal < 3",

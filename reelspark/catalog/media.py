@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import lossless, packed
 from ..sources import files, mux
 from ..streaming import stateful
-from . import containers, frames as fx
+from . import containers, frames as fx, probe as px
 
 _S = files.STREAMS.replace(", error string", "")
 
@@ -67,10 +67,11 @@ def _trip_sql(only: str = "true") -> str:
 
 
 def _wav(spark, sf_dir):
-    s = spark.range(2000).selectExpr("concat('w', id div 500) as file", "id", "(id * 7919) % 65536 as u")
+    s = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat('w', event_id div 500) as file", "event_id as id", "cast(floor(value * 130) as bigint) % 65536 as u")
     data = F.unhex(F.concat(F.lpad(F.hex(F.col("u") % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col("u") / 256).cast("bigint")), 2, "0")))
     p = s.select("file", F.lit(0).alias("idx"), F.col("id").alias("ordinal"), F.lit(0).cast("bigint").alias("pts"), F.lit(0).cast("bigint").alias("dts"), F.lit(1).cast("bigint").alias("duration"), F.lit(1).alias("tb_num"), F.lit(8000).alias("tb_den"), F.lit(True).alias("keyframe"), data.alias("data"))
-    st = _streams(spark, [{"file": f"w{i}", "idx": 0, "media_type": "audio", "codec": "pcm", "sample_fmt": "s16", "tb_num": 1, "tb_den": 8000, "sample_rate": 8000, "channels": 1} for i in range(4)])
+    one = _streams(spark, [{"idx": 0, "media_type": "audio", "codec": "pcm", "sample_fmt": "s16", "tb_num": 1, "tb_den": 8000, "sample_rate": 8000, "channels": 1}])
+    st = s.select("file", F.lit(0).alias("idx")).distinct().join(F.broadcast(one.drop("file")), "idx").select(one.columns)
     out = mux.write_files(p, st, "wav").withColumn("format", F.lit("wav"))
     r = files.parse_packets(out).select("file", F.posexplode(F.expr("sequence(1, cast(octet_length(data) div 2 as int))")).alias("n", "at"), "data")
     from ..functions.binary import byte_at
@@ -145,13 +146,19 @@ def _png_files(spark, sf_dir):
 IMAGES = [("png", "89504E470D0A1A0A0000000D4948445200000140000000F00802000000"), ("gif", "4749463839614001F000800000"), ("jpeg", "FFD8FFE000104A46494600010100000100010000FFC0001108007801400301220002110103110100"), ("webp", "524946461A000000574542505650384C0D0000002F3FC13B000000000000000000"), ("flac", "664C6143000000221000100000000000000" + "00AC442F000000000" + "0" * 32)]
 
 
+def _image_files(spark, sf_dir):
+    """An image of one of the formats for each part."""
+    return px.each_part(spark, sf_dir, [(f, h + "0" * (len(h) % 2)) for f, h in IMAGES], "format string, h string").select(
+        F.concat_ws("-", "format", "p_partkey").alias("file"), "format", F.unhex("h").alias("content")
+    )
+
+
 def _images(spark, sf_dir):
-    d = spark.createDataFrame([(f, f, bytes.fromhex(h + "0" * (len(h) % 2))) for f, h in IMAGES], "file string, format string, content binary")
-    return files.parse_streams(d).select("file", "codec", "width", "height", "sample_rate", "channels")
+    return files.parse_streams(_image_files(spark, sf_dir)).select("file", "codec", "width", "height", "sample_rate", "channels")
 
 
 def _src_open(spark, sf_dir):
-    d = spark.createDataFrame([(f, bytes.fromhex(h + "0" * (len(h) % 2))) for f, h in IMAGES], "file string, content binary")
+    d = _image_files(spark, sf_dir).drop("format")
     from ..operators.probe import probe
 
     return probe(d, ["file"], "content").select("file", "format")
@@ -207,12 +214,12 @@ SQL = {
     "sink_png": f"with {fx._pix_sql()} select c || f as file, 'png' as codec, {fx.W} as width, {fx.H} as height from (select distinct clip as c, frame_no as f from pix)",
     "src_ivf": _trip_sql("idx = 0"), "src_flv": _trip_sql(), "sink_flv": _timed_sql(1000), "src_avi": _trip_sql(), "sink_avi": _trip_sql(),
     "src_mp4_file": _trip_sql(), "src_ts_file": _trip_sql(), "sink_ts": _timed_sql(90000),
-    "src_wav": "select 'w' || (id // 500) as file, id % 500 as n, case when id * 7919 % 65536 >= 32768 then id * 7919 % 65536 - 65536 else id * 7919 % 65536 end as v from range(2000) t(id)",
-    "sink_wav": "select 'w' || (id // 500) as file, id % 500 as n, case when id * 7919 % 65536 >= 32768 then id * 7919 % 65536 - 65536 else id * 7919 % 65536 end as v from range(2000) t(id)",
+    "src_wav": "select 'w' || (event_id // 500) as file, event_id % 500 as n, case when u >= 32768 then u - 65536 else u end as v from (select event_id, cast(floor(value * 130) as bigint) % 65536 as u from events)",
+    "sink_wav": "select 'w' || (event_id // 500) as file, event_id % 500 as n, case when u >= 32768 then u - 65536 else u end as v from (select event_id, cast(floor(value * 130) as bigint) % 65536 as u from events)",
     "src_y4m": f"with {fx._pix_sql()} select clip, frame_no, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' order by plane, y, x))) as md5 from pix group by 1, 2",
     "sink_y4m": f"with {fx._pix_sql()} select clip, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' order by plane, y, x))) as md5 from pix group by clip, frame_no",
-    "src_images": "select file, codec, w::int as width, h::int as height, r::int as sample_rate, c::int as channels from (values ('png', 'png', 320, 240, null, null), ('gif', 'gif', 320, 240, null, null), ('jpeg', 'mjpeg', 320, 120, null, null), ('webp', 'webp', 320, 240, null, null), ('flac', 'flac', null, null, 44100, 2)) t(file, codec, w, h, r, c)",
-    "src_open": "select * from (values ('png', 'png'), ('gif', 'gif'), ('jpeg', 'jpeg'), ('webp', 'webp'), ('flac', 'flac')) t(file, format)",
+    "src_images": f"select * exclude (p_partkey) replace (file || '-' || p_partkey as file) from ({px.each_part_sql("select file, codec, w::int as width, h::int as height, r::int as sample_rate, c::int as channels from (values ('png', 'png', 320, 240, null, null), ('gif', 'gif', 320, 240, null, null), ('jpeg', 'mjpeg', 320, 120, null, null), ('webp', 'webp', 320, 240, null, null), ('flac', 'flac', null, null, 44100, 2)) t(file, codec, w, h, r, c)", len(IMAGES))})",
+    "src_open": f"select * exclude (p_partkey) replace (file || '-' || p_partkey as file) from ({px.each_part_sql("select * from (values ('png', 'png'), ('gif', 'gif'), ('jpeg', 'jpeg'), ('webp', 'webp'), ('flac', 'flac')) t(file, format)", len(IMAGES))})",
     "vf_chain_packed": fx.SQL["vf_chain"], "vf_scale_packed": fx.SQL["vf_scale"],
     "win_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "win_session": "with a as (select user_id, epoch_us(ts) as t, lag(epoch_us(ts)) over (partition by user_id order by ts) as p from events), b as (select user_id, sum(case when p is null or t - p >= 43200000000 then 1 else 0 end) over (partition by user_id order by t) as s from a), c as (select user_id, s, count(*) as n from b group by 1, 2) select user_id, count(*) as sessions, max(n) as longest from c group by 1",

@@ -14,6 +14,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def each_part(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str):
+    """Each part with one of ``rows`` by turns: ``p_partkey`` and their columns."""
+    few = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i bigint, {schema}")
+    return _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("_i")).join(F.broadcast(few), "_i").drop("_i")
+
+
+def each_part_sql(rows: str, n: int) -> str:
+    """The same for the ``n`` rows of a query."""
+    return f"select p_partkey, q.* exclude (i) from part join (select *, row_number() over () - 1 as i from ({rows})) q on p_partkey % {n} = i"
+
+
 # headers in hexadecimal: name and bytes
 HEADS = {
     "avi": "524946460000000041564920", "wav": "524946460000000057415645", "webp": "524946460000000057454250", "avif": "000000186674797061766966", "mif1": "00000018667479706D69663100000000",
@@ -48,17 +59,17 @@ def _streams(spark):
 
 
 def _default(spark, sf_dir):
-    d = spark.createDataFrame(SOURCES, "format string, codecs array<string>")
-    return d.select("format", F.array_join("codecs", "+").alias("source"), ops.default_codec(F.col("format"), F.col("codecs")).alias("codec"))
+    d = each_part(spark, sf_dir, SOURCES, "format string, codecs array<string>")
+    return d.select("p_partkey", "format", F.array_join("codecs", "+").alias("source"), ops.default_codec(F.col("format"), F.col("codecs")).alias("codec"))
 
 
 def _stride(spark, sf_dir):
-    d = spark.range(1, 60).select("id", F.unhex(F.lpad(F.hex(F.col("id") * 7919), 32, "A")).alias("plane"))
-    return d.select("id", F.hex(ops.tighten(F.col("plane"), 4, 3, 4)).alias("tight"))
+    d = _read(spark, sf_dir, "events").selectExpr("event_id", "1 + cast(floor(value * 8) as bigint) % 4096 as id").select("event_id", F.unhex(F.lpad(F.hex(F.col("id") * 7919), 32, "A")).alias("plane"))
+    return d.select("event_id", F.hex(ops.tighten(F.col("plane"), 4, 3, 4)).alias("tight"))
 
 
 def _raw(spark, sf_dir):
-    d = spark.range(1, 60).select("id", F.unhex(F.substring(F.lpad(F.hex(F.col("id") * 7919), 24, "B"), 1, 24)).alias("data"))
+    d = _read(spark, sf_dir, "events").selectExpr("1 + cast(floor(value * 8) as bigint) % 4096 as id").select("id", F.unhex(F.substring(F.lpad(F.hex(F.col("id") * 7919), 24, "B"), 1, 24)).alias("data"))
     return d.select("id", F.transform(ops.split_planes(F.col("data"), [8, 2, 2]), lambda p: F.hex(p)).alias("p")).select("id", F.array_join("p", "|").alias("planes"))
 
 
@@ -100,16 +111,16 @@ def _corpus(spark, sf_dir):
 TAGS = [("mp4", "avc1", "h264"), ("mp4", "Opus", "opus"), ("mp4", "xxxx", None), ("matroska", "V_VP9", "vp9"), ("matroska", "A_FLAC", "flac"), ("avi", "MJPG", "mjpeg"), ("avi", "V_VP9", None)]
 
 QUERIES = {
-    "fn_codec_map": lambda s, d: s.createDataFrame([t[:2] for t in TAGS], "container string, tag string").select("container", "tag", ops.codec_of_tag(F.col("container"), F.col("tag")).alias("codec")),
+    "fn_codec_map": lambda s, d: each_part(s, d, [t[:2] for t in TAGS], "container string, tag string").select("p_partkey", "container", "tag", ops.codec_of_tag(F.col("container"), F.col("tag")).alias("codec")),
     "probe_fmt": _probe,
-    "probe_ext": lambda s, d: s.createDataFrame([(e,) for e in ("MP4", "webm", "jpg", "TS", "txt", "opus", "Y4M", "vtt")], "ext string").select("ext", ops.format_by_extension(F.col("ext")).alias("format")),
+    "probe_ext": lambda s, d: each_part(s, d, [(e,) for e in ("MP4", "webm", "jpg", "TS", "txt", "opus", "Y4M", "vtt")], "ext string").select("p_partkey", "ext", ops.format_by_extension(F.col("ext")).alias("format")),
     "probe_url_ext": lambda s, d: _read(s, d, "pages").select("page_id", tx.url_extension(F.col("url")).alias("ext")),
     "probe_file": lambda s, d: _read(s, d, "events").groupBy((F.col("user_id") % 10).alias("file"), F.col("user_id").alias("idx")).agg(F.count("*").alias("nb_packets")),
-    "codec_alias": lambda s, d: s.createDataFrame([(n,) for n in NAMES], "name string").select("name", ops.codec_of(F.col("name")).alias("codec"), ops.media_type_of(ops.codec_of(F.col("name"))).alias("media_type"), ops.sample_format_of(F.col("name")).alias("sample_fmt")),
+    "codec_alias": lambda s, d: each_part(s, d, [(n,) for n in NAMES], "name string").select("p_partkey", "name", ops.codec_of(F.col("name")).alias("codec"), ops.media_type_of(ops.codec_of(F.col("name"))).alias("media_type"), ops.sample_format_of(F.col("name")).alias("sample_fmt")),
     "codec_list": lambda s, d: ops.codec_table(s).orderBy("codec"),
     "format_list": lambda s, d: ops.format_table(s).select("format", F.array_join("extensions", ",").alias("extensions"), F.when(F.col("can_mux"), "DE").otherwise("D.").alias("flags")).orderBy("format"),
     "sort_name": lambda s, d: ops.codec_table(s).orderBy("codec").select("codec"),
-    "sel_parse_map": lambda s, d: s.createDataFrame([(m,) for m in MAPS], "spec string").select("spec", ops.parse_map(F.col("spec")).alias("m")).select("spec", "m.*"),
+    "sel_parse_map": lambda s, d: each_part(s, d, [(m,) for m in MAPS], "spec string").select("p_partkey", "spec", ops.parse_map(F.col("spec")).alias("m")).select("p_partkey", "spec", "m.*"),
     "sel_streams": lambda s, d: ops.select_streams(_streams(s), s.createDataFrame(CHOSEN, "place int, input bigint, selector string, value bigint")),
     "sel_streams_default": lambda s, d: ops.select_streams(_streams(s)),
     "sel_default_codec": _default,
@@ -126,25 +137,25 @@ QUERIES = {
 }
 
 SQL = {
-    "fn_codec_map": f"select * from (values {_vals(TAGS)}) t(container, tag, codec)",
+    "fn_codec_map": each_part_sql(f"select * from (values {_vals(TAGS)}) t(container, tag, codec)", len(TAGS)),
     "probe_fmt": f"select name, format, score::bigint as score from (values {_vals([(k, *v) for k, v in _WANT.items()])}) t(name, format, score) union all"
     " select 'doc' || doc_id, case when left(text, 6) = 'WEBVTT' then 'webvtt' when contains(left(text, 510), '-->') then 'srt' when left(text, 3) = 'FLV' then 'flv' when left(text, 3) = 'ID3' then 'mp3' end, case when left(text, 6) = 'WEBVTT' then 95 end from documents where left(text, 1) <> 'G'"
     " union all select 'doc' || doc_id, case when octet_length(encode(text)) < 377 or octet_length(encode(text)) >= 377 and (substr(hex(encode(text)), 377, 2) = '47' and substr(hex(encode(text)), 753, 2) = '47') then 'mpegts' when substr(hex(encode(text)), 377, 2) = '47' or substr(hex(encode(text)), 753, 2) = '47' then 'mpegts' end,"
     " case when octet_length(encode(text)) < 377 then 1 when substr(hex(encode(text)), 377, 2) = '47' and substr(hex(encode(text)), 753, 2) = '47' then 90 when substr(hex(encode(text)), 377, 2) = '47' or substr(hex(encode(text)), 753, 2) = '47' then 50 end from documents where left(text, 1) = 'G'",
-    "probe_ext": "select * from (values ('MP4', 'mp4'), ('webm', 'matroska'), ('jpg', 'jpeg'), ('TS', 'mpegts'), ('txt', null), ('opus', 'ogg'), ('Y4M', 'yuv4mpegpipe'), ('vtt', 'webvtt')) t(ext, format)",
+    "probe_ext": each_part_sql("select * from (values ('MP4', 'mp4'), ('webm', 'matroska'), ('jpg', 'jpeg'), ('TS', 'mpegts'), ('txt', null), ('opus', 'ogg'), ('Y4M', 'yuv4mpegpipe'), ('vtt', 'webvtt')) t(ext, format)", 8),
     "probe_url_ext": r"select page_id, lower(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.([^./]*)$', 1), '')) as ext from pages",
     "probe_file": "select user_id % 10 as file, user_id as idx, count(*) as nb_packets from events group by 1, 2",
-    "codec_alias": f"select * from (values {_vals([('libopus', 'opus', 'audio', None), ('opus', 'opus', 'audio', None), ('avc', 'h264', 'video', None), ('jpg', 'mjpeg', 'video', None), ('pcm_s16le', 'pcm', 'audio', 's16'), ('pcm_f32le', 'pcm', 'audio', 'flt'), ('libvpx-vp9', 'vp9', 'video', None), ('mp3float', 'mp3', 'audio', None), ('vtt', 'webvtt', 'subtitle', None), ('subrip', 'subrip', 'subtitle', None), ('jxl', 'jpegxl', 'video', None), ('libavm', 'av2', 'video', None), ('nonsense', None, None, None), ('', None, None, None)])}) t(name, codec, media_type, sample_fmt)",
+    "codec_alias": each_part_sql(f"select * from (values {_vals([('libopus', 'opus', 'audio', None), ('opus', 'opus', 'audio', None), ('avc', 'h264', 'video', None), ('jpg', 'mjpeg', 'video', None), ('pcm_s16le', 'pcm', 'audio', 's16'), ('pcm_f32le', 'pcm', 'audio', 'flt'), ('libvpx-vp9', 'vp9', 'video', None), ('mp3float', 'mp3', 'audio', None), ('vtt', 'webvtt', 'subtitle', None), ('subrip', 'subrip', 'subtitle', None), ('jxl', 'jpegxl', 'video', None), ('libavm', 'av2', 'video', None), ('nonsense', None, None, None), ('', None, None, None)])}) t(name, codec, media_type, sample_fmt)", len(NAMES)),
     "codec_list": f"select * from (values {_vals([(c, t) for c, t, _ in ops.CODECS])}) t(codec, media_type)",
     "sort_name": f"select * from (values {_vals([(c,) for c, _, _ in ops.CODECS])}) t(codec)",
     "format_list": f"select * from (values {_vals([(n, ','.join(e), 'DE' if m else 'D.') for n, e, m in ops.FORMATS])}) t(format, extensions, flags)",
-    "sel_parse_map": "select spec, input::int as input, selector, value::int as value from (values ('0', 0, 'all', null), ('0:v', 0, 'video', null), ('1:a', 1, 'audio', null), ('0:2', 0, 'index', 2), ('x', null, null, null), ('0:z', null, null, null), ('1:V', 1, 'video', null), ('', null, null, null), ('2:10', 2, 'index', 10)) t(spec, input, selector, value)",
+    "sel_parse_map": each_part_sql("select spec, input::int as input, selector, value::int as value from (values ('0', 0, 'all', null), ('0:v', 0, 'video', null), ('1:a', 1, 'audio', null), ('0:2', 0, 'index', 2), ('x', null, null, null), ('0:z', null, null, null), ('1:V', 1, 'video', null), ('', null, null, null), ('2:10', 2, 'index', 10)) t(spec, input, selector, value)", len(MAPS)),
     "sel_streams": "select input::bigint as input, idx::bigint as idx, o::bigint as out_idx from (values (0, 0, 0), (1, 0, 1), (1, 1, 2), (0, 2, 3), (0, 0, 4)) t(input, idx, o)",
     "sel_streams_default": "select input::bigint as input, idx::bigint as idx, o::bigint as out_idx from (values (0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 3), (1, 1, 4)) t(input, idx, o)",
-    "sel_default_codec": "select * from (values ('webp', 'webp', null), ('webp', 'vp9+opus', 'webp'), ('yuv4mpegpipe', 'rawvideo', 'rawvideo'), ('png', 'mjpeg', 'png'), ('mp4', 'h264', null), ('jpegxl', 'jpegxl', null), ('gif', '', 'gif')) t(format, source, codec)",
+    "sel_default_codec": each_part_sql("select * from (values ('webp', 'webp', null), ('webp', 'vp9+opus', 'webp'), ('yuv4mpegpipe', 'rawvideo', 'rawvideo'), ('png', 'mjpeg', 'png'), ('mp4', 'h264', null), ('jpegxl', 'jpegxl', null), ('gif', '', 'gif')) t(format, source, codec)", len(SOURCES)),
     "opt_bitrate": "select o_orderkey, cast(case o_orderkey % 5 when 0 then (o_custkey % 500) * 1000 when 1 then (o_custkey % 500 + 0.5) * 1000000 when 2 then o_custkey % 500 when 3 then (o_custkey % 500) * 1000 end as bigint) as bits from orders",
-    "stride_tighten": "select id, string_agg(substr(h, r * 8 + 1, 6), '' order by r) as tight from (select id, lpad(to_hex(id * 7919), 32, 'A') as h from range(1, 60) t(id)), range(4) r(r) group by id",
-    "codec_rawvideo": "select id, substr(h, 1, 16) || '|' || substr(h, 17, 4) || '|' || substr(h, 21, 4) as planes from (select id, lpad(to_hex(id * 7919), 24, 'B') as h from range(1, 60) t(id))",
+    "stride_tighten": "select event_id, string_agg(substr(h, r * 8 + 1, 6), '' order by r) as tight from (select event_id, lpad(to_hex(id * 7919), 32, 'A') as h from (select event_id, 1 + cast(floor(value * 8) as bigint) % 4096 as id from events)), range(4) r(r) group by event_id",
+    "codec_rawvideo": "select id, substr(h, 1, 16) || '|' || substr(h, 17, 4) || '|' || substr(h, 21, 4) as planes from (select id, lpad(to_hex(id * 7919), 24, 'B') as h from (select 1 + cast(floor(value * 8) as bigint) % 4096 as id from events))",
     "agg_frame_md5": f"with {fx._pix_sql()} select clip, frame_no, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' order by plane, y, x))) as md5 from pix group by 1, 2",
     "conform_video": "select pixfmt, accepted, case when list_contains(string_split(accepted, '+'), pixfmt) then null else list_filter(string_split(accepted, '+'), lambda x: x in ('rgb24', 'yuv420p'))[1] end as convert from (values ('yuv444p'), ('rgb24'), ('yuv420p')) a(pixfmt), (values ('yuv420p'), ('rgb24+rgba'), ('yuv422p+rgb24+yuv420p'), ('yuv444p')) b(accepted)",
     "auto_setrange": "select source, codec, case when coalesce(source, 'limited') = 'limited' and codec in ('mjpeg', 'png', 'webp') then 'setrange=full' end as prepend from (values ('limited'), ('full'), (null)) a(source), (values ('mjpeg'), ('png'), ('vp9'), ('webp')) b(codec)",
