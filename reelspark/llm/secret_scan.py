@@ -20,6 +20,8 @@ import hashlib
 import lzma
 import re
 import zlib
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _B64 = np.zeros(256, bool)
 _B64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
+_B64_OR_BLANK = _B64.copy()
+_B64_OR_BLANK[list(b" \t\r\n")] = True
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)")
 _SHORTEST_B64 = 16
 _LINE_END = re.compile(rb"[\r\n][ \t\r\n]*")
@@ -46,8 +50,14 @@ _PACKED = re.compile(rb"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo[MNO]|[/_]Td6W"
 _PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[ux]|[\r\n]")
 #: The shortest secret: a five-letter name, a sign and a value of eight.
 _SHORTEST_SECRET = 14
+#: Blanks around a line end, and what base64 goes on with.
+_GAP = re.compile(rb"(?<![ \t])[ \t]*[\r\n][ \t\r\n]*")
+_BLANKS = b" \t\r\n"
+_B64_RUN = re.compile(rb"[A-Za-z0-9+/_-]*")
 #: A compressed layer is inflated and scanned in pieces of this many bytes, each
-#: with the last ones of the piece before it, so that memory stays bounded.
+#: with the last ones of the piece before it, so that memory stays bounded.  What
+#: a piece leaves open (compressed data inside compressed data) is read on from
+#: the layer itself, which is inflated anew for it, past the piece's end.
 INFLATE_BYTES = 16 << 20
 INFLATE_OVERLAP = 4 << 20
 _DECODE_CHARS = 1 << 16
@@ -109,14 +119,31 @@ def _engine(raw: bytes):
     return None
 
 
-def _inflated(part: bytes):
-    """The content of the gzip, zlib, bzip2 or xz data whose base64 begins
-    ``part``, all members of it, as blocks of at most ``INFLATE_BYTES``; it ends
-    where the data ends or is broken."""
-    engine, raw = None, b""
+def _slices(part: bytes):
     for at in range(0, len(part), _DECODE_CHARS):
-        raw += _decode_base64(part[at : at + _DECODE_CHARS])
-        if engine is None and len(raw) < 6 and at + _DECODE_CHARS < len(part):
+        yield part[at : at + _DECODE_CHARS]
+
+
+def _decoded(chars):
+    """The bytes of base64 characters that come in chunks of any length."""
+    held = b""
+    for chunk in chars:
+        held += chunk
+        whole = len(held) // 4 * 4
+        yield _decode_base64(held[:whole])
+        held = held[whole:]
+    if held:
+        yield _decode_base64(held)
+
+
+def _inflated(chars):
+    """The content of the gzip, zlib, bzip2 or xz data with whose base64 the
+    chunks ``chars`` begin, all members of it, as blocks of at most
+    ``INFLATE_BYTES``; it ends where the data ends or is broken."""
+    engine, raw = None, b""
+    for more in _decoded(chars):
+        raw += more
+        if engine is None and len(raw) < 6:
             continue
         while raw or engine is not None:
             engine = engine or _engine(raw)
@@ -137,19 +164,61 @@ def _inflated(part: bytes):
                 break
 
 
-def _pieces(part: bytes):
-    """The blocks of :func:`_inflated` gathered into pieces that overlap."""
-    held, size, fresh = [], 0, False
-    for block in _inflated(part):
+def _inflate(part: bytes, rest, wrapped: bool | None):
+    """:func:`_inflated` of a stretch that goes on in ``rest``, if that is given
+    and the stretch is open."""
+    more = _continued(rest(), wrapped) if rest is not None and wrapped is not None else ()
+    return _inflated(chain(_slices(part), more))
+
+
+def _continued(blocks, wrapped: bool):
+    """The base64 characters with which ``blocks`` begin, over line ends if
+    ``wrapped``."""
+    held = b""
+    for block in blocks:
+        block = held + block
+        if wrapped:
+            body = block.rstrip(_BLANKS)
+            block, held = _GAP.sub(b"", body), block[len(body) :]
+        run = _B64_RUN.match(block)
+        yield run[0]
+        if run.end() < len(block):
+            return
+
+
+def _pieces(inflate):
+    """The blocks of ``inflate()`` gathered into pieces that overlap, each with
+    the place at which the layer goes on after it, None at its end.  A piece does
+    not end in blanks, unless it has more of them than the overlap."""
+    held, size, fresh, done = [], 0, False, 0
+    for block in inflate():
         held.append(block)
-        size, fresh = size + len(block), True
+        size, fresh, done = size + len(block), True, done + len(block)
         if size >= INFLATE_BYTES:
-            piece = b"".join(held)
-            yield piece
-            held, fresh = [piece[-INFLATE_OVERLAP:]], False
+            whole = b"".join(held)
+            piece = whole.rstrip(_BLANKS)
+            if len(whole) - len(piece) > INFLATE_OVERLAP:
+                piece = whole
+            blank = len(whole) - len(piece)
+            yield piece, done - blank
+            held, fresh = [whole[-INFLATE_OVERLAP - blank :]], False
             size = len(held[0])
     if fresh:
-        yield b"".join(held)
+        yield b"".join(held), None
+
+
+def _after(inflate, at: int):
+    """What ``inflate()`` gives from byte ``at`` on."""
+    for block in inflate():
+        if at < len(block):
+            yield block[at:]
+        at = max(0, at - len(block))
+
+
+def _leaves_open(piece: bytes) -> bool:
+    """Whether compressed data may go on after ``piece``."""
+    other = np.flatnonzero(~_B64_OR_BLANK[np.frombuffer(piece, np.uint8)])
+    return _PACKED.search(piece, int(other[-1]) + 1 if len(other) else 0) is not None
 
 
 def _characters(raw: bytes) -> tuple[str, np.ndarray]:
@@ -205,16 +274,18 @@ def _code_points(data: bytes, spans):
     return [(int(before[a]), int(before[b]), *rest) for a, b, *rest in spans]
 
 
-def _stretches(data: bytes):
-    """(characters, code point of each) of every base64 stretch of ``data``, each
-    line of its own first and then those that go on over line ends."""
+def _stretches(data: bytes, more: bool = False):
+    """(characters, code point of each, how it is open) of every base64 stretch
+    of ``data``, each line of its own first and then those that go on over line
+    ends.  With ``more`` data to follow a stretch at the end is open: False within
+    its line, True over line ends; None is not open."""
     raw = np.frombuffer(data, np.uint8)
     point = None if data.isascii() else np.cumsum((raw & 0xC0) != 0x80) - 1
     where = lambda i: i if point is None else point[i]
     for a, b in _runs(_B64[raw], _SHORTEST_B64):
-        yield data[a:b], where(np.arange(a, b))
+        yield data[a:b], where(np.arange(a, b)), False if more and b == len(raw) else None
     gaps = [m.span() for m in _LINE_END.finditer(data)]
-    if not gaps:
+    if not gaps and not more:
         return
     keep = np.ones(len(raw), bool)
     for a, b in gaps:
@@ -224,37 +295,43 @@ def _stretches(data: bytes):
     index = np.flatnonzero(keep)
     joined = raw[index]
     for a, b in _runs(_B64[joined], _SHORTEST_B64):
-        if index[b - 1] - index[a] >= b - a:
-            yield joined[a:b].tobytes(), where(index[a:b])
+        going_on = more and b == len(joined)
+        part = joined[a:b].tobytes()
+        if index[b - 1] - index[a] >= b - a or going_on and _PACKED.search(part):
+            yield part, where(index[a:b]), True if going_on else None
 
 
 def _mark(s: str):
     return s if len(s) < 64 else hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _layers(layer: str, data: bytes, first, end, seen: set):
+def _layers(layer: str, data: bytes, first, end, rest, seen: set):
     """The layers that ``layer`` (``data`` in UTF-8) yields and that were not seen
     before at their place, made one at a time: text, first and end code point of
-    the original of each code point."""
+    the original of each code point, and for a piece of a longer layer a function
+    that gives what follows it, as ``rest`` does for ``layer``."""
 
-    def new(s, f, e):
+    def new(s, f, e, rest=None, at=None):
         if first is not None:
             f, e = first[f], end[e - 1]
-        mark = _mark(s), int(f[0]), int(e[-1])
+        mark = _mark(s), int(f[0]), int(e[-1]), at
         if mark not in seen:
             seen.add(mark)
-            yield s, f, e
+            yield s, f, e, rest
 
     if "%" in layer or "\\" in layer:
         if un := _unescape(layer):
             yield from new(*un)
     if len(data) < _SHORTEST_B64:
         return
-    for part, at in _stretches(data):
+    for part, at, wrapped in _stretches(data, rest is not None):
         for m in _PACKED.finditer(part):
-            for piece in _pieces(part[m.start() :]):
+            inflate = partial(_inflate, part[m.start() :], rest, wrapped)
+            for piece, stop in _pieces(inflate):
                 t = piece.decode("utf-8", "replace")
-                yield from new(t, np.broadcast_to(at[m.start()], len(t)), np.broadcast_to(at[-1] + 1, len(t)))
+                more = None if stop is None else partial(_after, inflate, stop)
+                # equal pieces differ if what they leave open does
+                yield from new(t, np.broadcast_to(at[m.start()], len(t)), np.broadcast_to(at[-1] + 1, len(t)), more, stop if more and _leaves_open(piece) else None)
         for shift in range(4):
             raw = _decode_base64(part[shift:])
             if len(raw) < _SHORTEST_SECRET or not _PROMISING.search(raw):
@@ -273,13 +350,13 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
     key = lambda s: (s[0], order[s[2]], s[1])
     base: list = []
     found: set = set()
-    seen = {(_mark(text), 0, len(text))}
-    work = [iter([(text, None, None)])]
+    seen = {(_mark(text), 0, len(text), None)}
+    work = [iter([(text, None, None, None)])]
     while work:
         if (top := next(work[-1], None)) is None:
             work.pop()
             continue
-        layer, first, end = top
+        layer, first, end, rest = top
         data = layer.encode("utf-8", "surrogatepass")
         spans = _code_points(data, base_spans(data))
         if first is None:
@@ -287,7 +364,7 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[
             found |= set(base)
         else:
             found |= {(int(first[a]), int(end[b - 1]), k) for a, b, k in spans}
-        work.append(_layers(layer, data, first, end, seen))
+        work.append(_layers(layer, data, first, end, rest, seen))
     return base, sorted(found, key=key)
 
 
