@@ -57,6 +57,11 @@ stss as (select file, sample from f, (values (1), (4), (9), (14)) v(sample) wher
 runs as (select c.file, c.chunk, (select spc from stsc s where s.file = c.file and s.first_chunk <= c.chunk order by first_chunk desc limit 1) as spc from chunks c)"""
 
 
+def _days(spark, sf_dir):
+    """Packets with the day of their stream."""
+    return packets(spark, sf_dir).selectExpr("idx", "pts div 86400000000 as day", "keyframe")
+
+
 def _durations(spark, sf_dir):
     return ops.sample_durations(packets(spark, sf_dir).withColumn("pts", F.expr("if(idx % 11 = 5 and ordinal = 1, null, pts)")), F.lit(33333).cast("bigint"))
 
@@ -184,7 +189,7 @@ QUERIES = {
     "key_only": lambda s, d: packets(s, d).where("keyframe").select("file", "idx", "ordinal", "pts"),
     "dedup_consecutive": _dedup,
     "set_union_time": lambda s, d: packets(s, d).where("idx % 2 = 0").select("idx", "ordinal", F.lit(0).cast("bigint").alias("input")).unionByName(packets(s, d).where("idx % 2 = 1").select("idx", "ordinal", F.lit(1).cast("bigint").alias("input"))),
-    "set_except": lambda s, d: packets(s, d).select("idx").distinct().join(packets(s, d).where("keyframe").select("idx").distinct(), "idx", "left_anti"),
+    "set_except": lambda s, d: _days(s, d).select("idx", "day").distinct().join(_days(s, d).where("keyframe").select("idx", "day").distinct(), ["idx", "day"], "left_anti"),
     "sink_ivf": lambda s, d: packets(s, d).selectExpr("idx", "cast(row_number() over (partition by idx order by ordinal) - 1 as bigint) as pts", "size"),
 }
 
@@ -229,6 +234,6 @@ SQL = {
     "key_only": f"with {_PK} select file, idx, ordinal, pts from pk where keyframe",
     "dedup_consecutive": "select user_id, event_id, event_type from (select *, lag(event_type) over w as p, row_number() over w as i from events window w as (partition by user_id order by epoch_us(ts), event_id)) where i = 1 or event_type is distinct from p",
     "set_union_time": f"with {_PK} select idx, ordinal, 0::bigint as input from pk where idx % 2 = 0 union all select idx, ordinal, 1 from pk where idx % 2 = 1",
-    "set_except": f"with {_PK} select idx from pk except select idx from pk where keyframe",
+    "set_except": f"with {_PK} select idx, pts // 86400000000 as day from pk except select idx, pts // 86400000000 from pk where keyframe",
     "sink_ivf": f"with {_PK} select idx, ordinal as pts, size from pk",
 }

@@ -49,13 +49,19 @@ _q = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else str(
 _vals = lambda rows: ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in rows)
 NAMES = ["libopus", "opus", "avc", "jpg", "pcm_s16le", "pcm_f32le", "libvpx-vp9", "mp3float", "vtt", "subrip", "jxl", "libavm", "nonsense", ""]
 MAPS = ["0", "0:v", "1:a", "0:2", "x", "0:z", "1:V", "", "2:10"]
-STREAMS = [(0, 0, "video"), (0, 1, "audio"), (0, 2, "subtitle"), (0, 3, "data"), (1, 0, "audio"), (1, 1, "video")]
 CHOSEN = [(0, 0, "video", None), (1, 1, "all", None), (2, 0, "index", 2), (3, 0, "video", None)]
 SOURCES = [("webp", ["webp"]), ("webp", ["vp9", "opus"]), ("yuv4mpegpipe", ["rawvideo"]), ("png", ["mjpeg"]), ("mp4", ["h264"]), ("jpegxl", ["jpegxl"]), ("gif", [])]
 
 
-def _streams(spark):
-    return spark.createDataFrame(STREAMS, "input bigint, idx bigint, media_type string")
+def _streams(spark, sf_dir):
+    """A job for each user, whose events are streams of two inputs."""
+    return _read(spark, sf_dir, "events").selectExpr(
+        "user_id as job", "event_id % 2 as input", "cast(row_number() over (partition by user_id, event_id % 2 order by event_id) - 1 as bigint) as idx", f"{_MEDIA} as media_type"
+    )
+
+
+_MEDIA = "case event_type when 'view' then 'video' when 'click' then 'audio' when 'error' then 'data' else 'subtitle' end"
+_STREAMS = f"st as (select user_id as job, event_id % 2 as input, row_number() over (partition by user_id, event_id % 2 order by event_id) - 1 as idx, {_MEDIA} as media_type from events)"
 
 
 def _default(spark, sf_dir):
@@ -121,8 +127,8 @@ QUERIES = {
     "format_list": lambda s, d: ops.format_table(s).select("format", F.array_join("extensions", ",").alias("extensions"), F.when(F.col("can_mux"), "DE").otherwise("D.").alias("flags")).orderBy("format"),
     "sort_name": lambda s, d: ops.codec_table(s).orderBy("codec").select("codec"),
     "sel_parse_map": lambda s, d: each_part(s, d, [(m,) for m in MAPS], "spec string").select("p_partkey", "spec", ops.parse_map(F.col("spec")).alias("m")).select("p_partkey", "spec", "m.*"),
-    "sel_streams": lambda s, d: ops.select_streams(_streams(s), s.createDataFrame(CHOSEN, "place int, input bigint, selector string, value bigint")),
-    "sel_streams_default": lambda s, d: ops.select_streams(_streams(s)),
+    "sel_streams": lambda s, d: ops.select_streams(_streams(s, d), s.createDataFrame(CHOSEN, "place int, input bigint, selector string, value bigint"), ["job"]),
+    "sel_streams_default": lambda s, d: ops.select_streams(_streams(s, d), key=["job"]),
     "sel_default_codec": _default,
     "opt_bitrate": lambda s, d: _read(s, d, "orders").select("o_orderkey", tx.bitrate(F.concat((F.col("o_custkey") % 500).cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("k", ".5M", "", "K", "x")]), (F.col("o_orderkey") % 5 + 1).cast("int")))).alias("bits")),
     "stride_tighten": _stride,
@@ -150,8 +156,8 @@ SQL = {
     "sort_name": f"select * from (values {_vals([(c,) for c, _, _ in ops.CODECS])}) t(codec)",
     "format_list": f"select * from (values {_vals([(n, ','.join(e), 'DE' if m else 'D.') for n, e, m in ops.FORMATS])}) t(format, extensions, flags)",
     "sel_parse_map": each_part_sql("select spec, input::int as input, selector, value::int as value from (values ('0', 0, 'all', null), ('0:v', 0, 'video', null), ('1:a', 1, 'audio', null), ('0:2', 0, 'index', 2), ('x', null, null, null), ('0:z', null, null, null), ('1:V', 1, 'video', null), ('', null, null, null), ('2:10', 2, 'index', 10)) t(spec, input, selector, value)", len(MAPS)),
-    "sel_streams": "select input::bigint as input, idx::bigint as idx, o::bigint as out_idx from (values (0, 0, 0), (1, 0, 1), (1, 1, 2), (0, 2, 3), (0, 0, 4)) t(input, idx, o)",
-    "sel_streams_default": "select input::bigint as input, idx::bigint as idx, o::bigint as out_idx from (values (0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 3), (1, 1, 4)) t(input, idx, o)",
+    "sel_streams": f"with {_STREAMS}, m(place, input, selector, value) as (values {_vals(CHOSEN)}) select job, st.input, idx, row_number() over (partition by job order by place, st.input, idx) - 1 as out_idx from st join m on st.input = m.input and (selector in ('all', media_type) or selector = 'index' and value = idx)",
+    "sel_streams_default": f"with {_STREAMS} select job, input, idx, row_number() over (partition by job order by input, idx) - 1 as out_idx from st where media_type <> 'data'",
     "sel_default_codec": each_part_sql("select * from (values ('webp', 'webp', null), ('webp', 'vp9+opus', 'webp'), ('yuv4mpegpipe', 'rawvideo', 'rawvideo'), ('png', 'mjpeg', 'png'), ('mp4', 'h264', null), ('jpegxl', 'jpegxl', null), ('gif', '', 'gif')) t(format, source, codec)", len(SOURCES)),
     "opt_bitrate": "select o_orderkey, cast(case o_orderkey % 5 when 0 then (o_custkey % 500) * 1000 when 1 then (o_custkey % 500 + 0.5) * 1000000 when 2 then o_custkey % 500 when 3 then (o_custkey % 500) * 1000 end as bigint) as bits from orders",
     "stride_tighten": "select event_id, string_agg(substr(h, r * 8 + 1, 6), '' order by r) as tight from (select event_id, lpad(to_hex(id * 7919), 32, 'A') as h from (select event_id, 1 + cast(floor(value * 8) as bigint) % 4096 as id from events)), range(4) r(r) group by event_id",

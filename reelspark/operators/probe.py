@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,8 +148,9 @@ def parse_map(spec: Column) -> Column:
     return F.when(ok, F.struct(first.alias("input"), kind.alias("selector"), index.alias("value")))
 
 
-def select_streams(streams: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """``input, idx, out_idx``: chosen streams in output order.
+def select_streams(streams: DataFrame, maps: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:
+    """``input, idx, out_idx``: chosen streams in output order, counted anew for
+    each job where ``key`` names its columns.
 
     ``streams(input, idx, media_type)``; ``maps(place, input, selector, value)``.
     Without maps video, audio and subtitles in input order; with maps each in
@@ -163,9 +166,9 @@ def select_streams(streams: DataFrame, maps: DataFrame | None = None) -> DataFra
         s = streams.join(F.broadcast(m), hit)
     from pyspark.sql import Window
 
-    # a job's streams: a handful of rows
-    order = Window.partitionBy(F.lit(0)).orderBy("place", "input", "idx")
-    return s.select("input", "idx", (F.row_number().over(order) - 1).cast("bigint").alias("out_idx"))
+    # without a key the streams of one job: a handful of rows
+    order = Window.partitionBy(*(key or [F.lit(0)])).orderBy("place", "input", "idx")
+    return s.select(*key, "input", "idx", (F.row_number().over(order) - 1).cast("bigint").alias("out_idx"))
 
 
 def default_codec(format_name: Column, source_codecs: Column) -> Column:
