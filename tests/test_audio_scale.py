@@ -33,3 +33,21 @@ def test_autocorrelation_meets_by_place(spark):
                 want[b, j - i] += x * y
     df = spark.createDataFrame(rows, "block bigint, i bigint, x double").selectExpr("'A' as clip", "0L as ch", "*")
     assert {(r.block, r.lag): r.r for r in audio.autocorrelation(df, 3).collect()} == want
+
+
+def test_delay_tries_are_not_broadcast(spark, sf):
+    text = plan_of(queries.QUERIES["align_delay"](spark, sf))
+    assert "BroadcastExchange" not in text and "SortMergeJoin" in text
+
+
+def test_delay_equals_all_pairs(spark):
+    ref = [(n, (n * 7919) % 101) for n in range(0, 300) if n % 50 != 3]
+    dec = [(n + 70, v + n % 2) for n, v in ref] + [(5, 9)]
+    shifts = [-200, -3, 0, 1, 64, 70, 71, 250]
+    held, found = dict(dec), []
+    for s in shifts:
+        gaps = [(v - held[n + s]) ** 2 for n, v in ref if n + s in held]
+        found += [(sum(gaps) / len(gaps), s)] if gaps else []
+    frame = lambda rows: spark.createDataFrame(rows, "n bigint, v bigint").withColumn("clip", F.lit("A"))
+    r = audio.align_delay(frame(ref), frame(dec), shifts, ["clip"]).first()
+    assert (round(r.mse, 9), r["shift"]) == (round(min(found)[0], 9), min(found)[1])
