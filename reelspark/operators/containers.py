@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, deal
 from .scan import carry_scan
 
 
@@ -166,7 +166,7 @@ def hls_segments(packets: DataFrame, target: float, has_video: bool = True, leas
     """
     goal = max(target, least)
     dealt = packets.select("file", "ordinal", "pts", "tb_num", "tb_den", "keyframe").where("pts is not null")
-    dealt = dealt.repartition("file").sortWithinPartitions("file", "ordinal")
+    dealt = deal(dealt, "file").sortWithinPartitions("file", "ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, start, number = object(), 0, 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 
 from ..operators.containers import hls_durations, hls_segments, hls_segments_spread
-from ..operators.lineage import cut
+from ..operators.lineage import cut, deal
 from ..operators.scan import carry_scan
 from .ranges import store_of
 from .transport import transport_rows, unit_bytes
@@ -68,7 +68,7 @@ def segment_pieces(packets: DataFrame, streams: DataFrame, target: float, blocks
     made = rows.mapInArrow(run, "name string, position bigint, data binary")
     parts = made.select(F.regexp_extract("name", r"(?s)^(.*)/(\d+)$", 1).alias("file"), F.regexp_extract("name", r"(?s)^(.*)/(\d+)$", 2).cast("bigint").alias("segment"), "position", "data")
     out = parts.join(durations, ["file", "segment"], "left").select("file", "segment", F.coalesce("duration", F.lit(float(target))).alias("duration"), "position", "data")
-    return out.repartition("file", "segment").sortWithinPartitions("file", "segment", "position")
+    return deal(out, "file", "segment").sortWithinPartitions("file", "segment", "position")
 
 
 # --- sink ------------------------------------------------------------------------
