@@ -19,11 +19,11 @@ def test_files_and_clips_have_a_shuffle_of_their_own(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # sizes are not known before the run
     try:
-        p = spark.range(10).selectExpr("'f' as file", "0 as idx", "id as ordinal", "id as pts", "id as dts", "1L as duration", "1 as tb_num", "8 as tb_den", "true as keyframe", "cast('x' as binary) as data")
+        p = spark.range(10).selectExpr("concat('f', id) as file", "0 as idx", "id as ordinal", "id as pts", "id as dts", "1L as duration", "1 as tb_num", "8 as tb_den", "true as keyframe", "cast('x' as binary) as data")
         names = "media_type codec pixfmt color_range sample_fmt".split()
-        s = spark.range(1).selectExpr("'f' as file", "0 as idx", *[f"'' as {c}" for c in names], "1 as tb_num", "8 as tb_den", "1 as width", "1 as height", "8 as sample_rate", "1 as channels", "cast(null as binary) as extradata")
+        s = spark.range(1).selectExpr("concat('f', id) as file", "0 as idx", *[f"'' as {c}" for c in names], "1 as tb_num", "8 as tb_den", "1 as width", "1 as height", "8 as sample_rate", "1 as channels", "cast(null as binary) as extradata")
         assert "hashpartitioning(xxhash64(file" in plan_of(mux.write_files(p, s, "wav"))
-        e = spark.range(10).selectExpr("'A' as clip", "id as b", "id as e")
+        e = spark.range(10).selectExpr("concat('A', id) as clip", "id as b", "id as e")
         assert "hashpartitioning(xxhash64(clip" in plan_of(audio.attack_ratio(e))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
