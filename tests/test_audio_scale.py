@@ -51,3 +51,16 @@ def test_delay_equals_all_pairs(spark):
     frame = lambda rows: spark.createDataFrame(rows, "n bigint, v bigint").withColumn("clip", F.lit("A"))
     r = audio.align_delay(frame(ref), frame(dec), shifts, ["clip"]).first()
     assert (round(r.mse, 9), r["shift"]) == (round(min(found)[0], 9), min(found)[1])
+
+
+def test_a_long_clip_is_resampled_by_many_tasks(spark):
+    # the join with the clip's end is by stretches, and before rows are made for taps
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        t = spark.range(100).selectExpr("concat('A', id % 1) as clip", "0L as ch", "id as n", "1D as v")
+        text = plan_of(audio.resample(t, 8000, 12000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    join = next(line for line in text.splitlines() if "SortMergeJoin" in line)
+    assert "_part" in join and text.index("sequence(") < text.index(join)
