@@ -53,9 +53,9 @@ def chunk_runs(stsc: DataFrame, chunks: DataFrame) -> DataFrame:
     range join; chunks before the first run have none and drop."""
     last = chunks.groupBy("file").agg(F.max("chunk").alias("last"))
     w = Window.partitionBy("file").orderBy("first_chunk")
-    runs = stsc.join(last, "file").withColumn("to", F.coalesce(F.lead("first_chunk").over(w) - 1, F.col("last")))
+    runs = stsc.hint("merge").join(last, "file").withColumn("to", F.coalesce(F.lead("first_chunk").over(w) - 1, F.col("last")))
     runs = runs.where("to >= first_chunk").select("file", "spc", F.explode(F.sequence("first_chunk", F.least("to", "last"))).alias("chunk"))
-    return runs.join(chunks.select("file", "chunk"), ["file", "chunk"])
+    return runs.join(chunks.select("file", "chunk").hint("merge"), ["file", "chunk"])
 
 
 def mp4_samples(stsc: DataFrame, chunks: DataFrame, sizes: DataFrame, stts: DataFrame, stss: DataFrame | None) -> DataFrame:
@@ -65,29 +65,32 @@ def mp4_samples(stsc: DataFrame, chunks: DataFrame, sizes: DataFrame, stts: Data
     entry, count, delta)`` run-length time steps, ``stss(file, sample)`` sync
     samples; files without any are all sync.  Samples past the sizes or the time
     steps: the former do not exist, the latter have pts 0.
+
+    Tables that tasks read out of files look small to the optimizer, whatever is in
+    them: joins with rows for each sample or chunk are merged, never broadcast.
     """
     runs = chunk_runs(stsc, chunks).where("spc > 0")
     before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("first", F.coalesce(F.sum("spc").over(before), F.lit(0)) + 1)
     placed = placed.select("file", "chunk", F.explode(F.expr("sequence(first, first + spc - 1)")).alias("sample"))
-    s = placed.join(sizes, ["file", "sample"]).join(chunks, ["file", "chunk"])
+    s = placed.join(sizes.hint("merge"), ["file", "sample"]).join(chunks.hint("merge"), ["file", "chunk"])
     in_chunk = Window.partitionBy("file", "chunk").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("offset", F.col("offset") + F.coalesce(F.sum("size").over(in_chunk), F.lit(0)))
     by_entry = Window.partitionBy("file").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
     most = sizes.groupBy("file").agg(F.max("sample").alias("most"))
     t = (
         stts.where("count > 0").withColumns({"s0": F.coalesce(F.sum("count").over(by_entry), F.lit(0)), "t0": F.coalesce(F.sum(F.col("count") * F.col("delta")).over(by_entry), F.lit(0))})
-        .join(most, "file").where("s0 < most")
+        .hint("merge").join(most, "file").where("s0 < most")
         .select("file", "delta", "s0", "t0", F.explode(F.expr("sequence(s0 + 1, least(s0 + count, most))")).alias("sample"))
         .selectExpr("file", "sample", "t0 + (sample - s0 - 1) * delta as pts")
     )
-    s = s.join(t, ["file", "sample"], "left").withColumn("pts", F.coalesce("pts", F.lit(0).cast("bigint")))
+    s = s.join(t.hint("merge"), ["file", "sample"], "left").withColumn("pts", F.coalesce("pts", F.lit(0).cast("bigint")))
     if stss is None:
         s = s.withColumn("keyframe", F.lit(True))
     else:
         key = stss.select("file", "sample", F.lit(True).alias("sync")).distinct()
         files = stss.select("file", F.lit(True).alias("has")).distinct()
-        s = s.join(key, ["file", "sample"], "left").join(files, "file", "left")
+        s = s.join(key.hint("merge"), ["file", "sample"], "left").join(files, "file", "left")
         s = s.withColumn("keyframe", F.col("has").isNull() | F.col("sync").isNotNull())
     return s.select("file", "sample", "chunk", "offset", "size", "pts", "keyframe")
 

@@ -165,8 +165,8 @@ def mp4_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("file").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
     most = sizes.groupBy("file").agg(F.max("sample").alias("most"))
     shift = named(_entries(index, "ctts"), entry="n", count="a", shift="b").where("count > 0").withColumn("s0", F.coalesce(F.sum("count").over(w), F.lit(0).cast("bigint")))
-    shift = shift.join(most, "file").where("s0 < most").select("file", "shift", F.explode(F.expr("sequence(s0 + 1, least(s0 + count, most))")).alias("sample"))
-    s = s.join(shift, ["file", "sample"], "left")
+    shift = shift.hint("merge").join(most, "file").where("s0 < most").select("file", "shift", F.explode(F.expr("sequence(s0 + 1, least(s0 + count, most))")).alias("sample"))
+    s = s.join(shift.hint("merge"), ["file", "sample"], "left")
     back = F.regexp_extract("file", r"(?s)^(.*)#(\d+)$", 1), F.regexp_extract("file", r"(?s)^(.*)#(\d+)$", 2).try_cast("int")
     return tracks, s.select(back[0].alias("file"), back[1].alias("track"), (F.col("sample") - 1).alias("ordinal"), "offset", "size", F.col("pts").alias("dts"), (F.col("pts") + F.coalesce("shift", F.lit(0).cast("bigint"))).alias("pts"), "keyframe")
 
@@ -290,7 +290,7 @@ def write_mp4(packets: DataFrame, streams: DataFrame, folder: str, blocks: int |
     of a file are made in one.  Tables are not run-length coded."""
     s = streams.select("file", "idx", "media_type", "codec", F.greatest("timescale", F.lit(1)).cast("bigint").alias("timescale"), "width", "height", "sample_rate", "channels", "config")
     p = packets.select("file", "idx", "ordinal", F.greatest(F.coalesce("duration", F.lit(0)), F.lit(0)).cast("bigint").alias("duration"), "pts", "keyframe", F.octet_length("data").cast("bigint").alias("size"))
-    p = p.join(s.select("file", "idx", "timescale"), ["file", "idx"])
+    p = p.join(F.broadcast(s.select("file", "idx", "timescale")), ["file", "idx"])
     p = carry_scan(p, ["file", "idx"], ["ordinal"], {"_begin": ("sum", "duration")}, blocks, exclusive=True).withColumn("_begin", F.coalesce("_begin", F.lit(0).cast("bigint")))
     p = p.withColumns({"_second": F.col("_begin") / F.col("timescale"), "_shift": F.coalesce(F.col("pts") - F.col("_begin"), F.lit(0).cast("bigint"))})
     p = carry_scan(cut(p), ["file"], ["_second", "idx", "ordinal"], {"_at": ("sum", "size"), "_prev": ("last", "idx")}, blocks, exclusive=True)
@@ -319,14 +319,15 @@ def write_mp4(packets: DataFrame, streams: DataFrame, folder: str, blocks: int |
     base = cut(bases.groupBy("file", "idx").pivot("name", list(STEPS)).agg(F.first("base")))
     be = lambda v, n: F.lpad(F.right(F.hex(v.cast("bigint")), F.lit(2 * n)), 2 * n, "0")
     put = lambda df, name, i, *fields: df.where(F.col(name).isNotNull()).select("file", (F.col(name) + STEPS[name] * i).alias("offset"), F.unhex(F.concat(*fields)).alias("data"))
-    q, c = p.join(base, ["file", "idx"]), chunks.join(base, ["file", "idx"])
+    # a row for each track; samples and chunks may look smaller than they are
+    q, c = p.join(F.broadcast(base), ["file", "idx"]), chunks.join(F.broadcast(base), ["file", "idx"])
     one = F.lit("00000001")
     tables = [
         put(q, "stts", F.col("_rank"), one, be(F.col("duration"), 4)), put(q, "ctts", F.col("_rank"), one, be(F.col("_shift"), 4)), put(q, "stsz", F.col("_rank"), be(F.col("size"), 4)),
         put(q.where("keyframe"), "stss", F.col("_number") - 1, be(F.col("_rank") + 1, 4)), put(c.withColumnRenamed("offset", "_o"), "co64", F.col("chunk") - 1, be(F.col("_o"), 8)),
         put(c, "stsc", F.col("chunk") - 1, be(F.col("chunk"), 4), be(F.col("spc"), 4), one),
     ]
-    rows = packets.select("file", "idx", "ordinal", "data").join(p.select("file", "idx", "ordinal", F.col("_offset").alias("offset")), ["file", "idx", "ordinal"]).select("file", "offset", "data").unionByName(heads)
+    rows = packets.select("file", "idx", "ordinal", "data").join(p.select("file", "idx", "ordinal", F.col("_offset").alias("offset")).hint("merge"), ["file", "idx", "ordinal"]).select("file", "offset", "data").unionByName(heads)
     for t in tables:
         rows = rows.unionByName(t)
     return write_ranges(rows.where(F.octet_length("data") > 0), folder, lambda b: b.column("data").to_pylist(), partitions)

@@ -64,3 +64,11 @@ def test_a_long_clip_is_resampled_by_many_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     join = next(line for line in text.splitlines() if "SortMergeJoin" in line)
     assert "_part" in join and text.index("sequence(") < text.index(join)
+
+
+def test_sample_tables_are_not_broadcast(spark):
+    from reelspark.operators import containers
+
+    f = spark.range(3).selectExpr("id as file")
+    s = containers.mp4_samples(f.selectExpr("file", "1L as first_chunk", "2L as spc"), f.selectExpr("file", "1L as chunk", "9L as offset"), f.selectExpr("file", "1L as sample", "5L as size"), f.selectExpr("file", "1L as entry", "1L as count", "7L as delta"), None)
+    assert "BroadcastExchange" not in plan_of(s)
