@@ -144,7 +144,7 @@ QUERIES |= {"sink_hls_files": _hls_files, "src_ts_ranges": _ts_ranges, "src_mp4_
 
 _ONE_FILE = "p as (select (user_id % 2)::int as idx, row_number() over (partition by user_id % 2 order by event_id) - 1 as ordinal, event_type = 'purchase' or user_id % 2 = 1 as keyframe, props from events)"
 
-SQL["src_ts_ranges"] = f"with {_ONE_FILE} select idx, ordinal, ordinal * 3600 + case when idx = 0 then 3600 * (ordinal % 3) else 0 end as pts, ordinal * 3600 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"
+SQL["src_ts_ranges"] = f"with {_ONE_FILE} select idx, ordinal, (ordinal * 3600 + case when idx = 0 then 3600 * (ordinal % 3) else 0 end) % 8589934592 as pts, ordinal * 3600 % 8589934592 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"
 
 _MP4 = f"with {_ONE_FILE} select idx, ordinal, ordinal * 40 + case when idx = 0 then 40 * (ordinal % 3) else 0 end as pts, ordinal * 40 as dts, keyframe, octet_length(encode(props)) as size, md5(props) as md5 from p"
 SQL |= {"src_mp4_ranges": _MP4, "src_mp4_keys": f"{_MP4} where idx = 0 and keyframe"}
@@ -153,5 +153,5 @@ SQL["sink_hls_files"] = f"""with recursive {_ONE_FILE}, v as (select ordinal, or
 seg(segment, ordinal, pts) as (select 0::bigint, ordinal, pts from v where ordinal = 0
  union all select s.segment + 1, (select min(ordinal) from v where keyframe and v.ordinal > s.ordinal and (v.pts - s.pts)::double / 1000 >= {SEGMENT}),
   (select arg_min(v.pts, v.ordinal) from v where keyframe and v.ordinal > s.ordinal and (v.pts - s.pts)::double / 1000 >= {SEGMENT}) from seg s where s.ordinal is not null)
-select s.segment, p.idx, row_number() over (partition by s.segment, p.idx order by p.ordinal) - 1 as ordinal, p.ordinal * 3600 + case when p.idx = 0 then 3600 * (p.ordinal % 3) else 0 end as pts, p.keyframe, md5(p.props) as md5
+select s.segment, p.idx, row_number() over (partition by s.segment, p.idx order by p.ordinal) - 1 as ordinal, (p.ordinal * 3600 + case when p.idx = 0 then 3600 * (p.ordinal % 3) else 0 end) % 8589934592 as pts, p.keyframe, md5(p.props) as md5
 from p asof join (select * from seg where ordinal is not null) s on p.ordinal >= s.ordinal"""

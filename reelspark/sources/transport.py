@@ -23,6 +23,8 @@ PACKET, SYNC = 188, 0x47
 LOCK = 5
 #: Bytes read at once.
 STEP = 4096 * PACKET
+#: Tasks that short files are dealt to, at least.
+TASKS = 64
 
 TRANSPORT = "file string, at bigint, pid int, unit_start boolean, random_access boolean, continuity int, pcr bigint, payload binary"
 
@@ -111,9 +113,28 @@ def _batch(file: str, at: np.ndarray, p: np.ndarray, pids: set[int] | None) -> p
     )
 
 
-class _Range(InputPartition):
-    def __init__(self, file: str, start: int, stop: int, phase: int | None):
-        self.file, self.start, self.stop, self.phase = file, start, stop, phase
+class _Ranges(InputPartition):
+    """Ranges ``(file, start, stop)`` that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def deal_ranges(files: list[tuple[str, int]], split: int) -> list[list[tuple[str, int, int]]]:
+    """Ranges of at most ``split`` bytes of ``files(file, size)``; those of short files
+    go together, up to ``split`` or ``TASKS``-th of all bytes, so that neither a task
+    nor a look from the driver falls to each of them."""
+    goal = max(PACKET, min(split, sum(size for _, size in files) // TASKS))
+    out, held = [], 0
+    for file, size in files:
+        for a in range(0, size, split):
+            n = min(split, size - a)
+            if not out or held + n > goal:
+                out.append([])
+                held = 0
+            out[-1].append((file, a, a + n))
+            held += n
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -124,21 +145,16 @@ class _Reader(DataSourceReader):
         self.pids = {int(x) for x in some.split(",")} if some else None
 
     def partitions(self):
-        out = []
-        for file, size in list_files(self.path):
-            with RangeReader(file) as f:
-                first = find_packet(f, 0, None)
-            phase = first % PACKET if first < size else None
-            out += [_Range(file, a, min(a + self.split, size), phase) for a in range(0, size, self.split)]
-        return out or [_Range("", 0, 0, None)]
+        return [_Ranges(r) for r in deal_ranges(list_files(self.path), self.split)] or [_Ranges([])]
 
     def read(self, part):
-        if not part.file:
-            return
-        with RangeReader(part.file) as f:
-            for at, rows in packets_of(f, part.start, part.stop, part.phase):
-                if (b := _batch(part.file, at, rows, self.pids)) is not None:
-                    yield b
+        for file, start, stop in part.ranges:
+            with RangeReader(file) as f:
+                first = find_packet(f, 0, None)
+                phase = first % PACKET if first < f.size else None
+                for at, rows in packets_of(f, start, stop, phase):
+                    if (b := _batch(file, at, rows, self.pids)) is not None:
+                        yield b
 
 
 class TransportSource(DataSource):
@@ -219,7 +235,8 @@ def elementary_packets(ts: DataFrame, blocks: int | None = None, known: DataFram
     A packet begins at a unit start; what follows up to the next one belongs to it, as
     far as the length it states.  Its pieces may come from different ranges: a carry
     scan numbers the units over all of them, and one unit is put together at a time.
-    Units without a valid head are dropped."""
+    Units without a valid head are dropped.  Times are the 33 bits that the stream
+    holds and begin again at 0 after 2**33 - 1."""
     known = (streams(ts) if known is None else known).select("file", "pid", "idx")
     mine = ts.where(F.octet_length("payload") > 0).join(known, ["file", "pid"]).withColumn("opens", F.when(F.col("unit_start"), 1))
     counted = carry_scan(mine.select("file", "idx", "at", "opens", "random_access", "payload"), ["file", "idx"], ["at"], {"unit": ("count", "opens")}, blocks).where("unit > 0")
