@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import containers as ops
 
 TARGET = 86_400.0
+#: Users of ``events`` whose files are made in one task.
+FILES = 1_000
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,11 @@ def _values(spark, sql):
 
 
 def _users(spark, sf_dir):
-    """A file for each user of ``events``."""
-    return _read(spark, sf_dir, "events").selectExpr("user_id as file").distinct()
+    """A file for each user of ``events``, up to about ``FILES`` in a partition: the
+    tables made of them are hundreds of times as long, and by the size of the bare
+    numbers Spark would put them all in one task."""
+    f = _read(spark, sf_dir, "events").selectExpr("user_id as file").distinct()
+    return f.repartition(f.count() // FILES + 1, "file")
 
 
 def _tables(spark, sf_dir):

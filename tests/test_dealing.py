@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from reelspark.catalog import containers
 from reelspark.operators import audio
 from reelspark.operators.lineage import deal
 from reelspark.sources import mux
@@ -27,3 +28,11 @@ def test_files_and_clips_have_a_shuffle_of_their_own(spark):
         assert "hashpartitioning(xxhash64(clip" in plan_of(audio.attack_ratio(e))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_files_of_users_are_made_in_several_tasks(spark, tmp_path):
+    n, f = 2_500, str(tmp_path)
+    spark.range(n).selectExpr("id as event_id", "id as user_id").write.parquet(f"{f}/events.parquet")
+    for made in (containers._segments(spark, f), containers._tables(spark, f)[2]):
+        tasks = made.groupBy(F.spark_partition_id()).agg(F.countDistinct("file").alias("n")).collect()
+        assert sum(r.n for r in tasks) == n and max(r.n for r in tasks) < 1.5 * containers.FILES
