@@ -20,6 +20,9 @@ STREAMS = (
     "file string, format string, idx int, media_type string, codec string, tb_num int, tb_den int, width int, height int, pixfmt string, color_range string,"
     " sample_rate int, channels int, sample_fmt string, extradata binary, duration bigint, nb_frames bigint, error string"
 )
+#: Bytes of a batch of files that Spark hands to Python at once (a longer file is a
+#: batch by itself), and bytes and packets of a batch that the packet reader gives out.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1_024
 PACKETS = "file string, idx int, ordinal bigint, pts bigint, dts bigint, duration bigint, tb_num int, tb_den int, keyframe boolean, data binary"
 
 
@@ -38,6 +41,15 @@ def _arrow(schema: str):
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the bytes of the session's Arrow batches to ``BATCH_BYTES`` where they
+    still are Spark's 64 MB; a value the user has set is kept.  They stay lowered, as
+    plans are only made when a result is read."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, f"{BATCH_BYTES}b")
+
+
 def parse_streams(files: DataFrame) -> DataFrame:
     """``STREAMS`` rows of ``files(file, format, content)``; a file that cannot
     be read gives one row with ``error``."""
@@ -60,6 +72,7 @@ def parse_streams(files: DataFrame) -> DataFrame:
                     rows.append(base | {"error": type(e).__name__})
             yield pa.RecordBatch.from_pylist(rows, kind)
 
+    _small_batches(files.sparkSession)
     return files.select("file", "format", "content").mapInArrow(run, STREAMS)
 
 
@@ -83,12 +96,13 @@ def parse_packets(files: DataFrame) -> DataFrame:
                     n = seen[idx] = seen.get(idx, -1) + 1
                     rows.append(dict(zip(kind.names, (file, idx, n, pts, dts, dur, *tb[idx], key, data))))
                     size += len(data)
-                    if size > 8 << 20:
+                    if size > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                         yield pa.RecordBatch.from_pylist(rows, kind)
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
+    _small_batches(files.sparkSession)
     return files.select("file", "format", "content").mapInArrow(run, PACKETS)
 
 
