@@ -9,9 +9,11 @@ phrases are only counted where every pair of neighbours is frequent.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +111,23 @@ class HatTrie:
         self.sizes: dict = {}
         self.size = 0
 
+    def add_sorted(self, heads: list[int], edges: list[int], suffixes: list[tuple], counts: list[int]) -> None:
+        """Adds phrases of which those from one of ``edges`` to the next begin with
+        the head of that number.  Most heads have a single one, added at once."""
+        root, sizes, add, new = self.root, self.sizes, self.add, 0
+        for head, a, b in zip(heads, edges, edges[1:]):
+            if b - a > 1:
+                add(head, suffixes[a:b], counts[a:b])
+            elif (node := root.get(head)) is None:
+                root[head] = {suffixes[a]: counts[a]}
+                sizes[head] = 1
+                new += 1
+            elif type(node) is dict and suffixes[a] in node:
+                node[suffixes[a]] += counts[a]
+            else:
+                add(head, suffixes[a:b], counts[a:b])
+        self.size += new
+
     def add(self, head: int, suffixes: list[tuple], counts: list[int]) -> None:
         """Adds phrases that begin with ``head``."""
         node = self.root.get(head)
@@ -117,11 +136,16 @@ class HatTrie:
             self.sizes[head] = 0
         grown = 0
         if type(node) is dict:
-            before, get = len(node), node.get
-            for s, n in zip(suffixes, counts):
-                node[s] = get(s, 0) + n
+            before = len(node)
+            # each count is looked up just before it is set: a phrase may come twice
+            node.update(zip(suffixes, map(operator.add, map(node.get, suffixes, repeat(0)), counts) if before else counts))
+            if not before and len(node) < len(suffixes):
+                node.clear()
+                for s, n in zip(suffixes, counts):
+                    node[s] = node.get(s, 0) + n
             grown = len(node) - before
-            self.root[head] = self._kept(node, self.longest - 1)
+            if len(node) > self.burst:
+                self.root[head] = self._kept(node, self.longest - 1)
         else:
             for s, n in zip(suffixes, counts):
                 grown += self._into(node, s, n, self.longest - 1)
@@ -153,14 +177,19 @@ class HatTrie:
             node.below[s[0]] = self._kept(child, left - 1)
         return int(new)
 
-    def spill(self, until: int) -> Iterator[tuple[int, Iterator[tuple[tuple, int]]]]:
+    def subtrees(self, until: int) -> Iterator[tuple[int, dict | _Node]]:
         """Takes out whole subtrees, the largest first, until ``until`` phrases are
-        left: the first word's key and the (other words, count) below it."""
+        left: the first word's key and the subtree."""
         for head in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.size <= until:
                 return
             self.size -= self.sizes.pop(head)
-            yield head, self._walk(self.root.pop(head), ())
+            yield head, self.root.pop(head)
+
+    def spill(self, until: int) -> Iterator[tuple[int, Iterator[tuple[tuple, int]]]]:
+        """:meth:`subtrees` as the first word's key and the (other words, count) below it."""
+        for head, node in self.subtrees(until):
+            yield head, self._walk(node, ())
 
     def _walk(self, node, path: tuple) -> Iterator[tuple[tuple, int]]:
         if type(node) is dict:
@@ -247,8 +276,8 @@ class _Counter:
         _, first, inverse = np.unique(h[place], return_index=True, return_inverse=True)
         own, words = self.ids, self.words
         known = np.empty(len(first), np.int64)
-        for k, i in enumerate(place[first].tolist()):
-            w = block[start[i] : end[i]]
+        for k, (i, j) in enumerate(zip(start[place[first]].tolist(), end[place[first]].tolist())):
+            w = block[i:j]
             if (id_ := own.get(w)) is None:
                 id_ = own[w] = len(words)
                 words.append(w)
@@ -277,31 +306,48 @@ class _Counter:
         if not counts:
             return
         heads = phrases[:, 0]
-        edges = [0, *(np.flatnonzero(np.diff(heads)) + 1).tolist(), len(heads)]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(heads)) + 1))
         suffixes = list(zip(*phrases[:, 1:].T.tolist())) if phrases.shape[1] > 1 else [()] * len(counts)
-        add, first = self.trie.add, (heads | lang_id << 40).tolist()
-        for a, b in zip(edges, edges[1:]):
-            add(first[a], suffixes[a:b], counts[a:b])
+        self.trie.add_sorted((heads[edges] | lang_id << 40).tolist(), [*edges.tolist(), len(heads)], suffixes, counts)
 
     def spilled(self, until: int) -> Iterator[pa.RecordBatch]:
         """Sorted runs of the subtrees that go, one for each language."""
-        words, runs = self.words, {}
-        for head, below in self.trie.spill(until):
-            phrases, counts = runs.setdefault(head >> 40, ([], []))
-            w = words[head & (1 << 40) - 1]
-            for s, n in below:
-                phrases.append(b" ".join([w, *[words[i] for i in s]]))
-                counts.append(n)
-        for lang_id, (phrases, counts) in runs.items():
+        runs: dict[int, tuple[list, ...]] = {}
+        for head, node in self.trie.subtrees(until):
+            heads, sizes, suffixes, counts = runs.setdefault(head >> 40, ([], [], [], []))
+            before = len(counts)
+            if type(node) is dict:
+                suffixes.extend(node)
+                counts.extend(node.values())
+            else:
+                for s, n in self.trie._walk(node, ()):
+                    suffixes.append(s)
+                    counts.append(n)
+            heads.append(head & (1 << 40) - 1)
+            sizes.append(len(counts) - before)
+        words = pa.array(self.words if runs else [], pa.binary())
+        for lang_id, (heads, sizes, suffixes, counts) in runs.items():
             lang = self.langs[lang_id]
-            order = pc.sort_indices(phrases := pa.array(phrases, pa.binary()))
-            phrases, counts = phrases.take(order), pa.array(counts, pa.int64()).take(order)
+            phrases, place = self.joined(words, np.repeat(heads, sizes), suffixes)
+            order = pc.sort_indices(phrases)
+            phrases, counts = phrases.take(order), pa.array(np.array(counts, np.int64)[place[order]])
             base, bounds = self.bounds.get(lang, (zlib.crc32(lang.encode()), []))
             part = np.full(len(phrases), base, np.int64)
             for b in bounds:
                 part[bisect_left(_Sorted(phrases), b) :] += 1
             yield self._batch(part % self.parts, lang, phrases.cast(pa.string()), counts)
 
+    @staticmethod
+    def joined(words: pa.Array, heads: np.ndarray, suffixes: list[tuple]) -> tuple[pa.Array, np.ndarray]:
+        """The phrases as bytes, those of one length after those of another, and their
+        places in ``suffixes``."""
+        n = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
+        ids, at = np.fromiter(chain.from_iterable(suffixes), np.int64, int(n.sum())), np.cumsum(n) - n
+        places = [np.flatnonzero(n == m) for m in np.unique(n)]
+        columns = [[heads[p], *[ids[at[p] + k] for k in range(n[p[0]])]] for p in places]
+        phrases = [pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in cols], pa.scalar(b" ", pa.binary())) for cols in columns]
+        return pa.concat_arrays(phrases), np.concatenate(places)
+
     def rest(self) -> Iterator[pa.RecordBatch]:
         """What is left, and the number of words of each language, without phrase."""
         for lang in list(self.waiting):

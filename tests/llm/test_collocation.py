@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,6 +123,41 @@ def test_trie_counts_and_spills_whole_subtrees(phrases, burst, limit):
     assert have == want and trie.size == 0 and not trie.root and not trie.sizes
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 4), st.integers(0, 4)), st.integers(1, 3)), max_size=6), st.integers(1, 5))
+def test_sorted_phrases_are_added_head_by_head(blocks, burst):
+    one, all_ = collocation.HatTrie(3, burst), collocation.HatTrie(3, burst)
+    for block in blocks:
+        phrases = sorted(block)
+        heads = sorted({p[0] for p in phrases})
+        edges = [0, *np.cumsum([sum(p[0] == h for p in phrases) for h in heads]).tolist()]
+        all_.add_sorted(heads, edges, [p[1:] for p in phrases], [block[p] for p in phrases])
+        for p in phrases:
+            one.add(p[0], [p[1:]], [block[p]])
+    assert all_.size == one.size and all_.sizes == one.sizes
+    assert {h: sorted(b) for h, b in all_.spill(0)} == {h: sorted(b) for h, b in one.spill(0)} and all_.size == 0
+
+
+def test_heads_of_one_phrase_are_added_at_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(collocation.HatTrie, "add", lambda *a: calls.append(a))
+    counter = collocation._Counter((1,), 4, {}, None)
+    for _ in range(2):
+        list(counter.feed("en", "one two three two"))
+        list(counter.count("en"))
+    (run, total) = counter.rest()
+    assert not calls and total.column("n").to_pylist() == [8]
+    assert dict(zip(run.column("phrase").to_pylist(), run.column("n").to_pylist())) == {"one": 2, "three": 2, "two": 4}
+
+
+def test_spilled_phrases_are_joined_by_columns():
+    words = ["é".encode(), b"b", b"\x01", b"aa"]
+    suffixes = [(), (1, 2), (3,), (), (0, 0), (2,)]
+    phrases, place = collocation._Counter.joined(pa.array(words, pa.binary()), np.array([3, 0, 1, 0, 2, 0]), suffixes)
+    want = [b" ".join(words[i] for i in (h, *s)) for h, s in zip([3, 0, 1, 0, 2, 0], suffixes)]
+    assert phrases.to_pylist() == [want[i] for i in place] and sorted(place) == list(range(6))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "bb", "ccc", " ", " ", ".", "\t", "é"]), max_size=60), st.integers(1, 30), st.integers(0, 3))
 def test_blocks_lose_and_repeat_no_window(parts, size, overlap):
