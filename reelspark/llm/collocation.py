@@ -1,7 +1,8 @@
 """Phrase collocations, counted in a HAT-trie.
 
 Each task counts phrases in a shallow trie of word ids whose leaves are hash
-containers.  A container that grows too large bursts into a trie node; when the
+containers, arrays that a block's phrases enter together.  First words that get many
+phrases burst out of the container they share with others; when the
 trie is full its largest subtrees are spilled whole, as runs in phrase order.  Runs
 are dealt by ranges of that order (prefix partitions) and merged there.  Longer
 phrases are only counted where every pair of neighbours is frequent.
@@ -9,11 +10,11 @@ phrases are only counted where every pair of neighbours is frequent.
 
 from __future__ import annotations
 
-import operator
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .runtime import LOWER, Workspace, _inverse_powers, _powers, mix, small_batc
 
 #: Phrases that a task's trie holds before it spills subtrees down to half of them.
 ENTRIES = 400_000
-#: Phrases in a hash container before it bursts.
+#: Phrases of a first word in the shared hash container before they burst out of it.
 BURST = 2_048
 #: Distinct words that a task gives ids before it spills everything and starts anew.
 WORDS = 500_000
@@ -92,119 +93,175 @@ def blocks(data: bytes, overlap: int) -> Iterator[tuple]:
 # --- trie --------------------------------------------------------------------
 
 
-class _Node:
-    """An inner node: the count of the phrase that ends here, and subtrees by the
-    next word's id, each a hash container (``dict``) or another node."""
-
-    __slots__ = ("below", "own")
-
-    def __init__(self):
-        self.own, self.below = 0, {}
+def _rows(heads: np.ndarray, suffixes: np.ndarray | list[tuple]) -> np.ndarray:
+    """Rows of the first and the other words' ids, with -1 behind short phrases."""
+    if not isinstance(suffixes, np.ndarray):
+        columns = list(zip_longest(*suffixes, fillvalue=-1))
+        suffixes = np.array(columns, np.int64).reshape(len(columns), len(suffixes)).T
+    return np.column_stack([heads, suffixes])
+
+
+class _Container:
+    """An array hash: packed phrases and their counts in slots that are found by open
+    addressing.  A slot is free if its first key is 0, which no phrase has."""
+
+    def __init__(self, columns: int, room: int = 64):
+        self.keys, self.counts, self.size = np.zeros((columns, room), np.int64), np.zeros(room, np.int64), 0
+        self.wanted_by = np.zeros(room, np.int32)
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        used = np.flatnonzero(self.counts)
+        return self.keys[:, used], self.counts[used]
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds phrases, columns of ``keys``, with counts above 0: the places of those
+        that were new."""
+        n = keys.shape[1]
+        if 2 * (self.size + n) > len(self.counts):
+            old = self.phrases()
+            self.__init__(len(keys), 1 << (2 * (self.size + n)).bit_length())
+            self.add(*old)
+        code = np.zeros(n, np.uint64)
+        for k in keys:
+            code = mix(code * _ODD + k.astype(np.uint64))
+        last = len(self.counts) - 1
+        slot, todo, new = (code & np.uint64(last)).astype(np.int64), np.arange(n), []
+        while len(todo):
+            there = self.keys[0, slot]
+            same = there == keys[0, todo]
+            for mine, given in zip(self.keys[1:], keys[1:]):
+                at = np.flatnonzero(same)
+                same[at] = mine[slot[at]] == given[todo[at]]
+            free = there == 0
+            at = np.flatnonzero(free)
+            self.wanted_by[slot[at]] = todo[at]  # one of them gets the slot, the others look again
+            at = at[self.wanted_by[slot[at]] == todo[at]]
+            self.keys[:, slot[at]] = keys[:, todo[at]]
+            new.append(todo[at])
+            same[at] = True
+            np.add.at(self.counts, slot[same], counts[todo[same]])
+            on = ~same
+            slot, todo = slot[on] + ~free[on] & last, todo[on]
+        self.size += sum(map(len, new))
+        return np.concatenate(new) if new else todo
 
 
 class HatTrie:
-    """Counts of phrases, given as a first word's key and the ids of the others."""
+    """Counts of phrases of up to ``longest`` word ids below 2**31.
+
+    The root tells phrases apart by their first words.  First words of few phrases
+    share a hash container; those of more than ``burst`` burst out of it into
+    containers of their own.  Phrases are packed, two ids into 64 bits."""
 
     def __init__(self, longest: int, burst: int | None = None):
-        self.longest, self.burst = longest, burst or BURST
-        self.root: dict = {}
-        self.sizes: dict = {}
-        self.size = 0
+        self.longest, self.burst, self.size = longest, burst or BURST, 0
+        self.columns = (longest + 1) // 2
+        self.shared, self.own = _Container(self.columns), {}
+        #: by first word: its number of phrases, and whether its container is its own
+        self.below, self.alone = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    @property
+    def sizes(self) -> dict[int, int]:
+        """The number of phrases of each first word."""
+        heads = np.flatnonzero(self.below)
+        return dict(zip(heads.tolist(), self.below[heads].tolist()))
+
+    @property
+    def root(self) -> dict[int, _Container]:
+        """The container of each first word."""
+        return {h: self.own.get(h, self.shared) for h in self.sizes}
+
+    def add(self, head: int, suffixes: list[tuple], counts: list[int]) -> None:
+        """Adds phrases that begin with ``head``."""
+        self.insert(_rows(np.full(len(suffixes), head), suffixes), np.array(counts))
 
     def add_sorted(self, heads: list[int], edges: list[int], suffixes: list[tuple], counts: list[int]) -> None:
         """Adds phrases of which those from one of ``edges`` to the next begin with
-        the head of that number.  Most heads have a single one, added at once."""
-        root, sizes, add, new = self.root, self.sizes, self.add, 0
-        for head, a, b in zip(heads, edges, edges[1:]):
-            if b - a > 1:
-                add(head, suffixes[a:b], counts[a:b])
-            elif (node := root.get(head)) is None:
-                root[head] = {suffixes[a]: counts[a]}
-                sizes[head] = 1
-                new += 1
-            elif type(node) is dict and suffixes[a] in node:
-                node[suffixes[a]] += counts[a]
-            else:
-                add(head, suffixes[a:b], counts[a:b])
-        self.size += new
+        the head of that number."""
+        self.insert(_rows(np.repeat(np.array(heads, np.int64), np.diff(edges)), suffixes), np.array(counts, np.int64))
 
-    def add(self, head: int, suffixes: list[tuple], counts: list[int]) -> None:
-        """Adds phrases that begin with ``head``."""
-        node = self.root.get(head)
-        if node is None:
-            node = self.root[head] = {}
-            self.sizes[head] = 0
-        grown = 0
-        if type(node) is dict:
-            before = len(node)
-            # each count is looked up just before it is set: a phrase may come twice
-            node.update(zip(suffixes, map(operator.add, map(node.get, suffixes, repeat(0)), counts) if before else counts))
-            if not before and len(node) < len(suffixes):
-                node.clear()
-                for s, n in zip(suffixes, counts):
-                    node[s] = node.get(s, 0) + n
-            grown = len(node) - before
-            if len(node) > self.burst:
-                self.root[head] = self._kept(node, self.longest - 1)
-        else:
-            for s, n in zip(suffixes, counts):
-                grown += self._into(node, s, n, self.longest - 1)
-        self.sizes[head] += grown
-        self.size += grown
-
-    def _kept(self, container: dict, left: int):
-        """The container, or the node it bursts into; containers of last words stay."""
-        if len(container) <= self.burst or left < 2:
-            return container
-        node = _Node()
-        for s, n in container.items():
-            if s:
-                node.below.setdefault(s[0], {})[s[1:]] = n
-            else:
-                node.own = n
-        return node
-
-    def _into(self, node: _Node, s: tuple, n: int, left: int) -> int:
-        if not s:
-            node.own += n
-            return int(node.own == n)
-        child = node.below.setdefault(s[0], {})
-        if type(child) is not dict:
-            return self._into(child, s[1:], n, left - 1)
-        new = s[1:] not in child
-        child[s[1:]] = child.get(s[1:], 0) + n
-        if len(child) > self.burst:
-            node.below[s[0]] = self._kept(child, left - 1)
-        return int(new)
-
-    def subtrees(self, until: int) -> Iterator[tuple[int, dict | _Node]]:
+    def insert(self, phrases: np.ndarray, counts: np.ndarray) -> None:
+        """Adds rows of word ids, -1 behind short phrases, with counts above 0."""
+        if not len(phrases):
+            return
+        heads, ids = phrases[:, 0], np.zeros((2 * self.columns, len(phrases)), np.int64)
+        ids[: phrases.shape[1]] = phrases.T + 1
+        keys = ids[::2] << 32 | ids[1::2]
+        if (n := int(heads.max()) + 1) > len(self.below):
+            more = max(n, 2 * len(self.below)) - len(self.below)
+            self.below, self.alone = np.append(self.below, np.zeros(more, np.int64)), np.append(self.alone, np.zeros(more, bool))
+        alone = self.alone[heads]
+        at = np.flatnonzero(~alone)
+        at = at[self.shared.add(keys[:, at], counts[at])]
+        self.below += np.bincount(heads[at], minlength=len(self.below))
+        self.size += len(at)
+        for head, some in _groups(heads, np.flatnonzero(alone)):
+            new = len(self.own[head].add(keys[:, some], counts[some]))
+            self.below[head] += new
+            self.size += new
+        large = np.unique(heads[at])
+        if len(large := large[self.below[large] > self.burst]):
+            keys, counts = self._taken(large)
+            for head, some in _groups((keys[0] >> 32) - 1, np.arange(len(counts))):
+                self.own[head] = _Container(self.columns)
+                self.own[head].add(keys[:, some], counts[some])
+            self.alone[large] = True
+
+    def _taken(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of some first words, taken out of the shared container."""
+        keys, counts = self.shared.phrases()
+        of = np.zeros(len(self.below), bool)
+        of[heads] = True
+        go = of[(keys[0] >> 32) - 1]
+        self.shared = _Container(self.columns)
+        self.shared.add(keys[:, ~go], counts[~go])
+        return keys[:, go], counts[go]
+
+    def subtrees(self, until: int) -> tuple[np.ndarray, np.ndarray]:
         """Takes out whole subtrees, the largest first, until ``until`` phrases are
-        left: the first word's key and the subtree."""
-        for head in sorted(self.sizes, key=self.sizes.get, reverse=True):
-            if self.size <= until:
-                return
-            self.size -= self.sizes.pop(head)
-            yield head, self.root.pop(head)
+        left: rows of word ids, -1 behind short phrases, and their counts."""
+        heads = np.flatnonzero(self.below)
+        heads = heads[np.argsort(-self.below[heads], kind="stable")]
+        heads = heads[: np.searchsorted(np.cumsum(self.below[heads]), self.size - until) + 1] if self.size > until else heads[:0]
+        alone = self.alone[heads]
+        found = [self._taken(heads[~alone])] if not alone.all() else []
+        for head in heads[alone].tolist():
+            found.append(self.own[head].phrases())
+            self.own[head] = _Container(self.columns)
+        self.size -= int(self.below[heads].sum())
+        self.below[heads] = 0
+        keys = np.concatenate([np.zeros((self.columns, 0), np.int64), *[k for k, _ in found]], axis=1)
+        ids = np.empty((2 * self.columns, keys.shape[1]), np.int64)
+        ids[::2], ids[1::2] = keys >> 32, keys & (1 << 32) - 1
+        return ids.T - 1, np.concatenate([np.zeros(0, np.int64), *[n for _, n in found]])
 
     def spill(self, until: int) -> Iterator[tuple[int, Iterator[tuple[tuple, int]]]]:
-        """:meth:`subtrees` as the first word's key and the (other words, count) below it."""
-        for head, node in self.subtrees(until):
-            yield head, self._walk(node, ())
-
-    def _walk(self, node, path: tuple) -> Iterator[tuple[tuple, int]]:
-        if type(node) is dict:
-            for s, n in node.items():
-                yield path + s, n
-            return
-        if node.own:
-            yield path, node.own
-        for w, child in node.below.items():
-            yield from self._walk(child, (*path, w))
+        """:meth:`subtrees` as the first word and the (other words, count) below it."""
+        phrases, counts = self.subtrees(until)
+        for head, some in _groups(phrases[:, 0], np.arange(len(counts))):
+            yield head, zip((tuple(i for i in row if i >= 0) for row in phrases[some, 1:].tolist()), counts[some].tolist())
+
+
+def _groups(heads: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the places ``at`` those of each first word."""
+    at = at[np.argsort(heads[at], kind="stable")]
+    for some in np.split(at, np.flatnonzero(np.diff(heads[at])) + 1) if len(at) else []:
+        yield int(heads[some[0]]), some
 
 
 # --- counting in tasks ---------------------------------------------------------
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each value of ``x``, in order of the values, and for each place the
+    number of its value."""
+    order = np.argsort(x)
+    new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 class _Sorted:
     """A sorted Arrow array as a sequence for ``bisect``."""
 
@@ -224,8 +281,10 @@ class _Counter:
     def __init__(self, lengths: tuple[int, ...], parts: int, bounds: dict[str, tuple[int, list[bytes]]], pairs: np.ndarray | None):
         self.lengths, self.parts, self.bounds, self.pairs = lengths, parts, bounds, pairs
         self.trie = HatTrie(max(lengths))
-        self.ids: dict[bytes, int] = {}
+        #: ids of each language's words, and their words and languages
+        self.ids: dict[int, dict[bytes, int]] = {}
         self.words: list[bytes] = []
+        self.lang_of = array("q")
         self.langs: list[str] = []
         self.waiting: dict[str, list[bytes]] = {}
         self.n_waiting: dict[str, int] = {}
@@ -253,7 +312,8 @@ class _Counter:
                 self.count_block(lang_id, block, start, end, h, brk, carried)
             if len(self.words) > WORDS:
                 yield from self.spilled(0)
-                self.ids, self.words = {}, []
+                self.ids, self.words, self.lang_of = {}, [], array("q")
+                self.trie = HatTrie(self.trie.longest)
             elif self.trie.size > ENTRIES:
                 yield from self.spilled(ENTRIES // 2)
 
@@ -273,15 +333,8 @@ class _Counter:
         place = np.flatnonzero(used)
         if not len(place):
             return
-        _, first, inverse = np.unique(h[place], return_index=True, return_inverse=True)
-        own, words = self.ids, self.words
-        known = np.empty(len(first), np.int64)
-        for k, (i, j) in enumerate(zip(start[place[first]].tolist(), end[place[first]].tolist())):
-            w = block[i:j]
-            if (id_ := own.get(w)) is None:
-                id_ = own[w] = len(words)
-                words.append(w)
-            known[k] = id_
+        first, inverse = _distinct(h[place])
+        known = self.known(lang_id, [block[i:j] for i, j in zip(start[place[first]].tolist(), end[place[first]].tolist())])
         rank = np.zeros(n, np.int64)
         rank[place] = inverse
         word = np.zeros(n, np.int64)
@@ -292,59 +345,49 @@ class _Counter:
                 at = np.flatnonzero(whole[m])
                 if not len(at):
                     return
-                _, first, inverse = np.unique(level[at] << 32 | rank[at + m - 1], return_index=True, return_inverse=True)
+                first, inverse = _distinct(level[at] << 32 | rank[at + m - 1])
                 level = np.zeros(n, np.int64)
                 level[at] = inverse
             if m in self.lengths:
                 counts = np.bincount(inverse[at + m - 1 >= carried], minlength=len(first))
-                self.insert(lang_id, word[at[first][:, None] + np.arange(m)], counts)
-
-    def insert(self, lang_id: int, phrases: np.ndarray, counts: np.ndarray) -> None:
-        """Rows of word ids, equal first words side by side, with their counts."""
+                self.insert(word[at[first][:, None] + np.arange(m)], counts)
+
+    def known(self, lang_id: int, words: list[bytes]) -> np.ndarray:
+        """Ids of different words, which are given to new ones."""
+        own = self.ids.setdefault(lang_id, {})
+        new = [w for w in words if w not in own]
+        own.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.words += new
+        self.lang_of.extend([lang_id] * len(new))
+        return np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+
+    def insert(self, phrases: np.ndarray, counts: np.ndarray) -> None:
         some = counts > 0
-        phrases, counts = phrases[some], counts[some].tolist()
-        if not counts:
-            return
-        heads = phrases[:, 0]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(heads)) + 1))
-        suffixes = list(zip(*phrases[:, 1:].T.tolist())) if phrases.shape[1] > 1 else [()] * len(counts)
-        self.trie.add_sorted((heads[edges] | lang_id << 40).tolist(), [*edges.tolist(), len(heads)], suffixes, counts)
+        self.trie.insert(phrases[some], counts[some])
 
     def spilled(self, until: int) -> Iterator[pa.RecordBatch]:
         """Sorted runs of the subtrees that go, one for each language."""
-        runs: dict[int, tuple[list, ...]] = {}
-        for head, node in self.trie.subtrees(until):
-            heads, sizes, suffixes, counts = runs.setdefault(head >> 40, ([], [], [], []))
-            before = len(counts)
-            if type(node) is dict:
-                suffixes.extend(node)
-                counts.extend(node.values())
-            else:
-                for s, n in self.trie._walk(node, ()):
-                    suffixes.append(s)
-                    counts.append(n)
-            heads.append(head & (1 << 40) - 1)
-            sizes.append(len(counts) - before)
-        words = pa.array(self.words if runs else [], pa.binary())
-        for lang_id, (heads, sizes, suffixes, counts) in runs.items():
-            lang = self.langs[lang_id]
-            phrases, place = self.joined(words, np.repeat(heads, sizes), suffixes)
+        rows, all_counts = self.trie.subtrees(until)
+        words = pa.array(self.words, pa.binary()) if len(rows) else None
+        langs = np.array(self.lang_of)[rows[:, 0]]
+        for lang_id, some in _groups(langs, np.arange(len(rows))):
+            lang, counts = self.langs[lang_id], all_counts[some]
+            phrases, place = self.joined(words, rows[some, 0], rows[some, 1:])
             order = pc.sort_indices(phrases)
-            phrases, counts = phrases.take(order), pa.array(np.array(counts, np.int64)[place[order]])
+            phrases, counts = phrases.take(order), pa.array(counts[place[order]])
             base, bounds = self.bounds.get(lang, (zlib.crc32(lang.encode()), []))
-            part = np.full(len(phrases), base, np.int64)
-            for b in bounds:
-                part[bisect_left(_Sorted(phrases), b) :] += 1
+            edges = [0, *(bisect_left(_Sorted(phrases), b) for b in bounds), len(phrases)]
+            part = base + np.repeat(np.arange(len(bounds) + 1), np.diff(edges))
             yield self._batch(part % self.parts, lang, phrases.cast(pa.string()), counts)
 
     @staticmethod
-    def joined(words: pa.Array, heads: np.ndarray, suffixes: list[tuple]) -> tuple[pa.Array, np.ndarray]:
+    def joined(words: pa.Array, heads: np.ndarray, suffixes: np.ndarray | list[tuple]) -> tuple[pa.Array, np.ndarray]:
         """The phrases as bytes, those of one length after those of another, and their
         places in ``suffixes``."""
-        n = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
-        ids, at = np.fromiter(chain.from_iterable(suffixes), np.int64, int(n.sum())), np.cumsum(n) - n
+        rows = _rows(heads, suffixes)
+        n = (rows >= 0).sum(1)
         places = [np.flatnonzero(n == m) for m in np.unique(n)]
-        columns = [[heads[p], *[ids[at[p] + k] for k in range(n[p[0]])]] for p in places]
+        columns = [[rows[p, k] for k in range(n[p[0]])] for p in places]
         phrases = [pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in cols], pa.scalar(b" ", pa.binary())) for cols in columns]
         return pa.concat_arrays(phrases), np.concatenate(places)
 

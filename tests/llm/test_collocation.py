@@ -3,6 +3,7 @@ spills; blocks of long texts."""
 
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -150,6 +151,48 @@ def test_heads_of_one_phrase_are_added_at_once(monkeypatch):
     assert dict(zip(run.column("phrase").to_pylist(), run.column("n").to_pylist())) == {"one": 2, "three": 2, "two": 4}
 
 
+def test_phrases_are_counted_and_spilled_by_columns():
+    """Each block's phrases go into the trie and out of it in a few calls, however many."""
+    rng, calls = random.Random(3), Counter()
+    text = " ".join(f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(60_000))
+    counter = collocation._Counter((1, 2), 4, {}, None)
+    list(counter.feed("en", "what is imported at first use"))
+    list(counter.rest())
+    list(counter.feed("en", text))
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        list(counter.count("en"))
+        (run,) = counter.spilled(0)
+    finally:
+        sys.setprofile(None)
+    assert run.num_rows > 9_000
+    assert calls["call"] + calls["c_call"] < run.num_rows / 4
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 90), st.integers(-1, 3), st.integers(1, 3)), max_size=120), max_size=6), st.integers(1, 2))
+def test_array_hash_counts_phrases_that_share_slots(batches, columns):
+    container, want = collocation._Container(columns), Counter()
+    for batch in batches:
+        keys = np.array([[(a + 1) << 32 | b + 1 for a, b, _ in batch], [b + 1 for _, b, _ in batch]], np.int64)[:columns]
+        before = set(want)
+        new = container.add(keys, np.array([n for *_, n in batch], np.int64))
+        for (a, b, n) in batch:
+            want[a, b] += n
+        assert sorted(batch[i][:2] for i in new.tolist()) == sorted(set(want) - before)
+    keys, counts = container.phrases()
+    assert {((k >> 32) - 1, (k & 0xFFFFFFFF) - 1): n for k, n in zip(keys[0].tolist(), counts.tolist())} == want
+    assert container.size == len(want) == len(counts)
+
+
+def test_words_of_two_languages_are_told_apart():
+    counter = collocation._Counter((1, 2), 4, {}, None)
+    for lang in ("en", "de"):
+        list(counter.feed(lang, "in in der" if lang == "de" else "in the in the"))
+    got = {(r["lang"], r["phrase"]): r["n"] for b in counter.rest() for r in b.to_pylist()}
+    assert got == {("en", None): 4, ("en", "in"): 2, ("en", "the"): 2, ("en", "in the"): 2, ("en", "the in"): 1, ("de", None): 3, ("de", "in"): 2, ("de", "der"): 1, ("de", "in in"): 1, ("de", "in der"): 1}
+
+
 def test_spilled_phrases_are_joined_by_columns():
     words = ["é".encode(), b"b", b"\x01", b"aa"]
     suffixes = [(), (1, 2), (3,), (), (0, 0), (2,)]
